@@ -3,9 +3,14 @@
 ``global_rank`` range-partitions on the ordering, numbers rows inside each
 partition and adds the row count of all earlier partitions.  The per-partition
 counts are at most ``num_partitions`` rows, so broadcasting them is bounded by
-configuration, not by data.  The ordering must end with a unique key so that
-the range split and the in-partition order are deterministic (a recomputed
-partition after executor loss lands on the same ranks).
+configuration, not by data.
+
+Spark seeds the range partitioner's sampling with the RDD id, so two
+evaluations of the same range exchange (two branches of one plan, or a
+recomputation after executor loss) may cut different boundaries.  The ranged,
+locally numbered rows are therefore written once with a reliable
+``checkpoint()`` into ``spark.checkpoint.dir``; counts and ranks both read that
+snapshot, and lost executors re-read files instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -48,11 +53,11 @@ def _offsets(local: DataFrame, weight: str | None) -> DataFrame:
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
-    """Append a dense 0-based BIGINT rank following ``order`` (last key unique)."""
+    """Append a dense 0-based BIGINT rank following ``order`` (end it with a
+    unique key; equal keys otherwise get an arbitrary but consistent order)."""
     ranged = _ranged(df, order, num_partitions)
-    mid = F.monotonically_increasing_id()
-    local = (ranged.withColumn("_mid", mid)
-             .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    snap = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    local = (snap.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
              .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     offs = _offsets(local, None)
     return (local.join(offs, "_pid", "left")
@@ -91,6 +96,7 @@ def prefix_sum(df: DataFrame, order: Sequence[Column | str], value: str, out: st
     if rank_out:
         local = (local.withColumn("_mid", F.monotonically_increasing_id())
                  .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    local = local.checkpoint(eager=True)
     offs = _offsets(local, value)
     res = local.join(offs, "_pid", "left").withColumn(out, F.col("_woff") + F.col("_lcsum"))
     if exclusive:

@@ -81,7 +81,37 @@ def request_base(spark: SparkSession, sf_dir: str, batch_seconds: int = BATCH_SE
             .withColumn("first_token", first).withColumn("done", done)
             .withColumn("hit_rate", (F.col("event_id") % 5) / F.lit(4.0))
             .withColumn("mode", F.col("event_type"))
-            .withColumn("rate", ((F.col("user_id") % 5) * 8 + 8).cast("int")))
+            .withColumn("rate", ((F.col("user_id") % 5) * 8 + 8).cast("int"))
+            .withColumn("ngpu", (F.lit(8) - (F.col("user_id") % 3) * 2).cast("int"))
+            .withColumn("dispatcher", (F.col("event_id") % 2) == 0)
+            .withColumn("input_len", F.when(F.col("user_id") % 4 == 0, 512)
+                        .when(F.col("user_id") % 4 == 3, 2048).otherwise(1024).cast("int"))
+            .withColumn("output_len", F.when(F.col("event_id") % 3 == 0, 128)
+                        .when(F.col("event_id") % 3 == 1, 256).otherwise(512).cast("int"))
+            .withColumn("slo_ms", (F.lit(100) + (F.col("event_id") % 4) * 50).cast("int"))
+            .withColumn("run_day", F.floor(F.col("arrival") / F.lit(86400.0)).cast("bigint")))
+
+
+RUN_COLS = ["mode", "rate", "ngpu", "dispatcher", "input_len", "output_len", "slo_ms", "run_day"]
+
+
+def requests(spark: SparkSession, sf_dir: str, batch_seconds: int = BATCH_SECONDS,
+             completed_only: bool = False) -> DataFrame:
+    """Wide per-request table (TEL5-7 + TEL14 idle) from the two logs.
+
+    ``completed_only`` keeps the generation log to requests finished by the
+    last arrival (a run's horizon), leaving the rest without a gen row.
+    """
+    from ragspark.operators import telemetry as tel
+    base = request_base(spark, sf_dir, batch_seconds)
+    gen = gen_log(base)
+    if completed_only:
+        horizon = base.agg(F.max("arrival").alias("_h"))
+        gen = gen.crossJoin(F.broadcast(horizon)).where(F.col("done") <= F.col("_h")).drop("_h")
+    search = search_log(base).join(base.select("rid", *[c for c in RUN_COLS if c not in ("mode", "rate")]), "rid")
+    req = tel.stages(tel.join_logs(search, gen), "output_len")
+    idle = tel.batch_idle(base).select("batch_id", F.col("idle").alias("ann_idle"))
+    return req.join(idle, "batch_id", "left")
 
 
 def search_log(base: DataFrame) -> DataFrame:
@@ -94,6 +124,3 @@ def search_log(base: DataFrame) -> DataFrame:
 def gen_log(base: DataFrame) -> DataFrame:
     return base.select("rid", "callback", "submit", "first_token", "done")
 
-
-def idle_window() -> Window:
-    return Window.orderBy("batch_id")

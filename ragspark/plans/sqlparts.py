@@ -69,7 +69,40 @@ req AS (
   SELECT *, first_token + 1.0::DOUBLE + (event_id % 29) / 10.0::DOUBLE AS done,
          (event_id % 5) / 4.0::DOUBLE AS hit_rate, event_type AS mode,
          CAST((user_id % 5) * 8 + 8 AS INTEGER) AS rate,
+         CAST(8 - (user_id % 3) * 2 AS INTEGER) AS ngpu,
+         (event_id % 2) = 0 AS dispatcher,
+         CAST(CASE WHEN user_id % 4 = 0 THEN 512 WHEN user_id % 4 = 3 THEN 2048 ELSE 1024 END AS INTEGER) AS input_len,
+         CAST(CASE WHEN event_id % 3 = 0 THEN 128 WHEN event_id % 3 = 1 THEN 256 ELSE 512 END AS INTEGER) AS output_len,
+         CAST(100 + (event_id % 4) * 50 AS INTEGER) AS slo_ms,
+         CAST(floor(arrival / 86400.0::DOUBLE) AS BIGINT) AS run_day,
          [1.0::DOUBLE * value / 100000.0::DOUBLE, 2.0::DOUBLE * value / 100000.0::DOUBLE,
           3.0::DOUBLE * value / 100000.0::DOUBLE, 4.0::DOUBLE * value / 100000.0::DOUBLE,
           5.0::DOUBLE * value / 100000.0::DOUBLE, 6.0::DOUBLE * value / 100000.0::DOUBLE] AS breakdown
   FROM r3)"""
+
+
+def stages_cte(batch_seconds: int = 3600, completed_only: bool = False) -> str:
+    """requests_cte + idle + stage columns -> CTE ``st`` (one row per request)."""
+    gen_filter = "WHERE done <= (SELECT max(arrival) FROM req)" if completed_only else ""
+    return requests_cte(batch_seconds) + f""",
+bt AS (SELECT batch_id, min(start) AS b_start, max(callback) AS b_done FROM req GROUP BY batch_id),
+bidle AS (SELECT batch_id, b_start - lag(b_done) OVER (ORDER BY batch_id) AS ann_idle FROM bt),
+gen AS (SELECT rid, callback AS g_callback, submit AS g_submit, first_token AS g_first, done AS g_done FROM req {gen_filter}),
+st AS (
+  SELECT r.rid, r.batch_id, r.batch_size, r.mode, r.rate, r.ngpu, r.dispatcher, r.input_len, r.output_len,
+         r.slo_ms, r.run_day, r.arrival, r.last_arrival, r.start, r.hit_rate, r.breakdown, bi.ann_idle,
+         g.g_callback AS callback, g.g_submit AS submit, g.g_first AS first_token, g.g_done AS done,
+         r.last_arrival - r.arrival AS ann_batch,
+         r.start - r.last_arrival AS ann_pending,
+         r.start - r.arrival AS ann_queue,
+         g.g_callback - r.start AS ann_search,
+         g.g_submit - g.g_callback AS llm_queue,
+         g.g_first - g.g_submit AS prefill,
+         g.g_done - g.g_first AS generate,
+         (r.start - r.arrival) + (g.g_callback - r.start) + (g.g_submit - g.g_callback) + (g.g_first - g.g_submit) AS ttft,
+         g.g_done - r.arrival AS e2e,
+         (g.g_callback - r.start) + (r.start - r.arrival) AS ann_e2e,
+         r.breakdown[1] AS quantize, r.breakdown[2] + r.breakdown[3] AS lut_compute,
+         r.breakdown[4] + r.breakdown[5] + r.breakdown[6] AS lut_scan,
+         (g.g_done - g.g_first) / CAST(r.output_len AS DOUBLE) AS tpot
+  FROM req r JOIN gen g ON g.rid = r.rid LEFT JOIN bidle bi ON bi.batch_id = r.batch_id)"""

@@ -6,7 +6,7 @@ Every binding reads whole tables; the same formulas appear in the oracle SQL
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import global_rank
@@ -96,11 +96,12 @@ RUN_COLS = ["mode", "rate", "ngpu", "dispatcher", "input_len", "output_len", "sl
 
 
 def requests(spark: SparkSession, sf_dir: str, batch_seconds: int = BATCH_SECONDS,
-             completed_only: bool = False) -> DataFrame:
+             completed_only: bool = False, keep_unmatched: bool = False) -> DataFrame:
     """Wide per-request table (TEL5-7 + TEL14 idle) from the two logs.
 
     ``completed_only`` keeps the generation log to requests finished by the
-    last arrival (a run's horizon), leaving the rest without a gen row.
+    last arrival (a run's horizon), leaving the rest without a gen row;
+    ``keep_unmatched`` keeps those search rows with NULL generation metrics.
     """
     from ragspark.operators import telemetry as tel
     base = request_base(spark, sf_dir, batch_seconds)
@@ -109,7 +110,8 @@ def requests(spark: SparkSession, sf_dir: str, batch_seconds: int = BATCH_SECOND
         horizon = base.agg(F.max("arrival").alias("_h"))
         gen = gen.crossJoin(F.broadcast(horizon)).where(F.col("done") <= F.col("_h")).drop("_h")
     search = search_log(base).join(base.select("rid", *[c for c in RUN_COLS if c not in ("mode", "rate")]), "rid")
-    req = tel.stages(tel.join_logs(search, gen), "output_len")
+    joined = search.join(gen, "rid", "left") if keep_unmatched else tel.join_logs(search, gen)
+    req = tel.stages(joined, "output_len")
     idle = tel.batch_idle(base).select("batch_id", F.col("idle").alias("ann_idle"))
     return req.join(idle, "batch_id", "left")
 

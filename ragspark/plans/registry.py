@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "ragspark.plans.vector_plans",
     "ragspark.plans.telemetry_plans",
+    "ragspark.plans.report_plans",
 ]
 
 

@@ -81,7 +81,7 @@ req AS (
   FROM r3)"""
 
 
-def stages_cte(batch_seconds: int = 3600, completed_only: bool = False) -> str:
+def stages_cte(batch_seconds: int = 3600, completed_only: bool = False, keep_unmatched: bool = False) -> str:
     """requests_cte + idle + stage columns -> CTE ``st`` (one row per request)."""
     gen_filter = "WHERE done <= (SELECT max(arrival) FROM req)" if completed_only else ""
     return requests_cte(batch_seconds) + f""",
@@ -105,4 +105,4 @@ st AS (
          r.breakdown[1] AS quantize, r.breakdown[2] + r.breakdown[3] AS lut_compute,
          r.breakdown[4] + r.breakdown[5] + r.breakdown[6] AS lut_scan,
          (g.g_done - g.g_first) / CAST(r.output_len AS DOUBLE) AS tpot
-  FROM req r JOIN gen g ON g.rid = r.rid LEFT JOIN bidle bi ON bi.batch_id = r.batch_id)"""
+  FROM req r {'LEFT ' if keep_unmatched else ''}JOIN gen g ON g.rid = r.rid LEFT JOIN bidle bi ON bi.batch_id = r.batch_id)"""

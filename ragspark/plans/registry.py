@@ -8,6 +8,7 @@ _MODULES = [
     "ragspark.plans.vector_plans",
     "ragspark.plans.telemetry_plans",
     "ragspark.plans.report_plans",
+    "ragspark.plans.index_plans",
 ]
 
 

@@ -106,3 +106,34 @@ st AS (
          r.breakdown[4] + r.breakdown[5] + r.breakdown[6] AS lut_scan,
          (g.g_done - g.g_first) / CAST(r.output_len AS DOUBLE) AS tpot
   FROM req r {'LEFT ' if keep_unmatched else ''}JOIN gen g ON g.rid = r.rid LEFT JOIN bidle bi ON bi.batch_id = r.batch_id)"""
+
+
+SHARDS = 3
+
+SIZES = """sizes AS (SELECT c.list_id, count(a.vec_id) AS n FROM cent c LEFT JOIN asg a ON a.list_id = c.list_id GROUP BY c.list_id)"""
+FREQ = """freq AS (SELECT c.list_id, count(p.qid) AS freq FROM cent c LEFT JOIN probes p ON p.list_id = c.list_id GROUP BY c.list_id)"""
+CDF = f"""cdf AS (
+  SELECT list_id, freq, hot_rank,
+         sum(freq) OVER (ORDER BY hot_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           / CAST({NPROBE} * (SELECT count(*) FROM embeddings) AS DOUBLE) AS cdf
+  FROM (SELECT list_id, freq, CAST(row_number() OVER (ORDER BY freq DESC, list_id) - 1 AS BIGINT) AS hot_rank FROM freq) h)"""
+HALF = """half AS (SELECT list_id, freq, hot_rank, cdf FROM cdf WHERE hot_rank < (SELECT min(hot_rank) FROM cdf WHERE cdf >= 0.5))"""
+PLACE = f"""place AS (
+  SELECT list_id, n, rn % {SHARDS} AS shard, CAST(floor(rn / {SHARDS}) AS BIGINT) AS local_id FROM (
+    SELECT h.list_id, s.n, CAST(row_number() OVER (ORDER BY s.n, h.list_id) - 1 AS BIGINT) AS rn
+    FROM half h JOIN sizes s ON s.list_id = h.list_id) x)"""
+LUT = """lut AS (SELECT c.list_id, coalesce(p.shard, -1) AS shard, coalesce(p.local_id, c.list_id) AS local_id
+  FROM cent c LEFT JOIN place p ON p.list_id = c.list_id)"""
+ROUTED = """routed AS (
+  SELECT p.qid, p.probe_rank, p.list_id, l.shard, l.local_id,
+         CAST(row_number() OVER (PARTITION BY p.qid, l.shard ORDER BY p.probe_rank) - 1 AS BIGINT) AS pos
+  FROM probes p JOIN lut l ON l.list_id = p.list_id)"""
+
+
+def index_ctes(*names: str) -> str:
+    parts = {"cent": CENT, "asg": ASG, "probes": PROBES, "sizes": SIZES, "freq": FREQ, "cdf": CDF,
+             "half": HALF, "place": PLACE, "lut": LUT, "routed": ROUTED}
+    return "WITH " + ", ".join(parts[n] for n in names)
+
+
+INDEX_ALL = ("cent", "asg", "probes", "sizes", "freq", "cdf", "half", "place", "lut", "routed")

@@ -137,3 +137,57 @@ def index_ctes(*names: str) -> str:
 
 
 INDEX_ALL = ("cent", "asg", "probes", "sizes", "freq", "cdf", "half", "place", "lut", "routed")
+
+
+def asg_for(cent_name: str, out: str) -> str:
+    """Nearest-centroid assignment of every vector against CTE ``cent_name``."""
+    return f"""{out} AS (
+  SELECT vec_id, list_id, dist FROM (
+    SELECT vec_id, list_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, list_id) AS rn
+    FROM (SELECT e.vec_id, c.list_id, {l2('e.embedding', 'c.centroid')} AS dist FROM embeddings e, {cent_name} c) x) y
+  WHERE rn = 1)"""
+
+
+def lloyd_update(asg_name: str, cent_name: str, out: str) -> str:
+    """Mean of the members per list and dimension; empty lists keep their centroid."""
+    return f"""{out}_ex AS (
+  SELECT a.list_id, unnest(range(1, len(e.embedding) + 1)) AS i, e.embedding AS emb
+  FROM {asg_name} a JOIN embeddings e ON e.vec_id = a.vec_id),
+{out}_m AS (SELECT list_id, i, avg(emb[i]::DOUBLE) AS x FROM {out}_ex GROUP BY list_id, i),
+{out}_l AS (SELECT list_id, list(x ORDER BY i) AS mean FROM {out}_m GROUP BY list_id),
+{out} AS (SELECT c.list_id, coalesce(l.mean, list_transform(c.centroid, lambda v: v::DOUBLE)) AS centroid
+  FROM {cent_name} c LEFT JOIN {out}_l l ON l.list_id = c.list_id)"""
+
+
+# PQ fixture: the 16 vectors right after the centroids in hash order, as
+# residuals to their list centroid, are the words of every sub-space.
+RES = """res AS (
+  SELECT a.vec_id, a.list_id, list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i] - c.centroid[i]) AS res
+  FROM asg a JOIN embeddings e ON e.vec_id = a.vec_id JOIN cent c ON c.list_id = a.list_id)"""
+WORDS = f"""words AS (
+  SELECT CAST(hr.r - nl.nlist AS BIGINT) AS j, r2.res AS wres FROM (
+    SELECT vec_id, row_number() OVER (ORDER BY {h('vec_id')}, vec_id) - 1 AS r FROM embeddings) hr,
+    (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS nlist FROM embeddings) nl, res r2
+  WHERE r2.vec_id = hr.vec_id AND hr.r >= nl.nlist AND hr.r < nl.nlist + 16)"""
+ENC = """enc AS (
+  SELECT vec_id, list_id, sub_m AS m, code FROM (
+    SELECT r.vec_id, r.list_id, t.sub_m, w.j AS code,
+      row_number() OVER (PARTITION BY r.vec_id, t.sub_m ORDER BY
+        (r.res[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE) * (r.res[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE)
+        + (r.res[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) * (r.res[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE),
+        w.j) AS rn
+    FROM res r, words w, range(0, CAST(len(r.res) / 2 AS BIGINT)) t(sub_m)) x
+  WHERE rn = 1)"""
+QLUT = """qlut AS (
+  SELECT p.qid, p.list_id, t.sub_m AS m, w.j AS code,
+    (q.qr[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE) * (q.qr[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE)
+    + (q.qr[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) * (q.qr[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) AS pd
+  FROM probes p
+  JOIN (SELECT p2.qid, p2.list_id, list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i] - c.centroid[i]) AS qr
+        FROM probes p2 JOIN embeddings e ON e.vec_id = p2.qid JOIN cent c ON c.list_id = p2.list_id) q
+    ON q.qid = p.qid AND q.list_id = p.list_id,
+  words w, range(0, CAST(len(q.qr) / 2 AS BIGINT)) t(sub_m))"""
+ADC_CAND = """adc AS (
+  SELECT l.qid, l.list_id, e.vec_id, sum(l.pd) AS dist
+  FROM qlut l JOIN enc e ON e.list_id = l.list_id AND e.m = l.m AND e.code = l.code
+  GROUP BY l.qid, l.list_id, e.vec_id)"""

@@ -116,3 +116,109 @@ def vec_topk_merge(spark, sf):
     members = asg.select("vec_id", "list_id").join(vecs, "vec_id")
     res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat")
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
+
+
+# ------------------------------------------------------------ k-means / PQ
+from ragspark.functions.ranks import global_rank  # noqa: E402
+from ragspark.operators import quantize as QZ  # noqa: E402
+
+KMEANS_STEPS = 2   # unrolled steps checked against SQL
+MSUB, KSUB = 2, 16
+
+
+@_reg("vec_kmeans", f"""WITH {sp.CENT}, {sp.asg_for('cent', 'a1')}, {sp.lloyd_update('a1', 'cent', 'c1')},
+{sp.asg_for('c1', 'a2')}, {sp.lloyd_update('a2', 'c1', 'c2')}
+SELECT c.list_id, count(a.vec_id) AS n_members, round(list_sum(c.centroid), 4) AS centroid_sum,
+  round(list_sum(list_transform(c.centroid, lambda v: v * v)), 4) AS centroid_norm2
+FROM c2 c LEFT JOIN a2 a ON a.list_id = c.list_id GROUP BY c.list_id, c.centroid""")
+def vec_kmeans(spark, sf):
+    """Two Lloyd steps from the fixed init (the library default is 10)."""
+    vecs = fx.vectors(spark, sf)
+    _, cent = QZ.kmeans(vecs, fx.fixed_centroids(vecs), iters=KMEANS_STEPS)
+    return _r4(cent.select(
+        "list_id", F.col("n_members").cast("bigint").alias("n_members"),
+        F.aggregate("centroid", F.lit(0.0).cast("double"), lambda a, x: a + x).alias("centroid_sum"),
+        F.aggregate("centroid", F.lit(0.0).cast("double"), lambda a, x: a + x * x).alias("centroid_norm2")),
+        "centroid_sum", "centroid_norm2")
+
+
+class PQState:
+    def __init__(self, spark, sf):
+        self.vecs, self.cent, self.asg, self.qs, self.probes = probing(spark, sf)
+        self.nlist = self.cent.count()
+        self.res = (self.asg.select("vec_id", "list_id").join(self.vecs, "vec_id").join(self.cent, "list_id")
+                    .select("vec_id", "list_id", sub("embedding", "centroid").alias("res")))
+        ranked = global_rank(self.vecs.select("vec_id").withColumn("_h", fx.hash_order("vec_id")),
+                             ["_h", "vec_id"], out="_hr")
+        words = (ranked.where((F.col("_hr") >= self.nlist) & (F.col("_hr") < self.nlist + KSUB))
+                 .select("vec_id", (F.col("_hr") - self.nlist).alias("word_id")).join(self.res, "vec_id"))
+        self.codebook = QZ.codebook_from_rows(words, "res", MSUB)
+        self.codes = QZ.pq_encode(self.res, self.codebook)
+
+
+_PQ_BASE = f"WITH {sp.CENT}, {sp.ASG}, {sp.RES}, {sp.WORDS}, {sp.ENC}"
+_PQ_SEARCH = f"WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.RES}, {sp.WORDS}, {sp.ENC}, {sp.QLUT}, {sp.ADC_CAND}"
+
+
+@_reg("vec_pq_encode", f"{_PQ_BASE} SELECT vec_id, list_id, CAST(m AS BIGINT) AS m, code FROM enc")
+def vec_pq_encode(spark, sf):
+    st = PQState(spark, sf)
+    return st.codes.select("vec_id", "list_id", F.posexplode("code").alias("m", "code")) \
+        .select("vec_id", "list_id", F.col("m").cast("bigint").alias("m"), F.col("code").cast("bigint").alias("code"))
+
+
+@_reg("vec_adc_lut", f"""WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.RES}, {sp.WORDS}, {sp.QLUT}
+SELECT qid, list_id, CAST(m AS BIGINT) AS m, round(min(pd), 6) AS lut_min, round(sum(pd), 6) AS lut_sum,
+  arg_min(code, pd) AS lut_argmin FROM qlut GROUP BY qid, list_id, m""")
+def vec_adc_lut(spark, sf):
+    """Per (query, probed list, sub-space): smallest / total partial distance
+    and the closest word."""
+    st = PQState(spark, sf)
+    cb = QZ.codebook_frame(spark, st.codebook)
+    lut = QZ.adc_lut(st.probes, st.qs, st.cent, cb, MSUB)
+    out = lut.groupBy("qid", "list_id", "m").agg(
+        F.min("pd").alias("lut_min"), F.sum("pd").alias("lut_sum"),
+        F.min_by("code", F.struct("pd", "code")).cast("bigint").alias("lut_argmin"))
+    return out.withColumn("m", F.col("m").cast("bigint")).withColumn("lut_min", F.round("lut_min", 6)) \
+        .withColumn("lut_sum", F.round("lut_sum", 6))
+
+
+@_reg("vec_adc_scan", f"""{_PQ_SEARCH}
+SELECT qid, list_id, vec_id, round(dist, 4) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, list_id ORDER BY dist, vec_id) AS rn FROM adc) z WHERE rn <= {fx.TOPK}""")
+def vec_adc_scan(spark, sf):
+    """ADC scan: the k best codes of every probed list per query."""
+    st = PQState(spark, sf)
+    cand = S.scan_lists(st.probes, st.qs, st.codes, fx.TOPK, mode="pq", centroids=st.cent, codebook=st.codebook)
+    return _r4(S.per_list_topk(cand, fx.TOPK).select("qid", "list_id", "vec_id", "dist"), "dist")
+
+
+_IVFPQ_SQL = f"{_PQ_SEARCH} {sp.topk('adc')}"
+
+
+@_reg("vec_ivfpq_search", _IVFPQ_SQL)
+def vec_ivfpq_search(spark, sf):
+    """Probe -> LUT -> ADC scan in salted cells -> final top-k."""
+    st = PQState(spark, sf)
+    res = S.ivf_search(st.probes, st.qs, st.codes, fx.TOPK, mode="pq", centroids=st.cent, codebook=st.codebook)
+    return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
+
+
+@_reg("rte_hot_then_cold", _IVFPQ_SQL)
+def rte_hot_then_cold(spark, sf):
+    """Split search: probes routed to device shards (hot lists) and to the host
+    (cold) are scanned separately and merged; equals the unsplit search."""
+    from ragspark.operators import hitrate as hr
+    from ragspark.operators import placement as pl
+    from ragspark.operators import routing as rt
+    st = PQState(spark, sf)
+    nq = st.qs.count()
+    sizes = pl.list_sizes(st.cent, st.asg)
+    hot = hr.half_set(hr.cdf(hr.frequency(st.probes, st.cent), fx.NPROBE * nq))
+    lut = pl.full_lut(st.cent, pl.place(hot, sizes, fx.SHARDS), st.nlist)
+    routed = rt.route(st.probes, lut, st.nlist)
+    kw = dict(mode="pq", centroids=st.cent, codebook=st.codebook)
+    hot_c = S.scan_lists(routed.where(F.col("shard") >= 0), st.qs, st.codes, fx.TOPK, **kw).drop("list_id")
+    cold_c = S.scan_lists(routed.where(F.col("shard") == -1), st.qs, st.codes, fx.TOPK, **kw).drop("list_id")
+    res = rt.hot_then_cold(hot_c, cold_c, fx.TOPK)
+    return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")

@@ -203,3 +203,34 @@ def tel_batch_schedule(spark, sf):
     reps = max(0, (n - 2 * SCHED_WARMUP) // (MAX_BATCH * (MAX_BATCH + 1) // 2))
     out = tel.batch_schedule(base.select("rid"), SCHED_WARMUP, reps, MAX_BATCH)
     return out.select("rid", "sched_batch", F.col("sched_size").cast("int").alias("sched_size"))
+
+
+# ---------------------------------------------------------------- volume log
+_VOL_METRICS = ["search", "e2e", "batch_size"]
+_VOL_UNPIVOT = " UNION ALL ".join(
+    f"SELECT l_returnflag, l_linestatus, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM vol" for m in _VOL_METRICS)
+
+
+@_reg("tel_volume_summary", f"""WITH vol AS (
+  SELECT l_returnflag, l_linestatus, l_discount + l_tax AS search, l_extendedprice / 1000.0::DOUBLE AS e2e,
+         count(*) OVER (PARTITION BY l_orderkey) AS batch_size FROM lineitem),
+lg AS ({_VOL_UNPIVOT})
+SELECT l_returnflag, l_linestatus, metric, count(*) AS n, {R('avg(value)')} AS avg,
+  {R('quantile_cont(value, 0.5)')} AS p50, {R('quantile_cont(value, 0.9)')} AS p90, {R('quantile_cont(value, 0.95)')} AS p95
+FROM lg GROUP BY l_returnflag, l_linestatus, metric""")
+def tel_volume_summary(spark, sf):
+    """TEL8 at volume: lineitem as a request log (batch = order, search =
+    discount + tax, e2e = price / 1000); batch size is a grouped count joined
+    back (no window), percentiles exact and distributed."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus",
+                                                 "l_discount", "l_tax", "l_extendedprice")
+    sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("batch_size"))
+    vol = (li.join(sizes, "l_orderkey")
+           .withColumn("search", F.col("l_discount") + F.col("l_tax"))
+           .withColumn("e2e", F.col("l_extendedprice") / F.lit(1000.0)))
+    keys = ["l_returnflag", "l_linestatus"]
+    long = tel.unpivot_metrics(vol, keys, _VOL_METRICS)
+    cnt = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg"))
+    from ragspark.functions.stats import exact_percentiles
+    pct = exact_percentiles(long, [*keys, "metric"], "value", [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
+    return rnd(cnt.join(pct, [*keys, "metric"]), 6, "avg", "p50", "p90", "p95")

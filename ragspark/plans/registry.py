@@ -9,6 +9,7 @@ _MODULES = [
     "ragspark.plans.telemetry_plans",
     "ragspark.plans.report_plans",
     "ragspark.plans.index_plans",
+    "ragspark.plans.model_plans",
 ]
 
 

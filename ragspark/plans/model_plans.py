@@ -52,24 +52,26 @@ def _c_col():
     return F.col("m") * (F.lit(1.0) - F.col("m")) / est - F.lit(1.0)
 
 
-def _tail_sql(means_sql: str, ns, extra_cols: str = "") -> str:
+def _tail_sql(means_sql: str, ns, pfx: str = "") -> str:
+    """CTEs computing ``{pfx}tails(m, n, tail)`` for the means of ``means_sql``
+    (column m) with the variance fitted on ``hq``."""
     sums = ", ".join(f"sum(pow(1.0::DOUBLE - Fv, {float(n)}::DOUBLE) * g) AS n{n}" for n in ns)
-    unp = " UNION ALL ".join(f"SELECT m, {n} AS n, n{n} AS tail FROM wide" for n in ns)
+    unp = " UNION ALL ".join(f"SELECT m, {n} AS n, n{n} AS tail FROM {pfx}wide" for n in ns)
     edge = " UNION ALL ".join(
-        f"SELECT m, {n} AS n, CASE WHEN m >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tail FROM mg WHERE m <= 0 OR m >= 1"
+        f"SELECT m, {n} AS n, CASE WHEN m >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tail FROM {pfx}mg WHERE m <= 0 OR m >= 1"
         for n in ns)
-    return f"""v AS (SELECT var_pop(hit_rate) AS var FROM hq),
-mg AS (SELECT g.m, g.m * (1.0::DOUBLE - g.m) / (4.0::DOUBLE * v.var * g.m * (1.0::DOUBLE - g.m)) - 1.0::DOUBLE AS c
-       FROM {means_sql}, v),
-nd AS (SELECT m, c, j, -30.0::DOUBLE + CAST(j AS DOUBLE) * 0.05::DOUBLE AS t FROM mg, range(0, 1201) r(j) WHERE m > 0 AND m < 1),
-nx AS (SELECT m, c, j, 1.0::DOUBLE / (1.0::DOUBLE + exp(-t)) AS x, -ln(1.0::DOUBLE + exp(-t)) AS lnx,
-              -ln(1.0::DOUBLE + exp(t)) AS ln1mx, m * c AS a, (1.0::DOUBLE - m) * c AS b FROM nd),
-nw AS (SELECT m, j, x, exp(a * lnx + b * ln1mx) * 0.05::DOUBLE AS w, exp(-30.0::DOUBLE * a) / a AS L,
-              exp(-30.0::DOUBLE * b) / b AS R FROM nx),
-nf AS (SELECT m, j, x, w, (L + sum(w) OVER (PARTITION BY m ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w / 2.0::DOUBLE)
-              / (L + sum(w) OVER (PARTITION BY m) + R) AS Fv, x * (1.0::DOUBLE - x) * 0.05::DOUBLE AS g FROM nw),
-wide AS (SELECT m, {sums} FROM nf GROUP BY m),
-tails AS ({unp} UNION ALL {edge})"""
+    return f"""{pfx}v AS (SELECT var_pop(hit_rate) AS var FROM hq),
+{pfx}mg AS (SELECT DISTINCT g.m, g.m * (1.0::DOUBLE - g.m) / (4.0::DOUBLE * v.var * g.m * (1.0::DOUBLE - g.m)) - 1.0::DOUBLE AS c
+       FROM {means_sql}, {pfx}v v),
+{pfx}nd AS (SELECT m, c, j, -30.0::DOUBLE + CAST(j AS DOUBLE) * 0.05::DOUBLE AS t FROM {pfx}mg, range(0, 1201) r(j) WHERE m > 0 AND m < 1),
+{pfx}nx AS (SELECT m, c, j, 1.0::DOUBLE / (1.0::DOUBLE + exp(-t)) AS x, -ln(1.0::DOUBLE + exp(-t)) AS lnx,
+              -ln(1.0::DOUBLE + exp(t)) AS ln1mx, m * c AS a, (1.0::DOUBLE - m) * c AS b FROM {pfx}nd),
+{pfx}nw AS (SELECT m, j, x, exp(a * lnx + b * ln1mx) * 0.05::DOUBLE AS w, exp(-30.0::DOUBLE * a) / a AS L,
+              exp(-30.0::DOUBLE * b) / b AS R FROM {pfx}nx),
+{pfx}nf AS (SELECT m, j, x, w, (L + sum(w) OVER (PARTITION BY m ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w / 2.0::DOUBLE)
+              / (L + sum(w) OVER (PARTITION BY m) + R) AS Fv, x * (1.0::DOUBLE - x) * 0.05::DOUBLE AS g FROM {pfx}nw),
+{pfx}wide AS (SELECT m, {sums} FROM {pfx}nf GROUP BY m),
+{pfx}tails AS ({unp} UNION ALL {edge})"""
 
 
 def _means_sql(ms) -> str:

@@ -10,6 +10,7 @@ _MODULES = [
     "ragspark.plans.report_plans",
     "ragspark.plans.index_plans",
     "ragspark.plans.model_plans",
+    "ragspark.plans.capacity_plans",
 ]
 
 

@@ -11,6 +11,7 @@ _MODULES = [
     "ragspark.plans.index_plans",
     "ragspark.plans.model_plans",
     "ragspark.plans.capacity_plans",
+    "ragspark.plans.text_plans",
 ]
 
 

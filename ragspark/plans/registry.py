@@ -12,6 +12,7 @@ _MODULES = [
     "ragspark.plans.model_plans",
     "ragspark.plans.capacity_plans",
     "ragspark.plans.text_plans",
+    "ragspark.plans.source_plans",
 ]
 
 

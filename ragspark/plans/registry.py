@@ -13,6 +13,7 @@ _MODULES = [
     "ragspark.plans.capacity_plans",
     "ragspark.plans.text_plans",
     "ragspark.plans.source_plans",
+    "ragspark.plans.stream_plans",
 ]
 
 

@@ -289,3 +289,46 @@ def src_tokens_txt(spark, sf):
     fx.table(spark, sf, "benchmark").select("text").write.text(path)
     toks = tb.read_tokens(spark, path)
     return toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_catalog_json(path: str) -> None:
+    """Model catalog files in the reference's JSON layout (one per model)."""
+    import json
+    import os
+    from ragspark.sources import catalog as cat
+    os.makedirs(path, exist_ok=True)
+    models = {}
+    for m, kind, dev, i, o, g, v in cat.MODEL_PERF:
+        mod = models.setdefault(m, {"tput_ceiling": {}, "slo": {}})
+        ents = mod["tput_ceiling" if kind == "tput" else "slo"].setdefault(dev, [])
+        ent = next((e for e in ents if e["input"] == i and e["output"] == o), None)
+        if ent is None:
+            ent = {"input": i, "output": o, "values": {}}
+            ents.append(ent)
+        ent["values"][f"ngpu={g}"] = v
+    for m, name, mem, tp in cat.MODELS:
+        models[m].update({"name": name, "memory_gb": mem, "tp_size": tp})
+        with open(os.path.join(path, f"{m}.json"), "w") as f:
+            json.dump(models[m], f, indent=2)
+
+
+_CAT_PERF = __import__("ragspark.sources.catalog", fromlist=["values_sql"]).values_sql(
+    __import__("ragspark.sources.catalog", fromlist=["MODEL_PERF"]).MODEL_PERF,
+    "model, kind, device, input, output, ngpu, value")
+
+
+@_reg("src_catalog", f"""WITH {_ST}, runs AS (SELECT DISTINCT ngpu, input_len, output_len FROM st)
+SELECT p.model, p.kind, p.device, r.ngpu, r.input_len, r.output_len, p.value FROM runs r
+JOIN {_CAT_PERF.replace(" AS t(", " AS p(")} ON p.input = r.input_len AND p.output = r.output_len AND p.ngpu = r.ngpu""")
+def src_catalog(spark, sf):
+    """Catalog JSON files (device -> [{input, output, values: {ngpu=N: x}}])
+    read and flattened with explode + regexp, then looked up for every run
+    configuration seen in the request log."""
+    from ragspark.sources import catalog as cat
+    path = scratch.local_path(scratch.new_dir(spark, "catalog"))
+    write_catalog_json(path)
+    _, perf = cat.load_json(spark, path + "/*.json")
+    runs = fx.requests(spark, sf).select("ngpu", "input_len", "output_len").distinct()
+    j = runs.join(F.broadcast(perf), (runs.input_len == perf.input) & (runs.output_len == perf.output)
+                  & (runs.ngpu == perf.ngpu))
+    return j.select("model", "kind", "device", runs.ngpu, "input_len", "output_len", "value")

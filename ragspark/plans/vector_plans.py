@@ -222,3 +222,19 @@ def rte_hot_then_cold(spark, sf):
     cold_c = S.scan_lists(routed.where(F.col("shard") == -1), st.qs, st.codes, fx.TOPK, **kw).drop("list_id")
     res = rt.hot_then_cold(hot_c, cold_c, fx.TOPK)
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
+
+
+@_reg("vec_pq_train")
+def vec_pq_train(spark, sf):
+    """Per sub-space codebook training (16 words, 10 Lloyd steps) on the
+    residuals of the training sample (min(39 x nlist, n) vectors), one
+    applyInPandas group per sub-space.  Rows-only in the oracle (a trained
+    codebook); tests check it against numpy."""
+    from ragspark.operators import sampling as smp
+    vecs, cent, asg = assignment(spark, sf)
+    nlist = fx.auto_nlist(vecs).first()["nlist"]
+    sample = smp.train_sample(vecs.select("vec_id"), "vec_id", nlist).select("vec_id")
+    res = (sample.join(asg.select("vec_id", "list_id"), "vec_id").join(vecs, "vec_id").join(cent, "list_id")
+           .select("vec_id", sub("embedding", "centroid").alias("res")))
+    cb = QZ.pq_train(res, MSUB, KSUB, iters=10)
+    return cb.select("m", "code", F.round(F.aggregate("word", F.lit(0.0), lambda a, x: a + x), 6).alias("word_sum"))

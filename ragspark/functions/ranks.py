@@ -8,9 +8,11 @@ configuration, not by data.
 Spark seeds the range partitioner's sampling with the RDD id, so two
 evaluations of the same range exchange (two branches of one plan, or a
 recomputation after executor loss) may cut different boundaries.  The ranged,
-locally numbered rows are therefore written once with a reliable
-``checkpoint()`` into ``spark.checkpoint.dir``; counts and ranks both read that
-snapshot, and lost executors re-read files instead of re-sampling.
+locally numbered rows are therefore written once as a Parquet table in the
+shared ``spark.checkpoint.dir`` (one computation, columnar, no lineage);
+counts and ranks both read that snapshot, and lost executors re-read files
+instead of re-sampling.  The partition id and in-partition position travel
+as a column, so the read-back layout does not matter.
 """
 
 from __future__ import annotations
@@ -26,6 +28,14 @@ from pyspark.sql import types as T
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row_in_partition
 
 
+def snapshot(df: DataFrame, name: str = "snap") -> DataFrame:
+    """Materialise ``df`` as a Parquet table under the checkpoint folder."""
+    from ragspark.sources.scratch import new_dir
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -56,7 +66,7 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
     """Append a dense 0-based BIGINT rank following ``order`` (end it with a
     unique key; equal keys otherwise get an arbitrary but consistent order)."""
     ranged = _ranged(df, order, num_partitions)
-    snap = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    snap = snapshot(ranged.withColumn("_mid", F.monotonically_increasing_id()), "rank")
     local = (snap.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
              .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     offs = _offsets(local, None)
@@ -96,7 +106,7 @@ def prefix_sum(df: DataFrame, order: Sequence[Column | str], value: str, out: st
     if rank_out:
         local = (local.withColumn("_mid", F.monotonically_increasing_id())
                  .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    local = local.checkpoint(eager=True)
+    local = snapshot(local, "prefix")
     offs = _offsets(local, value)
     res = local.join(offs, "_pid", "left").withColumn(out, F.col("_woff") + F.col("_lcsum"))
     if exclusive:

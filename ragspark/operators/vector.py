@@ -38,11 +38,13 @@ def vector_dim(df: DataFrame, vec_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def _ref_blocks(ref: DataFrame, ref_id: str, ref_vec: str, dim: int):
-    """Yield (ids, matrix) blocks of the reference side, each under the cap."""
+def ref_blocks(ref: DataFrame, ref_id: str, ref_vec: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Collect the reference side as (ids, matrix) blocks, each under the
+    broadcast cap.  One job measures rows and dimension first."""
     spark = ref.sparkSession
+    stats = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(ref_vec)).alias("d")).first()
+    n_ref, dim = int(stats["n"]), int(stats["d"] or 0)
     per_row = max(1, dim) * 8 + 8
-    n_ref = ref.count()
     if sizing.fits(spark, n_ref, per_row):
         blocks = [ref]
     else:
@@ -50,10 +52,12 @@ def _ref_blocks(ref: DataFrame, ref_id: str, ref_vec: str, dim: int):
         ranked = global_rank(ref.select(ref_id, ref_vec), [ref_id], out="_rk")
         nb = math.ceil(n_ref / rpb)
         blocks = [ranked.where(F.floor(F.col("_rk") / rpb) == b).drop("_rk") for b in range(nb)]
+    out = []
     for blk in blocks:
         tbl = blk.select(ref_id, ref_vec).toArrow()
         ids = tbl.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield ids, to_matrix(tbl.column(1))
+        out.append((ids, to_matrix(tbl.column(1))))
+    return out
 
 
 def _nearest_kernel(bc, base_id: str, base_vec: str, k: int):
@@ -85,16 +89,17 @@ def _nearest_kernel(bc, base_id: str, base_vec: str, k: int):
     return run
 
 
-def nearest(base: DataFrame, ref: DataFrame, k: int, *, base_id: str, base_vec: str,
+def nearest(base: DataFrame, ref: DataFrame | None, k: int, *, base_id: str, base_vec: str,
             ref_id: str, ref_vec: str, out_base: str, out_ref: str,
-            out_rank: str = "rank", out_dist: str = "dist") -> DataFrame:
-    """For each base row, its k nearest reference rows (ties by reference id)."""
+            out_rank: str = "rank", out_dist: str = "dist", blocks=None) -> DataFrame:
+    """For each base row, its k nearest reference rows (ties by reference id).
+    ``blocks`` (from ``ref_blocks``) reuses an already collected reference."""
     spark = base.sparkSession
-    dim = vector_dim(ref, ref_vec)
+    blocks = blocks if blocks is not None else ref_blocks(ref, ref_id, ref_vec)
     schema = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_r", T.LongType()),
                            T.StructField("_rank", T.LongType()), T.StructField("_d", T.DoubleType())])
     parts = []
-    for ids, mat in _ref_blocks(ref, ref_id, ref_vec, dim):
+    for ids, mat in blocks:
         bc = spark.sparkContext.broadcast((ids, mat))
         parts.append(base.select(base_id, base_vec).mapInArrow(_nearest_kernel(bc, base_id, base_vec, k), schema))
     res = parts[0]
@@ -143,11 +148,10 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "
               vec_col: str = "embedding", qid: str = "qid", q_col: str = "embedding") -> DataFrame:
     """VEC2: exact top-k base vectors per query -> (qid, rank, vec_id, dist)."""
     spark = vectors.sparkSession
-    dim = vector_dim(queries, q_col)
     schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_v", T.LongType()),
                            T.StructField("_d", T.DoubleType())])
     parts = []
-    for ids, mat in _ref_blocks(queries, qid, q_col, dim):
+    for ids, mat in ref_blocks(queries, qid, q_col):
         bc = spark.sparkContext.broadcast((ids, mat))
         parts.append(vectors.select(vec_id, vec_col).mapInArrow(_knn_kernel(bc, vec_id, vec_col, k), schema))
     cand = parts[0]

@@ -49,8 +49,10 @@ def fixed_centroids(vecs: DataFrame) -> DataFrame:
     """Deterministic init: the floor(sqrt(n)) vectors first in hash order,
     numbered 0.. in that order -> (list_id, centroid)."""
     nlist = auto_nlist(vecs).first()["nlist"]
-    ranked = global_rank(vecs.withColumn("_h", hash_order("vec_id")), ["_h", "vec_id"], out="list_id")
-    return ranked.where(F.col("list_id") < nlist).select("list_id", F.col("embedding").alias("centroid"))
+    # rank ids only (the snapshot stays narrow), then fetch the nlist vectors
+    ranked = global_rank(vecs.select("vec_id").withColumn("_h", hash_order("vec_id")), ["_h", "vec_id"], out="list_id")
+    chosen = ranked.where(F.col("list_id") < nlist).select("vec_id", "list_id")
+    return chosen.join(vecs, "vec_id").select("list_id", F.col("embedding").alias("centroid"))
 
 
 # ---------------------------------------------------------------- request log

@@ -24,20 +24,23 @@ def _reg(name: str, sql: str | None = None):
     return deco
 
 
-def assignment(spark: SparkSession, sf: str):
+def assignment(spark: SparkSession, sf: str, with_blocks: bool = False):
+    """Fixed-init centroids and the nearest-list assignment of every vector;
+    the centroid blocks are collected once and reused by the probe step."""
     vecs = fx.vectors(spark, sf)
     cent = fx.fixed_centroids(vecs)
-    asg = V.nearest(vecs, cent, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
-                    ref_vec="centroid", out_base="vec_id", out_ref="list_id").drop("rank")
-    return vecs, cent, asg
+    blocks = V.ref_blocks(cent, "list_id", "centroid")
+    asg = V.nearest(vecs, None, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
+                    ref_vec="centroid", out_base="vec_id", out_ref="list_id", blocks=blocks).drop("rank")
+    return (vecs, cent, asg, blocks) if with_blocks else (vecs, cent, asg)
 
 
 def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE):
-    vecs, cent, asg = assignment(spark, sf)
+    vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True)
     qs = fx.queries(spark, sf)
-    probes = V.nearest(qs, cent, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
+    probes = V.nearest(qs, None, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
                        ref_vec="centroid", out_base="qid", out_ref="list_id",
-                       out_rank="probe_rank", out_dist="cdist")
+                       out_rank="probe_rank", out_dist="cdist", blocks=blocks)
     return vecs, cent, asg, qs, probes
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.functions.ranks import snapshot
 from ragspark.functions.vecmath import l2sq, sub
 from ragspark.operators import search as S
 from ragspark.operators import vector as V
@@ -32,6 +33,8 @@ def assignment(spark: SparkSession, sf: str, with_blocks: bool = False):
     blocks = V.ref_blocks(cent, "list_id", "centroid")
     asg = V.nearest(vecs, None, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
                     ref_vec="centroid", out_base="vec_id", out_ref="list_id", blocks=blocks).drop("rank")
+    # the assignment is the index: written once, scanned by every later step
+    asg = snapshot(asg, "assignment")
     return (vecs, cent, asg, blocks) if with_blocks else (vecs, cent, asg)
 
 
@@ -41,7 +44,7 @@ def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE):
     probes = V.nearest(qs, None, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
                        ref_vec="centroid", out_base="qid", out_ref="list_id",
                        out_rank="probe_rank", out_dist="cdist", blocks=blocks)
-    return vecs, cent, asg, qs, probes
+    return vecs, cent, asg, qs, snapshot(probes, "probes")
 
 
 def _r4(df: DataFrame, *cols: str) -> DataFrame:

@@ -57,7 +57,9 @@ def fixed_centroids(vecs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- request log
 def _arrival(ts: str = "ts") -> Column:
-    return ((F.unix_micros(F.col(ts).cast("timestamp")) - F.lit(EPOCH0_US)) / F.lit(1e6))
+    """Seconds since 2024-01-01 of a zone-less timestamp; independent of the
+    session time zone (a difference of two TIMESTAMP_NTZ values)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})") / F.lit(1e6)
 
 
 def request_base(spark: SparkSession, sf_dir: str, batch_seconds: int = BATCH_SECONDS) -> DataFrame:

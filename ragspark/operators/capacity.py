@@ -42,7 +42,7 @@ def with_share(points: DataFrame, pv: DataFrame, nlist: int, ntotal: int) -> Dat
     """Share of all vectors held by the hot prefix covering fraction p of our
     lists: L = floor(p * nlist), share = vectors(L) / ntotal (0 for L = 0)."""
     pts = points.withColumn("_L", F.floor(F.col("p") * F.lit(float(nlist))).cast("bigint"))
-    j = pts.join(F.broadcast(pv.withColumnRenamed("prefix_len", "_L")), "_L", "left")
+    j = pts.join(pv.withColumnRenamed("prefix_len", "_L"), "_L", "left")
     return j.withColumn("share", F.coalesce(F.col("n_vectors"), F.lit(0)).cast("double") / F.lit(float(ntotal))) \
         .drop("_L", "n_vectors")
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ragspark.operators import capacity as cp
 from ragspark.operators import hitrate as hr
 from ragspark.operators import latency as lt
-from ragspark.operators import placement as pl
 from ragspark.operators import tail as tl
 from ragspark.plans import fixtures as fx
 from ragspark.plans import sqlparts as sp
@@ -49,10 +48,6 @@ def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df
 
 
-def _index_rows(names=None):
-    return [r for r in cat.INDEXES if names is None or r[0] in names]
-
-
 def _scenarios(ngpus=(8, 6, 4), index="wikiall"):
     """(ngpu, ceiling, gpu_mem, model_mem, tp, index params, slo_ms) rows."""
     gpu_mem = dict(cat.GPUS)[DEVICE]
@@ -326,7 +321,7 @@ def _candidates(s: Shared) -> DataFrame:
     # smallest hot prefix reaching the mean: one conditional-min per candidate
     # against the nlist-row CDF (config-sized), via a range join on cdf >= mean
     cdf = s.c.st.cdf.select("hot_rank", F.col("cdf").alias("_cdf"))
-    k = j.join(F.broadcast(cdf), F.col("_cdf") >= F.col("mean"), "left").groupBy("ngpu", "p").agg(
+    k = j.join(cdf, F.col("_cdf") >= F.col("mean"), "left").groupBy("ngpu", "p").agg(
         F.min("hot_rank").alias("_first"))
     j = j.join(k, ["ngpu", "p"], "left")
     need_p = F.when(F.col("mean") >= 1, F.lit(1.0)).when(F.col("mean") <= 0, F.lit(0.0)) \
@@ -374,7 +369,7 @@ def _budget(c: Cap) -> DataFrame:
     g = g.withColumn("ppt", F.when(F.col("whole") <= F.col("ngpu") * F.col("gpu_mem"), F.lit(1.0)).otherwise(F.col("p_hi")))
     g = g.withColumn("p_cid", F.floor(F.col("ppt") * F.lit(float(c.nlist))).cast("bigint"))
     cdf = c.st.cdf.select(F.col("hot_rank"), F.col("cdf"))
-    j = g.join(F.broadcast(cdf), F.col("hot_rank") == F.col("p_cid") - 1, "left")
+    j = g.join(cdf, F.col("hot_rank") == F.col("p_cid") - 1, "left")
     mhr = F.when(F.col("ppt") >= 1.0, F.lit(1.0)).when(F.col("p_cid") > 0, F.col("cdf")).otherwise(F.lit(0.0))
     return j.select("index", "ngpu", "ppt", mhr.alias("mhr"))
 

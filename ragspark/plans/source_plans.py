@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.operators import hitrate as hr
 from ragspark.operators import latency as lt
 from ragspark.operators import placement as pl
 from ragspark.operators import telemetry as tel
@@ -18,6 +17,8 @@ from ragspark.plans import fixtures as fx
 from ragspark.plans import sqlparts as sp
 from ragspark.plans.index_plans import State
 from ragspark.plans.model_plans import RANGE_W, _LAT_COLS, _LAT_SQL, _fit_sql
+from ragspark.plans.text_plans import SENT
+from ragspark.sources import catalog as cat
 from ragspark.sources import fbin
 from ragspark.sources import scratch
 from ragspark.sources import tables as tb
@@ -118,7 +119,7 @@ def src_query_tsv(spark, sf):
     return tb.read_query_tsv(spark, path)
 
 
-@_reg("src_text_scan", f"WITH {__import__('ragspark.plans.text_plans', fromlist=['SENT']).SENT} SELECT chunk_id, text FROM chunks")
+@_reg("src_text_scan", f"WITH {SENT} SELECT chunk_id, text FROM chunks")
 def src_text_scan(spark, sf):
     """Chunk store written as Parquet and scanned back in key order."""
     path = scratch.new_dir(spark, "chunks")
@@ -226,7 +227,7 @@ def sink_hot_stats(spark, sf):
     st.hot.select("list_id").write.parquet(path + "/hot_set")
     c = spark.read.parquet(path + "/hot_cdf")
     h = spark.read.parquet(path + "/hot_set").withColumn("hot", F.lit(True))
-    out = c.join(F.broadcast(h), "list_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    out = c.join(h, "list_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     return rnd(out.select("hot_rank", "list_id", "freq", "cdf", "hot"), 9, "cdf")
 
 
@@ -295,7 +296,6 @@ def write_catalog_json(path: str) -> None:
     """Model catalog files in the reference's JSON layout (one per model)."""
     import json
     import os
-    from ragspark.sources import catalog as cat
     os.makedirs(path, exist_ok=True)
     models = {}
     for m, kind, dev, i, o, g, v in cat.MODEL_PERF:
@@ -312,9 +312,7 @@ def write_catalog_json(path: str) -> None:
             json.dump(models[m], f, indent=2)
 
 
-_CAT_PERF = __import__("ragspark.sources.catalog", fromlist=["values_sql"]).values_sql(
-    __import__("ragspark.sources.catalog", fromlist=["MODEL_PERF"]).MODEL_PERF,
-    "model, kind, device, input, output, ngpu, value")
+_CAT_PERF = cat.values_sql(cat.MODEL_PERF, "model, kind, device, input, output, ngpu, value")
 
 
 @_reg("src_catalog", f"""WITH {_ST}, runs AS (SELECT DISTINCT ngpu, input_len, output_len FROM st)
@@ -324,7 +322,6 @@ def src_catalog(spark, sf):
     """Catalog JSON files (device -> [{input, output, values: {ngpu=N: x}}])
     read and flattened with explode + regexp, then looked up for every run
     configuration seen in the request log."""
-    from ragspark.sources import catalog as cat
     path = scratch.local_path(scratch.new_dir(spark, "catalog"))
     write_catalog_json(path)
     _, perf = cat.load_json(spark, path + "/*.json")

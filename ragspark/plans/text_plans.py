@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.operators import sampling as smp
-from ragspark.operators import telemetry as tel
 from ragspark.operators import text as tx
 from ragspark.operators import vector as V
 from ragspark.plans import fixtures as fx

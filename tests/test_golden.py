@@ -180,3 +180,10 @@ def test_g13_upsert(spark):
     upd = spark.createDataFrame([("b", 1, 25), ("c", 1, 5)], "db string, slo int, mem int")
     got = sorted(tuple(r) for r in tb.upsert(base, upd, ["db", "slo"]).collect())
     assert got == [("a", 1, 10), ("b", 1, 25), ("c", 1, 5)]
+
+
+def test_summary_approx_option(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in range(1001)], "run int, a double")
+    ex = tel.summarize(df, ["run"], ["a"]).first()
+    ap = tel.summarize(df, ["run"], ["a"], approx=True).first()
+    assert ex.p90 == pytest.approx(900.0) and abs(ap.p90 - 900.0) <= 1.0 and ap.exact is False

@@ -45,13 +45,19 @@ def auto_nlist(vecs: DataFrame) -> DataFrame:
     return vecs.agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("nlist"))
 
 
-def fixed_centroids(vecs: DataFrame) -> DataFrame:
+def hash_ranked(vecs: DataFrame) -> DataFrame:
+    """(vec_id, hrank): every vector's position in seeded hash order."""
+    return global_rank(vecs.select("vec_id").withColumn("_h", hash_order("vec_id")), ["_h", "vec_id"],
+                       out="hrank").drop("_h")
+
+
+def fixed_centroids(vecs: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Deterministic init: the floor(sqrt(n)) vectors first in hash order,
     numbered 0.. in that order -> (list_id, centroid)."""
     nlist = auto_nlist(vecs).first()["nlist"]
     # rank ids only (the snapshot stays narrow), then fetch the nlist vectors
-    ranked = global_rank(vecs.select("vec_id").withColumn("_h", hash_order("vec_id")), ["_h", "vec_id"], out="list_id")
-    chosen = ranked.where(F.col("list_id") < nlist).select("vec_id", "list_id")
+    ranked = ranked if ranked is not None else hash_ranked(vecs)
+    chosen = ranked.where(F.col("hrank") < nlist).select("vec_id", F.col("hrank").alias("list_id"))
     return chosen.join(vecs, "vec_id").select("list_id", F.col("embedding").alias("centroid"))
 
 

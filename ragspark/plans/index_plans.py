@@ -40,9 +40,9 @@ class State:
     """The index tables every key below derives from (lazy frames)."""
 
     def __init__(self, spark, sf):
-        self.vecs, self.cent, self.asg, self.qs, self.probes = probing(spark, sf)
-        self.nlist = self.cent.count()
-        self.nq = self.qs.count()
+        self.vecs, self.cent, self.asg, self.qs, self.probes, blocks = probing(spark, sf, with_blocks=True)
+        self.nlist = sum(len(ids) for ids, _ in blocks)
+        self.nq = self.vecs.count()          # every vector is a query
         self.sizes = pl.list_sizes(self.cent, self.asg)
         self.freq = hr.frequency(self.probes, self.cent)
         self.cdf = hr.cdf(self.freq, fx.NPROBE * self.nq)

@@ -25,11 +25,11 @@ def _reg(name: str, sql: str | None = None):
     return deco
 
 
-def assignment(spark: SparkSession, sf: str, with_blocks: bool = False):
+def assignment(spark: SparkSession, sf: str, with_blocks: bool = False, ranked=None):
     """Fixed-init centroids and the nearest-list assignment of every vector;
     the centroid blocks are collected once and reused by the probe step."""
     vecs = fx.vectors(spark, sf)
-    cent = fx.fixed_centroids(vecs)
+    cent = fx.fixed_centroids(vecs, ranked)
     blocks = V.ref_blocks(cent, "list_id", "centroid")
     asg = V.nearest(vecs, None, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
                     ref_vec="centroid", out_base="vec_id", out_ref="list_id", blocks=blocks).drop("rank")
@@ -38,13 +38,14 @@ def assignment(spark: SparkSession, sf: str, with_blocks: bool = False):
     return (vecs, cent, asg, blocks) if with_blocks else (vecs, cent, asg)
 
 
-def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE):
-    vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True)
+def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE, ranked=None, with_blocks: bool = False):
+    vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True, ranked=ranked)
     qs = fx.queries(spark, sf)
     probes = V.nearest(qs, None, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
                        ref_vec="centroid", out_base="qid", out_ref="list_id",
                        out_rank="probe_rank", out_dist="cdist", blocks=blocks)
-    return vecs, cent, asg, qs, snapshot(probes, "probes")
+    out = (vecs, cent, asg, qs, snapshot(probes, "probes"))
+    return out + (blocks,) if with_blocks else out
 
 
 def _r4(df: DataFrame, *cols: str) -> DataFrame:
@@ -118,14 +119,14 @@ def vec_centroid_fetch(spark, sf):
 @_reg("vec_topk_merge", f"WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.FLAT_CAND} {sp.topk('cand')}")
 def vec_topk_merge(spark, sf):
     """Probe -> per-list partial top-k (salted cogroup cells) -> final merge."""
-    vecs, cent, asg, qs, probes = probing(spark, sf)
+    vecs, cent, asg, qs, probes, blocks = probing(spark, sf, with_blocks=True)
     members = asg.select("vec_id", "list_id").join(vecs, "vec_id")
-    res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat")
+    sizes = asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=blocks[0][1].shape[1])
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
 
 # ------------------------------------------------------------ k-means / PQ
-from ragspark.functions.ranks import global_rank  # noqa: E402
 from ragspark.operators import quantize as QZ  # noqa: E402
 
 KMEANS_STEPS = 2   # unrolled steps checked against SQL
@@ -150,16 +151,20 @@ def vec_kmeans(spark, sf):
 
 class PQState:
     def __init__(self, spark, sf):
-        self.vecs, self.cent, self.asg, self.qs, self.probes = probing(spark, sf)
-        self.nlist = self.cent.count()
+        ranked = fx.hash_ranked(fx.vectors(spark, sf))     # one hash ranking: centroids and words
+        self.vecs, self.cent, self.asg, self.qs, self.probes, blocks = probing(spark, sf, ranked=ranked,
+                                                                               with_blocks=True)
+        self.nlist = sum(len(ids) for ids, _ in blocks)
+        self.dim = blocks[0][1].shape[1]
         self.res = (self.asg.select("vec_id", "list_id").join(self.vecs, "vec_id").join(self.cent, "list_id")
                     .select("vec_id", "list_id", sub("embedding", "centroid").alias("res")))
-        ranked = global_rank(self.vecs.select("vec_id").withColumn("_h", fx.hash_order("vec_id")),
-                             ["_h", "vec_id"], out="_hr")
-        words = (ranked.where((F.col("_hr") >= self.nlist) & (F.col("_hr") < self.nlist + KSUB))
-                 .select("vec_id", (F.col("_hr") - self.nlist).alias("word_id")).join(self.res, "vec_id"))
+        words = (ranked.where((F.col("hrank") >= self.nlist) & (F.col("hrank") < self.nlist + KSUB))
+                 .select("vec_id", (F.col("hrank") - self.nlist).alias("word_id")).join(self.res, "vec_id"))
         self.codebook = QZ.codebook_from_rows(words, "res", MSUB)
         self.codes = QZ.pq_encode(self.res, self.codebook)
+        # member counts per list from the assignment table (codes are encoded once, in the scan)
+        self.sizes = self.asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+        self.kw = dict(mode="pq", centroids=self.cent, codebook=self.codebook, sizes=self.sizes, dim=self.dim)
 
 
 _PQ_BASE = f"WITH {sp.CENT}, {sp.ASG}, {sp.RES}, {sp.WORDS}, {sp.ENC}"
@@ -195,7 +200,7 @@ SELECT qid, list_id, vec_id, round(dist, 4) AS dist FROM (
 def vec_adc_scan(spark, sf):
     """ADC scan: the k best codes of every probed list per query."""
     st = PQState(spark, sf)
-    cand = S.scan_lists(st.probes, st.qs, st.codes, fx.TOPK, mode="pq", centroids=st.cent, codebook=st.codebook)
+    cand = S.scan_lists(st.probes, st.qs, st.codes, fx.TOPK, **st.kw)
     return _r4(S.per_list_topk(cand, fx.TOPK).select("qid", "list_id", "vec_id", "dist"), "dist")
 
 
@@ -206,7 +211,7 @@ _IVFPQ_SQL = f"{_PQ_SEARCH} {sp.topk('adc')}"
 def vec_ivfpq_search(spark, sf):
     """Probe -> LUT -> ADC scan in salted cells -> final top-k."""
     st = PQState(spark, sf)
-    res = S.ivf_search(st.probes, st.qs, st.codes, fx.TOPK, mode="pq", centroids=st.cent, codebook=st.codebook)
+    res = S.ivf_search(st.probes, st.qs, st.codes, fx.TOPK, **st.kw)
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
 
@@ -218,12 +223,12 @@ def rte_hot_then_cold(spark, sf):
     from ragspark.operators import placement as pl
     from ragspark.operators import routing as rt
     st = PQState(spark, sf)
-    nq = st.qs.count()
+    nq = st.vecs.count()
     sizes = pl.list_sizes(st.cent, st.asg)
     hot = hr.half_set(hr.cdf(hr.frequency(st.probes, st.cent), fx.NPROBE * nq))
     lut = pl.full_lut(st.cent, pl.place(hot, sizes, fx.SHARDS), st.nlist)
     routed = rt.route(st.probes, lut, st.nlist)
-    kw = dict(mode="pq", centroids=st.cent, codebook=st.codebook)
+    kw = st.kw
     hot_c = S.scan_lists(routed.where(F.col("shard") >= 0), st.qs, st.codes, fx.TOPK, **kw).drop("list_id")
     cold_c = S.scan_lists(routed.where(F.col("shard") == -1), st.qs, st.codes, fx.TOPK, **kw).drop("list_id")
     res = rt.hot_then_cold(hot_c, cold_c, fx.TOPK)

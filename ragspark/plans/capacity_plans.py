@@ -30,7 +30,7 @@ TAIL_STEPS = 1000    # mean grid of the required-mean lookup
 RUN_SECONDS = 120    # default run length (requests = int(120 * rate))
 MODEL, DEVICE = "llama8b", "L40S"
 # Fixture binding: event types play the search modes.
-SEARCH_MODES = [("view", "vlite"), ("click", "cpu"), ("purchase", "all-gpu"), ("error", "ded-gpu"), ("signup", "none")]
+SEARCH_MODES = [("view", "hybrid"), ("click", "cpu"), ("purchase", "all-gpu"), ("error", "ded-gpu"), ("signup", "none")]
 
 
 def _reg(name, sql=None):
@@ -517,7 +517,7 @@ mr1 AS (SELECT r.mode, m.search_mode, r.ngpu, r.rate,
   CASE WHEN m.search_mode = 'ded-gpu' THEN 1 ELSE 1 END AS ann_workers FROM runs r JOIN {_MODES_SQL} ON m.mode = r.mode),
 mr2 AS (SELECT *, CAST(CASE WHEN search_mode = 'ded-gpu' THEN (ngpu - ann_workers) // 1 ELSE ngpu // 1 END AS INTEGER) AS llm_workers FROM mr1)
 SELECT mode, search_mode, ngpu, rate, CAST(ann_workers AS INTEGER) AS ann_workers, llm_workers,
-  search_mode = 'vlite' AS dispatcher, CAST(CASE WHEN search_mode = 'vlite' THEN 150 ELSE -1 END AS INTEGER) AS search_slo,
+  search_mode = 'hybrid' AS dispatcher, CAST(CASE WHEN search_mode = 'hybrid' THEN 150 ELSE -1 END AS INTEGER) AS search_slo,
   CAST(floor({RUN_SECONDS} * CAST(rate AS DOUBLE)) AS BIGINT) AS total_requests, llm_workers AS warmup_requests FROM mr2""")
 def cap_mode_rules(spark, sf):
     """Derived run settings per (mode, GPUs, rate) for llama8b (tp 1) on L40S
@@ -531,10 +531,10 @@ def cap_mode_rules(spark, sf):
     r = runs.join(F.broadcast(modes), "mode").withColumn("ann_workers", F.lit(tp).cast("int"))
     llm = F.when(F.col("search_mode") == "ded-gpu", F.floor((F.col("ngpu") - F.col("ann_workers")) / tp)) \
         .otherwise(F.floor(F.col("ngpu") / tp)).cast("int")
-    vlite = F.col("search_mode") == "vlite"
+    hybrid = F.col("search_mode") == "hybrid"
     return (r.withColumn("llm_workers", llm)
-            .withColumn("dispatcher", vlite)
-            .withColumn("search_slo", F.when(vlite, F.lit(150)).otherwise(F.lit(-1)).cast("int"))
+            .withColumn("dispatcher", hybrid)
+            .withColumn("search_slo", F.when(hybrid, F.lit(150)).otherwise(F.lit(-1)).cast("int"))
             .withColumn("total_requests", F.floor(F.lit(float(RUN_SECONDS)) * F.col("rate").cast("double")).cast("bigint"))
             .withColumn("warmup_requests", F.col("llm_workers"))
             .select("mode", "search_mode", "ngpu", "rate", "ann_workers", "llm_workers", "dispatcher", "search_slo",

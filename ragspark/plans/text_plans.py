@@ -194,7 +194,7 @@ def txt_parse_kv(spark, sf):
     return tx.parse_kv(lines).drop("line")
 
 
-_MODES = [("view", "vlite"), ("click", "cpu"), ("purchase", "all-gpu"), ("error", "ded-gpu"), ("signup", "none")]
+_MODES = [("view", "hybrid"), ("click", "cpu"), ("purchase", "all-gpu"), ("error", "ded-gpu"), ("signup", "none")]
 _MODES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _MODES) + ") AS m(mode, search_mode)"
 
 
@@ -202,17 +202,17 @@ _MODES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _MODES) + ") A
   FROM st JOIN {_MODES_SQL} ON m.mode = st.mode),
 r AS (SELECT *, CAST(rate AS DOUBLE) * 8.0::DOUBLE / CAST(ngpu AS DOUBLE) AS arate FROM runs)
 SELECT mode, ngpu, rate, input_len, output_len,
-  concat_ws('_', 'S' || CAST(CASE WHEN search_mode = 'vlite' THEN 150 ELSE 0 END AS VARCHAR), 'I' || CAST(input_len AS VARCHAR),
+  concat_ws('_', 'S' || CAST(CASE WHEN search_mode = 'hybrid' THEN 150 ELSE 0 END AS VARCHAR), 'I' || CAST(input_len AS VARCHAR),
     'O' || CAST(output_len AS VARCHAR),
     CASE WHEN arate = floor(arate) THEN 'R' || CAST(CAST(floor(arate) AS BIGINT) AS VARCHAR) ELSE 'R' || printf('%.2f', arate) END,
     'N' || CAST(CASE WHEN search_mode = 'ded-gpu' THEN ngpu - 1 ELSE ngpu END AS VARCHAR), 'U95', 'P2048')
-  || CASE WHEN search_mode = 'vlite' THEN '' ELSE '_Dx' END AS run_name FROM r""")
+  || CASE WHEN search_mode = 'hybrid' THEN '' ELSE '_Dx' END AS run_name FROM r""")
 def txt_run_name(spark, sf):
     """Result-file label of every run (hybrid mode keeps the dispatcher)."""
     req = fx.requests(spark, sf)
     modes = spark.createDataFrame(_MODES, "mode string, search_mode string")
     runs = req.select("mode", "ngpu", "rate", "input_len", "output_len").distinct().join(F.broadcast(modes), "mode")
-    vl = F.col("search_mode") == "vlite"
+    vl = F.col("search_mode") == "hybrid"
     arate = F.col("rate").cast("double") * F.lit(8.0) / F.col("ngpu").cast("double")
     workers = F.when(F.col("search_mode") == "ded-gpu", F.col("ngpu") - 1).otherwise(F.col("ngpu"))
     name = tx.run_name(F.when(vl, F.lit(150)).otherwise(F.lit(0)), F.col("input_len"), F.col("output_len"), arate,

@@ -67,14 +67,14 @@ def ivf_list_sizes(spark, sf):
 
 
 @_reg("ivf_size_stats", f"""{W('cent', 'asg', 'sizes')}
-SELECT count(*) AS nlist, sum(n) AS ntotal, round(avg(n), 6) AS avg_size, max(n) AS max_size, min(n) AS min_size FROM sizes""")
+SELECT count(*) AS nlist, CAST(sum(n) AS BIGINT) AS ntotal, round(avg(n), 6) AS avg_size, max(n) AS max_size, min(n) AS min_size FROM sizes""")
 def ivf_size_stats(spark, sf):
     out = pl.size_stats(State(spark, sf).sizes)
     return rnd(out.withColumn("ntotal", F.col("ntotal").cast("bigint")), 6, "avg_size")
 
 
 @_reg("ivf_place", f"""{W(*sp.INDEX_ALL[:8])}
-SELECT shard, count(*) AS n_lists, sum(n) AS n_vectors FROM place GROUP BY shard""")
+SELECT shard, count(*) AS n_lists, CAST(sum(n) AS BIGINT) AS n_vectors FROM place GROUP BY shard""")
 def ivf_place(spark, sf):
     """Hot lists dealt round-robin over 3 shards by ascending size."""
     out = pl.shard_summary(State(spark, sf).placement())
@@ -170,7 +170,7 @@ def rte_pad(spark, sf):
 
 
 @_reg("rte_miss_count", f"""{W(*sp.INDEX_ALL)}
-SELECT qid, count_if(shard = -1) AS misses, round(({sp.NPROBE} - count_if(shard = -1)) / {float(sp.NPROBE)}::DOUBLE, 6) AS hit_rate
+SELECT qid, CAST(count_if(shard = -1) AS BIGINT) AS misses, round(({sp.NPROBE} - count_if(shard = -1)) / {float(sp.NPROBE)}::DOUBLE, 6) AS hit_rate
 FROM routed GROUP BY qid""")
 def rte_miss_count(spark, sf):
     return rnd(rt.misses(State(spark, sf).routed(), fx.NPROBE), 6, "hit_rate")

@@ -198,7 +198,7 @@ def src_summary(spark, sf):
 
 
 @_reg("sink_list_meta", f"""{sp.index_ctes('cent', 'asg', 'sizes')}
-SELECT count(*) AS nlist, sum(n) AS ntotal, round(avg(n), 6) AS avg_size, max(n) AS max_size, min(n) AS min_size FROM sizes""")
+SELECT count(*) AS nlist, CAST(sum(n) AS BIGINT) AS ntotal, round(avg(n), 6) AS avg_size, max(n) AS max_size, min(n) AS min_size FROM sizes""")
 def sink_list_meta(spark, sf):
     """List sizes and their one-row statistics written and read back."""
     st = State(spark, sf)

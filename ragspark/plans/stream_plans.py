@@ -65,18 +65,19 @@ _SEARCH_SQL = f"""WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.FLAT_CAND}, top AS
 
 def _search_results(spark, sf) -> str:
     """Run STR1 and return the folder holding its results."""
-    vecs, cent, asg = assignment(spark, sf)
+    vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True)   # centroids collected once
     members = asg.select("vec_id", "list_id").join(vecs, "vec_id")
+    sizes = asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     qvecs = fx.queries(spark, sf)
     stream, _ = _stage(spark, _requests(spark, sf).select("rid", "qid", "arrival_ts"), "search")
     out = scratch.new_dir(spark, "stream-search")
 
     def search_batch(bdf: DataFrame) -> DataFrame:
         qs = bdf.select("qid").distinct().join(qvecs, "qid")
-        probes = V.nearest(qs, cent, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
+        probes = V.nearest(qs, None, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
                            ref_vec="centroid", out_base="qid", out_ref="list_id", out_rank="probe_rank",
-                           out_dist="cdist")
-        res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat")
+                           out_dist="cdist", blocks=blocks)
+        res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=blocks[0][1].shape[1])
         return bdf.select("rid", "qid").join(res, "qid")
     jobs.search_stream(stream, search_batch, out, spark)
     return out

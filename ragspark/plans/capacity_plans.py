@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.rounding import round_to
+
 from ragspark.operators import capacity as cp
 from ragspark.operators import hitrate as hr
 from ragspark.operators import latency as lt
@@ -44,7 +46,7 @@ def _reg(name, sql=None):
 
 def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, round_to(c, digits))
     return df
 
 

@@ -31,4 +31,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return _load()[1]
+    from ragspark.functions.rounding import scaled_round_sql
+    return {k: scaled_round_sql(v) for k, v in _load()[1].items()}

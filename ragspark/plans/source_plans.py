@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.rounding import round_to
+
 from ragspark.operators import latency as lt
 from ragspark.operators import placement as pl
 from ragspark.operators import telemetry as tel
@@ -38,13 +40,13 @@ def _reg(name, sql=None):
 
 def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, round_to(c, digits))
     return df
 
 
 def _emb_summary(df: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return df.select(F.col(id_col).alias("vec_id"), F.size("embedding").alias("dim"),
-                     F.round(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")),
+                     round_to(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")),
                              4).alias("emb_sum"))
 
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ragspark.functions.rounding import round_to
 from pyspark.sql import types as T
 
 from ragspark.operators import search as S
@@ -39,7 +41,7 @@ def _reg(name, sql=None):
 
 def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, round_to(c, digits))
     return df
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.rounding import round_to
+
 from ragspark.operators import telemetry as tel
 from ragspark.plans import fixtures as fx
 from ragspark.plans import sqlparts as sp
@@ -30,7 +32,7 @@ def _reg(name, sql=None):
 
 def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, round_to(c, digits))
     return df
 
 
@@ -142,7 +144,7 @@ FROM g""")
 def tel_throughput(spark, sf):
     req = fx.requests(spark, sf)
     out = tel.throughput(req, ["mode", "rate"])
-    out = out.withColumn("rps", F.round("rps", 9)).withColumn("tps", F.round("tps", 6))
+    out = out.withColumn("rps", round_to("rps", 9)).withColumn("tps", round_to("tps", 6))
     return rnd(out.select("mode", "rate", "n", "total_time", "rps", "tps"), 6, "total_time")
 
 

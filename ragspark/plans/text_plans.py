@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.rounding import round_to
+
 from ragspark.operators import sampling as smp
 from ragspark.operators import text as tx
 from ragspark.operators import vector as V
@@ -39,7 +41,7 @@ def _reg(name, sql=None):
 
 def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, round_to(c, digits))
     return df
 
 
@@ -254,7 +256,7 @@ def smp_permute(spark, sf):
     """Seeded permutation; id, label and vector travel together."""
     e = fx.table(spark, sf, "embeddings")
     p = smp.permute(e, "vec_id")
-    return p.select("perm_rank", "vec_id", "label", F.round(F.aggregate(
+    return p.select("perm_rank", "vec_id", "label", round_to(F.aggregate(
         "embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 4).alias("emb_sum"))
 
 

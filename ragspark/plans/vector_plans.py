@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.functions.rounding import round_to
+
 from ragspark.functions.ranks import snapshot
 from ragspark.functions.vecmath import l2sq, sub
 from ragspark.operators import search as S
@@ -50,7 +52,7 @@ def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE, ranked=None,
 
 def _r4(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(c, 4))
+        df = df.withColumn(c, round_to(c, 4))
     return df
 
 
@@ -190,8 +192,8 @@ def vec_adc_lut(spark, sf):
     out = lut.groupBy("qid", "list_id", "m").agg(
         F.min("pd").alias("lut_min"), F.sum("pd").alias("lut_sum"),
         F.min_by("code", F.struct("pd", "code")).cast("bigint").alias("lut_argmin"))
-    return out.withColumn("m", F.col("m").cast("bigint")).withColumn("lut_min", F.round("lut_min", 6)) \
-        .withColumn("lut_sum", F.round("lut_sum", 6))
+    return out.withColumn("m", F.col("m").cast("bigint")).withColumn("lut_min", round_to("lut_min", 6)) \
+        .withColumn("lut_sum", round_to("lut_sum", 6))
 
 
 @_reg("vec_adc_scan", f"""{_PQ_SEARCH}
@@ -248,4 +250,4 @@ def vec_pq_train(spark, sf):
     res = (sample.join(asg.select("vec_id", "list_id"), "vec_id").join(vecs, "vec_id").join(cent, "list_id")
            .select("vec_id", sub("embedding", "centroid").alias("res")))
     cb = QZ.pq_train(res, MSUB, KSUB, iters=10)
-    return cb.select("m", "code", F.round(F.aggregate("word", F.lit(0.0), lambda a, x: a + x), 6).alias("word_sum"))
+    return cb.select("m", "code", round_to(F.aggregate("word", F.lit(0.0), lambda a, x: a + x), 6).alias("word_sum"))

@@ -63,7 +63,7 @@ def vec_l2(spark, sf):
     e = fx.vectors(spark, sf)
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other_id"),
                    F.col("embedding").alias("other"))
-    return _r4(e.join(nxt, "vec_id").select("vec_id", "other_id", l2sq("embedding", "other").alias("dist")), "dist")
+    return _r4(V.pair_distance(e, nxt, "vec_id", "embedding", "other").select("vec_id", "other_id", "dist"), "dist")
 
 
 @_reg("vec_exact_knn", sp.topk(f"(SELECT q.vec_id AS qid, v.vec_id, {sp.l2('q.embedding', 'v.embedding')} AS dist FROM embeddings q, embeddings v)"))

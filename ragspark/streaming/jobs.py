@@ -66,16 +66,20 @@ def docs_stream(results: DataFrame, chunks: DataFrame, out_path: str, workers: i
 
 # ------------------------------------------------------------------- STR3
 def join_logs_stream(search: DataFrame, gen: DataFrame, out_path: str, spark: SparkSession,
-                     delay: str = "2 hours", bound: str = "2 hours") -> None:
-    """STR3: stream-stream inner join on rid; both sides carry watermarks and
-    the join is bounded in event time (a generation record must complete
-    within ``bound`` of the arrival), so join state is dropped - the
-    reference waits forever instead."""
+                     delay: str = "2 hours", bound: str = "2 hours", keep_unmatched: bool = False) -> None:
+    """STR3: stream-stream join on rid; both sides carry watermarks and the
+    join is bounded in event time (a generation record must complete within
+    ``bound`` of the arrival), so join state is dropped - the reference waits
+    forever instead.  With ``keep_unmatched`` it is a left outer join: a
+    search record whose generation record never arrives is emitted with NULLs
+    once the watermark passes its bound, so timed-out requests are counted,
+    not lost."""
     s = search.withWatermark("arrival_ts", delay).alias("s")
     g = gen.withWatermark("done_ts", delay).alias("g")
     cond = ((F.col("s.rid") == F.col("g.rid")) & (F.col("g.done_ts") >= F.col("s.arrival_ts"))
             & (F.col("g.done_ts") <= F.col("s.arrival_ts") + F.expr(f"INTERVAL {bound}")))
-    j = s.join(g, cond, "inner").select("s.rid", "s.start", "g.callback", "g.done")
+    how = "left_outer" if keep_unmatched else "inner"
+    j = s.join(g, cond, how).select("s.rid", "s.start", "g.callback", "g.done")
     run_to_end(j.writeStream.format("parquet").option("path", out_path).outputMode("append"), "joinlogs", spark)
 
 

@@ -147,6 +147,7 @@ SELECT ngpu, p, {_r('rate')} AS rate FROM (
   SELECT ngpu, p, ceiling * ((gpu_mem - model_mem - mem_split) / (gpu_mem - model_mem)) AS rate,
          gpu_mem - model_mem - mem_split AS kv FROM mem) z WHERE kv > 0""")
 def cap_tput_scaled(spark, sf):
+    """Rate ceiling scaled by the KV memory left after the split index, per GPU count and prefix."""
     c = Cap(spark, sf)
     t = cp.tput_scaled(cp.memory(c.mem_points(_SC, P_STEPS)))
     return rnd(t.select("ngpu", "p", "rate"), 6, "rate")

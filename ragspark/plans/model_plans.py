@@ -169,6 +169,7 @@ def _lat_frames(spark, sf):
 SELECT batch_size, round(ann_search, 6) AS ann_search, round(quantize, 9) AS quantize, round(lut_compute, 9) AS lut_compute,
   round(lut_scan, 9) AS lut_scan, round(hit_rate, 6) AS hit_rate FROM lat""")
 def lat_by_batch(spark, sf):
+    """Mean search / quantize / LUT times and hit rate per batch size."""
     _, lat, _ = _lat_frames(spark, sf)
     return rnd(rnd(lat, 6, "ann_search", "hit_rate"), 9, "quantize", "lut_compute", "lut_scan")
 
@@ -177,6 +178,7 @@ def lat_by_batch(spark, sf):
 SELECT mode, batch_id, round(avg(batch_size), 6) AS mean_size, round(max(ann_search), 6) AS max_search,
   round(min(hit_rate), 6) AS min_hit FROM st GROUP BY mode, batch_id""")
 def lat_batch_rollup(spark, sf):
+    """Per (mode, batch): mean size, max search time, min hit rate."""
     req = fx.requests(spark, sf)
     out = req.groupBy("mode", "batch_id").agg(F.avg("batch_size").alias("mean_size"),
                                               F.max("ann_search").alias("max_search"),
@@ -203,6 +205,7 @@ def lat_min_support(spark, sf):
     [1.0::DOUBLE, 2.0::DOUBLE])))) AS brk FROM lat WHERE batch_size BETWEEN 1 AND {NC})
 SELECT CAST(row_number() OVER (ORDER BY brk) - 1 AS INTEGER) AS idx, brk FROM q""")
 def lat_breaks(spark, sf):
+    """Quantile break points of the batch sizes plus {1, 2}."""
     _, lat, _ = _lat_frames(spark, sf)
     brks = lt.breaks(lat.where(F.col("batch_size").between(1, NC)))
     return spark.createDataFrame(list(enumerate(brks)), "idx int, brk double")
@@ -281,6 +284,7 @@ def lat_miss_scaled(spark, sf):
 @_reg("lat_pred_vs_meas", f"""WITH {_MISS_SQL}, m AS ({_miss_select('(SELECT batch_size, avg(hit_rate) AS hit_rate, avg(ann_search) AS measured FROM st GROUP BY batch_size)')})
 SELECT batch_size, round(measured, 6) AS measured, round(search_1, 9) AS predicted, round(hit_rate, 6) AS hit_rate FROM m""")
 def lat_pred_vs_meas(spark, sf):
+    """Predicted vs measured search time per batch size at its mean hit rate."""
     req, lat, latg = _lat_frames(spark, sf)
     pts = req.groupBy("batch_size").agg(F.avg("hit_rate").alias("hit_rate"), F.avg("ann_search").alias("measured"))
     out = lt.miss_scaled(pts, lt.range_fit(lat, RANGE_W), lt.range_fit(latg, RANGE_W))

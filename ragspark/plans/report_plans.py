@@ -48,6 +48,7 @@ ST = sp.stages_cte()
 @_reg("rpt_select_runs", f"""WITH {ST}
 SELECT rid, mode, rate FROM st WHERE ngpu = 8 AND input_len = 1024 AND output_len = 256""")
 def rpt_select_runs(spark, sf):
+    """Requests of the runs matching GPU count and lengths (semi-join on the run table)."""
     req = fx.requests(spark, sf)
     runs = req.select(*fx.RUN_COLS).distinct()
     out = rp.select_runs(req, runs, ngpu=8, input_len=1024, output_len=256)
@@ -58,6 +59,7 @@ def rpt_select_runs(spark, sf):
 SELECT DISTINCT mode, rate, batch_id, batch_size FROM st WHERE mode = 'view'
 UNION ALL SELECT DISTINCT mode, rate, batch_id, batch_size FROM st WHERE mode = 'click'""")
 def rpt_union_runs(spark, sf):
+    """Batch tables of two modes concatenated and sorted by batch size."""
     req = fx.requests(spark, sf)
     parts = [req.where(F.col("mode") == m).select("mode", "rate", "batch_id", "batch_size").distinct()
              for m in ("view", "click")]
@@ -83,6 +85,7 @@ SELECT r.ngpu, r.input_len, r.output_len, r.slo_ms, pre.prefill_slo,
        {R('r.slo_ms / 1000.0::DOUBLE + pre.prefill_slo')} AS threshold
 FROM runs r LEFT JOIN pre ON pre.input_len = r.input_len AND pre.output_len = r.output_len AND pre.ngpu = r.ngpu""")
 def rpt_slo_threshold(spark, sf):
+    """Per run configuration: search objective plus the catalog prefill objective."""
     req = fx.requests(spark, sf)
     runs = req.select("ngpu", "input_len", "output_len", "slo_ms").distinct()
     out = rp.slo_threshold(runs, cat.model_perf(spark), MODEL, DEVICE)
@@ -93,6 +96,7 @@ def rpt_slo_threshold(spark, sf):
 SELECT mode, rate, ngpu, count(*) AS n, {R('avg(' + hit_sql(f'ttft <= {SLO}') + ')')} AS attainment
 FROM st GROUP BY mode, rate, ngpu""")
 def rpt_attain_by_rate(spark, sf):
+    """TTFT attainment per (mode, rate, GPU count)."""
     req = fx.requests(spark, sf)
     return rnd(rp.slo_attainment(req, ["mode", "rate", "ngpu"], "ttft", SLO), 6, "attainment")
 
@@ -100,6 +104,7 @@ def rpt_attain_by_rate(spark, sf):
 @_reg("rpt_e2e_by_rate", f"""WITH {ST}
 SELECT mode, rate, {R('avg(e2e)')} AS mean_e2e FROM st GROUP BY mode, rate""")
 def rpt_e2e_by_rate(spark, sf):
+    """Mean end-to-end latency per (mode, rate)."""
     req = fx.requests(spark, sf)
     return rnd(rp.mean_by(req, ["mode", "rate"], ["e2e"]), 6, "mean_e2e")
 
@@ -111,6 +116,7 @@ SELECT mode, rate, {R('mean_ann_queue')} AS mean_ann_queue, {R('mean_ann_search'
   {R('mean_prefill')} AS mean_prefill, 0.0::DOUBLE AS base_ann_queue, {R('0.0::DOUBLE + mean_ann_queue')} AS base_ann_search,
   {R('0.0::DOUBLE + mean_ann_queue + mean_ann_search')} AS base_prefill FROM m""")
 def rpt_stage_breakdown(spark, sf):
+    """Mean queue / search / prefill per (mode, rate) with stacked offsets."""
     req = fx.requests(spark, sf)
     out = rp.stage_breakdown(req, ["mode", "rate"])
     cols = ["mean_ann_queue", "mean_ann_search", "mean_prefill", "base_ann_queue", "base_ann_search", "base_prefill"]
@@ -127,6 +133,7 @@ SELECT rate,
   {R('max(CASE WHEN NOT dispatcher THEN batch END)')} AS off_batch
 FROM g GROUP BY rate""")
 def rpt_ablation_pivot(spark, sf):
+    """Dispatcher on vs off per rate: mean and exact P90 search time, mean batch size."""
     req = fx.requests(spark, sf)
     out = rp.ablation_pivot(req, "rate", "dispatcher", "ann_search", "batch_size")
     return rnd(out, 6, "on_mean", "on_p90", "on_batch", "off_mean", "off_p90", "off_batch")
@@ -139,6 +146,7 @@ UNION ALL
 SELECT 'output' AS kind, output_len AS length, rate, {R('quantile_cont(ttft, 0.9) * 1000.0::DOUBLE', 3)} AS p90_ttft_ms
 FROM st WHERE input_len = 1024 GROUP BY output_len, rate""")
 def rpt_p90_by_length(spark, sf):
+    """Exact P90 TTFT (ms) per rate by input length and by output length."""
     req = fx.requests(spark, sf)
     a = rp.quantiles(req.where(F.col("output_len") == 256), ["input_len", "rate"], "ttft", [0.9],
                      ["p90_ttft_ms"], 1000.0).select(F.lit("input").alias("kind"),
@@ -153,6 +161,7 @@ def rpt_p90_by_length(spark, sf):
 SELECT slo_ms, rate, {R('quantile_cont(ttft, 0.5)')} AS p50, {R('quantile_cont(ttft, 0.9)')} AS p90,
   {R('quantile_cont(ttft, 0.95)')} AS p95 FROM st GROUP BY slo_ms, rate""")
 def rpt_quantiles_by_slo(spark, sf):
+    """Exact P50 / P90 / P95 TTFT per (search objective, rate)."""
     req = fx.requests(spark, sf)
     out = rp.quantiles(req, ["slo_ms", "rate"], "ttft", [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
     return rnd(out, 6, "p50", "p90", "p95")
@@ -175,6 +184,7 @@ def rpt_by_gpus(spark, sf):
 @_reg("rpt_rate_range", f"""WITH {ST}
 SELECT mode, ngpu, min(rate) AS min_rate, max(rate) AS max_rate FROM st GROUP BY mode, ngpu""")
 def rpt_rate_range(spark, sf):
+    """Smallest and largest arrival rate per (mode, GPU count)."""
     req = fx.requests(spark, sf)
     return rp.rate_range(req, ["mode", "ngpu"])
 

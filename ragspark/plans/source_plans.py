@@ -213,6 +213,7 @@ def sink_list_meta(spark, sf):
 
 @_reg("sink_placement", f"{sp.index_ctes(*sp.INDEX_ALL[:8])} SELECT list_id, shard, local_id FROM place")
 def sink_placement(spark, sf):
+    """Placement map written as a table and read back."""
     st = State(spark, sf)
     path = scratch.new_dir(spark, "placement")
     st.placement().select("list_id", "shard", "local_id").write.parquet(path)

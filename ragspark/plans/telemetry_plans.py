@@ -59,6 +59,7 @@ def tel_fanout(spark, sf):
 SELECT rid - {WARMUP} AS rid, rid AS orig_rid, {R('arrival')} AS arrival FROM req
 WHERE rid >= {WARMUP} AND rid < (SELECT count(*) FROM req) - {WARMUP}""")
 def tel_trim(spark, sf):
+    """Warm-up head and tail of the request stream dropped, ids shifted to start at 0."""
     base = fx.request_base(spark, sf).withColumn("orig_rid", F.col("rid"))
     n = base.count()
     out = tel.trim(base, WARMUP, n - 2 * WARMUP)
@@ -68,6 +69,7 @@ def tel_trim(spark, sf):
 @_reg("tel_join", f"""WITH {sp.requests_cte()}
 SELECT rid, batch_id, {R('start')} AS start, {R('callback')} AS callback, {R('done')} AS done FROM req""")
 def tel_join(spark, sf):
+    """Search and generation logs joined on rid."""
     base = fx.request_base(spark, sf)
     j = tel.join_logs(fx.search_log(base), fx.gen_log(base))
     return rnd(j.select("rid", "batch_id", "start", "callback", "done"), 6, "start", "callback", "done")
@@ -91,6 +93,7 @@ _STAGES = ["ann_batch", "ann_pending", "ann_queue", "ann_search", "llm_queue", "
 @_reg("tel_stages", f"""WITH {sp.stages_cte()}
 SELECT rid, {', '.join(f"{R(c)} AS {c}" for c in _STAGES)} FROM st""")
 def tel_stages(spark, sf):
+    """Stage latencies of every request (batching, pending, queue, search, llm queue, prefill, ttft, e2e, idle)."""
     req = fx.requests(spark, sf)
     return rnd(req.select("rid", *_STAGES), 6, *_STAGES)
 
@@ -98,6 +101,7 @@ def tel_stages(spark, sf):
 @_reg("tel_breakdown", f"""WITH {sp.stages_cte()}
 SELECT rid, {R('quantize', 9)} AS quantize, {R('lut_compute', 9)} AS lut_compute, {R('lut_scan', 9)} AS lut_scan FROM st""")
 def tel_breakdown(spark, sf):
+    """Six-part search timing split into quantize, LUT compute and LUT scan."""
     req = fx.requests(spark, sf)
     return rnd(req.select("rid", "quantize", "lut_compute", "lut_scan"), 9, "quantize", "lut_compute", "lut_scan")
 
@@ -105,6 +109,7 @@ def tel_breakdown(spark, sf):
 @_reg("tel_tpot", f"""WITH {sp.stages_cte()}
 SELECT rid, output_len, {R('tpot', 9)} AS tpot FROM st""")
 def tel_tpot(spark, sf):
+    """Time per output token = generation time / output length."""
     req = fx.requests(spark, sf)
     return rnd(req.select("rid", "output_len", "tpot"), 9, "tpot")
 
@@ -130,6 +135,7 @@ def tel_summary(spark, sf):
 @_reg("tel_avg_batch", f"""WITH {sp.requests_cte()}
 SELECT mode, {R('avg(batch_size)')} AS avg_batch_size FROM (SELECT DISTINCT mode, batch_id, batch_size FROM req) d GROUP BY mode""")
 def tel_avg_batch(spark, sf):
+    """Mean batch size over distinct (batch, size) per mode."""
     base = fx.request_base(spark, sf)
     return rnd(tel.avg_batch(base, ["mode"]), 6, "avg_batch_size")
 
@@ -142,6 +148,7 @@ SELECT mode, rate, n, {R('total_time')} AS total_time,
   {R('CASE WHEN total_time > 0 THEN n / total_time ELSE 0.0 END * olen', 6)} AS tps
 FROM g""")
 def tel_throughput(spark, sf):
+    """Per run: requests, first-arrival-to-last-completion time, requests/s, tokens/s."""
     req = fx.requests(spark, sf)
     out = tel.throughput(req, ["mode", "rate"])
     out = out.withColumn("rps", round_to("rps", 9)).withColumn("tps", round_to("tps", 6))
@@ -166,6 +173,7 @@ def tel_rolling(spark, sf):
   FROM st GROUP BY 1)
 SELECT block, n, {R('share')} AS share, share >= 0 AND share < 0.9 AS alert FROM b WHERE n = 1000""")
 def tel_slo_blocks(spark, sf):
+    """Search-SLO attainment per full block of 1000 requests, alert below 0.9."""
     req = fx.requests(spark, sf)
     return rnd(tel.slo_blocks(req, "ann_search", SEARCH_SLO), 6, "share")
 
@@ -185,6 +193,7 @@ def tel_dense_rows(spark, sf):
 @_reg("tel_idle", f"""WITH {sp.stages_cte()}
 SELECT batch_id, {R('ann_idle')} AS idle FROM bidle""")
 def tel_idle(spark, sf):
+    """Idle time before each batch: its start minus the previous batch completion (dense batch rank join)."""
     base = fx.request_base(spark, sf)
     return rnd(tel.batch_idle(base).select("batch_id", "idle"), 6, "idle")
 

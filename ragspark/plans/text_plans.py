@@ -67,12 +67,14 @@ def txt_sentences(spark, sf):
 
 @_reg("txt_token_count", f"WITH {SENT} SELECT doc_id, pos, tokens FROM tok")
 def txt_token_count(spark, sf):
+    """Whitespace token count of every sentence."""
     s = tx.split_sentences(_docs(spark, sf))
     return s.select("doc_id", "pos", tx.token_count("sentence").alias("tokens"))
 
 
 @_reg("txt_min_tokens", f"WITH {SENT} SELECT doc_id, pos, tokens FROM tok WHERE tokens >= 4")
 def txt_min_tokens(spark, sf):
+    """Sentences with at least 4 tokens."""
     return tx.min_tokens(tx.split_sentences(_docs(spark, sf))).select("doc_id", "pos", "tokens")
 
 
@@ -224,6 +226,7 @@ def txt_run_name(spark, sf):
 
 @_reg("txt_worker_assign", f"WITH {sp.requests_cte()} SELECT rid, CAST(rid % {WORKERS} AS INTEGER) AS worker FROM req")
 def txt_worker_assign(spark, sf):
+    """Request to generation worker by rid mod 4."""
     base = fx.request_base(spark, sf)
     return base.select("rid", F.pmod("rid", F.lit(WORKERS)).cast("int").alias("worker"))
 

@@ -68,24 +68,28 @@ def vec_l2(spark, sf):
 
 @_reg("vec_exact_knn", sp.topk(f"(SELECT q.vec_id AS qid, v.vec_id, {sp.l2('q.embedding', 'v.embedding')} AS dist FROM embeddings q, embeddings v)"))
 def vec_exact_knn(spark, sf):
+    """Exact top-10 over all vectors for every query: broadcast query blocks, per-task running top-k, final WindowGroupLimit."""
     res = V.exact_knn(fx.vectors(spark, sf), fx.queries(spark, sf), fx.TOPK)
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
 
 @_reg("vec_auto_nlist", "SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS nlist, count(*) AS ntotal FROM embeddings")
 def vec_auto_nlist(spark, sf):
+    """nlist = floor(sqrt(n)) from one aggregate."""
     e = fx.vectors(spark, sf)
     return e.agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("nlist"), F.count(F.lit(1)).alias("ntotal"))
 
 
 @_reg("vec_assign", f"WITH {sp.CENT}, {sp.ASG} SELECT vec_id, list_id, round(dist, 4) AS dist FROM asg")
 def vec_assign(spark, sf):
+    """Every vector to its nearest fixed-init list (broadcast centroid block, Arrow kernel, no shuffle)."""
     _, _, asg = assignment(spark, sf)
     return _r4(asg, "dist")
 
 
 @_reg("vec_coarse_probe", f"WITH {sp.CENT}, {sp.PROBES} SELECT qid, probe_rank, list_id, round(cdist, 4) AS cdist FROM probes")
 def vec_coarse_probe(spark, sf):
+    """The 4 nearest lists of every query with their centroid distances."""
     *_, probes = probing(spark, sf)
     return _r4(probes, "cdist")
 
@@ -175,6 +179,7 @@ _PQ_SEARCH = f"WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.RES}, {sp.WORDS}, {sp.
 
 @_reg("vec_pq_encode", f"{_PQ_BASE} SELECT vec_id, list_id, CAST(m AS BIGINT) AS m, code FROM enc")
 def vec_pq_encode(spark, sf):
+    """Residual of every vector encoded to the nearest word per 2-d sub-space (broadcast codebook)."""
     st = PQState(spark, sf)
     return st.codes.select("vec_id", "list_id", F.posexplode("code").alias("m", "code")) \
         .select("vec_id", "list_id", F.col("m").cast("bigint").alias("m"), F.col("code").cast("bigint").alias("code"))

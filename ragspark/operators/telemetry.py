@@ -98,7 +98,9 @@ def summarize(requests: DataFrame, keys: Sequence[str], metrics: Sequence[str] =
             *keys, "metric", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p95"))
     else:
         pct = exact_percentiles(present, [*keys, "metric"], "value", [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
-    domain = long.select(*keys, "metric").distinct()
+    # (run, metric) domain from the distinct runs, not from the 15x longer unpivoted table
+    domain = requests.select(*keys).distinct().withColumn(
+        "metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
     out = domain.join(means, [*keys, "metric"], "left").join(pct, [*keys, "metric"], "left")
     for c in ("avg", "p50", "p90", "p95"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))

@@ -39,10 +39,46 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
+_SHIPPED = "ragspark.pyfiles.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable on every executor's Python workers
+    (``addPyFile`` of a zip, once per session): the Arrow / pandas kernels
+    refer to functions of this package."""
+    if spark.conf.get(_SHIPPED, "false") == "true":
+        return
+    import zipfile
+    import ragspark
+    pkg = os.path.dirname(os.path.abspath(ragspark.__file__))
+    ckpt = ensure_checkpoint_dir(spark)
+    base = ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt
+    if "://" in base or not os.path.isdir(base):
+        base = tempfile.mkdtemp(prefix="ragspark-code-")
+    target = os.path.join(base, f"ragspark-code-{os.getpid()}")
+    os.makedirs(target, exist_ok=True)
+    zpath = os.path.join(target, "ragspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(zpath)
+    spark.conf.set(_SHIPPED, "true")
+
+
+def prepare(spark: SparkSession) -> str:
+    """Checkpoint folder + package on the executors; returns the folder."""
+    ckpt = ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return ckpt
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting a scratch one only when
     the session names none (local tests)."""

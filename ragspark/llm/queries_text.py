@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ragspark.llm import bpe
-from ragspark.llm.common import table
+from ragspark.llm import bpe, langid
+from ragspark.llm.common import held_out, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_ecoc_language(spark, sf_dir):
+    """Language of every whole text by output codes learnt from the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     """Encode every whole text by the byte-level ranks, decode the ids, digest both."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -18,5 +25,5 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
 
 
-Q = {"op5_bpe_round_trip": op5_bpe_round_trip}
+Q = {"op2_ecoc_language": op2_ecoc_language, "op5_bpe_round_trip": op5_bpe_round_trip}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ragspark.llm import bpe, langid
+from ragspark.llm import bpe, langid, ordinal
 from ragspark.llm.common import held_out, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,12 @@ def op2_ecoc_language(spark, sf_dir):
     return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
+def op3_ordinal_quality(spark, sf_dir):
+    """Expected grade and probability of the best grade for every whole text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ordinal.predict(docs, ordinal.fit(docs, labels, ordinal.grade_of()))
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     """Encode every whole text by the byte-level ranks, decode the ids, digest both."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -25,5 +31,6 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
 
 
-Q = {"op2_ecoc_language": op2_ecoc_language, "op5_bpe_round_trip": op5_bpe_round_trip}
+Q = {"op2_ecoc_language": op2_ecoc_language, "op3_ordinal_quality": op3_ordinal_quality,
+     "op5_bpe_round_trip": op5_bpe_round_trip}
 SQL: dict[str, str] = {}

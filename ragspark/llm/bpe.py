@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO_ROWS = 400_000      # remembered words per worker, in each of two generations
+_MEMO_ROWS = 250_000      # remembered words per worker, in each of two generations
 _MEMO_CHARS = 48          # longer words are encoded each time
 
 # Fixed value: the pattern that cuts a text into the pieces that are merged.

@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-Q: dict = {}
+from ragspark.llm import sketch
+from ragspark.llm.common import table
+
+
+def op10_bottom_k_fingerprint(spark, sf_dir):
+    """Bottom-k fingerprints of every whole text and of its edited text."""
+    return sketch.report(table(spark, sf_dir, "documents"))
+
+
+Q = {"op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
 SQL: dict[str, str] = {}

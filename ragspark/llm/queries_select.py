@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ragspark.llm import sketch
+from pyspark.sql import functions as F
+
+from ragspark.llm import mixing, sketch
 from ragspark.llm.common import table
 
 
@@ -11,5 +13,12 @@ def op10_bottom_k_fingerprint(spark, sf_dir):
     return sketch.report(table(spark, sf_dir, "documents"))
 
 
-Q = {"op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
-SQL: dict[str, str] = {}
+def op6_budget_mix(spark, sf_dir):
+    """Documents and passes that the tree's token budgets take."""
+    rows = mixing.tree_rows(table(spark, sf_dir, "documents"), mixing.domain_of(F.col("source")))
+    return mixing.mix(rows, mixing.target_weights(), mixing.SHARE, mixing.MAX_EPOCHS, mixing.SEED)
+
+
+Q = {"op6_budget_mix": op6_budget_mix,
+     "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
+SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL}

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.llm import mixing, sketch
+from ragspark.llm import mixing, normsearch, sketch
 from ragspark.llm.common import table
 
 
+def op8_norm_bucket_search(spark, sf_dir):
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return normsearch.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_bottom_k_fingerprint(spark, sf_dir):
     """Bottom-k fingerprints of every whole text and of its edited text."""
     return sketch.report(table(spark, sf_dir, "documents"))
@@ -20,5 +25,6 @@ def op6_budget_mix(spark, sf_dir):
 
 
 Q = {"op6_budget_mix": op6_budget_mix,
+     "op8_norm_bucket_search": op8_norm_bucket_search,
      "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
-SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL}
+SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL, "op8_norm_bucket_search": normsearch.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ragspark.llm import bpe, langid, ordinal
+from ragspark.llm import bpe, langid, ordinal, tokenfiles
 from ragspark.llm.common import held_out, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -24,6 +24,11 @@ def op3_ordinal_quality(spark, sf_dir):
     return ordinal.predict(docs, ordinal.fit(docs, labels, ordinal.grade_of()))
 
 
+def op4_token_files(spark, sf_dir):
+    """Encode every whole text, write the token files, read them back."""
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     """Encode every whole text by the byte-level ranks, decode the ids, digest both."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -32,5 +37,6 @@ def op5_bpe_round_trip(spark, sf_dir):
 
 
 Q = {"op2_ecoc_language": op2_ecoc_language, "op3_ordinal_quality": op3_ordinal_quality,
+     "op4_token_files": op4_token_files,
      "op5_bpe_round_trip": op5_bpe_round_trip}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ragspark.llm import bpe, langid, ordinal, tokenfiles
+from ragspark.llm import bpe, htmltext, langid, ordinal, tokenfiles
 from ragspark.llm.common import held_out, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -36,7 +36,12 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
 
 
+def op9_block_tree_text(spark, sf_dir):
+    """Main text of every whole page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 Q = {"op2_ecoc_language": op2_ecoc_language, "op3_ordinal_quality": op3_ordinal_quality,
      "op4_token_files": op4_token_files,
-     "op5_bpe_round_trip": op5_bpe_round_trip}
+     "op5_bpe_round_trip": op5_bpe_round_trip, "op9_block_tree_text": op9_block_tree_text}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.llm import mixing, normsearch, sketch
+from ragspark.llm import minhash, mixing, normsearch, sketch
 from ragspark.llm.common import table
 
 
@@ -18,13 +18,19 @@ def op10_bottom_k_fingerprint(spark, sf_dir):
     return sketch.report(table(spark, sf_dir, "documents"))
 
 
+def op1_dart_minhash(spark, sf_dir):
+    """Near-duplicate class of every document: five-word shingles, similarity 0.8."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_budget_mix(spark, sf_dir):
     """Documents and passes that the tree's token budgets take."""
     rows = mixing.tree_rows(table(spark, sf_dir, "documents"), mixing.domain_of(F.col("source")))
     return mixing.mix(rows, mixing.target_weights(), mixing.SHARE, mixing.MAX_EPOCHS, mixing.SEED)
 
 
-Q = {"op6_budget_mix": op6_budget_mix,
+Q = {"op1_dart_minhash": op1_dart_minhash,
+     "op6_budget_mix": op6_budget_mix,
      "op8_norm_bucket_search": op8_norm_bucket_search,
      "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
 SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL, "op8_norm_bucket_search": normsearch.SQL}

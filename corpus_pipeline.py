@@ -9,7 +9,7 @@ STAGES = [
     ("language_id", stages.language_id),
     ("quality", stages.quality),
     ("near_dedup", stages.near_dedup),
-    ("mixing", stages.mixing),
+    ("mixing", stages.mixing_),
     ("byte_bpe", stages.byte_bpe),
 ]
 

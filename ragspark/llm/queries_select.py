@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.llm import minhash, mixing, normsearch, sketch
+from ragspark.llm import grulm, minhash, mixing, normsearch, sketch
 from ragspark.llm.common import table
 
 
+def op7_gru_score(spark, sf_dir):
+    """Base and recurrent-network log10 probability of every whole text."""
+    return grulm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_norm_bucket_search(spark, sf_dir):
     """The 20 best other vectors of every vector whose id is divisible by 20."""
     return normsearch.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -31,6 +36,7 @@ def op6_budget_mix(spark, sf_dir):
 
 Q = {"op1_dart_minhash": op1_dart_minhash,
      "op6_budget_mix": op6_budget_mix,
+     "op7_gru_score": op7_gru_score,
      "op8_norm_bucket_search": op8_norm_bucket_search,
      "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
 SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL, "op8_norm_bucket_search": normsearch.SQL}

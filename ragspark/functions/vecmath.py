@@ -35,6 +35,34 @@ def to_matrix(arr: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
+def smallest(d: np.ndarray, ids: np.ndarray, k: int, slack: np.ndarray | None = None,
+             exact=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k columns of least (distance, id) in each row of ``d`` (n x m), ties
+    included: flat (row, id, distance), sorted by row, distance, id.
+
+    All columns at the k-th distance (plus ``slack`` per row, where ``d`` is only
+    approximate) stay candidates until they are ordered; ``exact(rows, cols)``
+    then gives the distances that decide."""
+    n, m = d.shape
+    if n == 0 or m == 0 or k <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    kth = np.partition(d, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
+    rows, cols = np.nonzero(d <= (kth if slack is None else kth + slack)[:, None])
+    dist = d[rows, cols] if exact is None else exact(rows, cols)
+    order = np.lexsort((ids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[cols[keep]], dist[keep]
+
+
+def nearest_rows(x: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of ``r`` nearest to each row of ``x`` by (exact distance, id).
+    The matrix product only selects; survivors are measured by differences."""
+    d = pairwise_l2sq(x, r)
+    size = np.einsum("ij,ij->i", x, x) + (np.einsum("ij,ij->i", r, r).max() if len(r) else 0.0)
+    return smallest(d, ids, k, slack=1e-12 * size * max(1, x.shape[1]), exact=lambda i, j: exact_l2sq(x[i], r[j]))
+
+
 def pairwise_l2sq(x: np.ndarray, r: np.ndarray) -> np.ndarray:
     """|x_i - r_j|^2 for all i, j via one matrix product (ordering only)."""
     xx = np.einsum("ij,ij->i", x, x)[:, None]

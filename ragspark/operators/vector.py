@@ -1,19 +1,18 @@
 """Exact vector operators: distances, nearest reference rows, exact kNN,
 top-k merge.
 
-Two kernel shapes cover VEC2/5/6:
-
 * ``nearest``  - every *base* row gets its k nearest *reference* rows
-  (assignment: vectors vs centroids; probing: queries vs centroids).  The
-  reference side is broadcast in size-checked blocks; with one block the
-  kernel output is already final and no shuffle happens at all.
-* ``exact_knn`` - every *reference* row (query) gets its k nearest base rows.
-  Each task keeps a running top-k per query over its partition and emits at
-  most k rows per query; the final top-k is a ``row_number`` filter that
-  Spark plans as a partial ``WindowGroupLimit`` before the shuffle by qid.
-
-Work is O(N x R x d) - inherent to exact search - but no pair is ever emitted
-as a row.
+  (assignment: vectors vs centroids; probing: queries vs centroids).  A
+  reference side under the broadcast cap (its size is measured first) is
+  broadcast, and the kernel output is final without a shuffle.
+* ``exact_knn`` - every *query* gets its k nearest base rows.  Both sides may
+  be data-sized: they are dealt into blocks, and each (query block, base
+  block) cell is one cogroup of bounded size on the executors.  ``nearest``
+  takes the same grid for a reference side beyond the cap.
+
+A cell or kernel emits at most k rows per query, never all pairs; ties go to
+the smaller id whatever the block layout, because every candidate at the k-th
+distance is kept until distances, measured exactly, and ids have decided.
 """
 
 from __future__ import annotations
@@ -27,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.functions import sizing
-from ragspark.functions.ranks import global_rank
-from ragspark.functions.vecmath import l2sq, pairwise_l2sq, to_matrix
+from ragspark.functions.vecmath import l2sq, nearest_rows, to_matrix
 
 _CHUNK_ELEMS = 4_000_000  # distance-matrix cells per numpy step (~32 MB)
 
@@ -38,127 +36,90 @@ def vector_dim(df: DataFrame, vec_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def ref_blocks(ref: DataFrame, ref_id: str, ref_vec: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Collect the reference side as (ids, matrix) blocks, each under the
-    broadcast cap.  One job measures rows and dimension first."""
-    spark = ref.sparkSession
+def ref_matrix(ref: DataFrame, ref_id: str, ref_vec: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The reference side as (ids, matrix) if it is under the broadcast cap
+    (measured by one job), else None: it then stays on the executors."""
     stats = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(ref_vec)).alias("d")).first()
-    n_ref, dim = int(stats["n"]), int(stats["d"] or 0)
-    per_row = max(1, dim) * 8 + 8
-    if sizing.fits(spark, n_ref, per_row):
-        blocks = [ref]
-    else:
-        rpb = sizing.rows_per_block(spark, per_row)
-        ranked = global_rank(ref.select(ref_id, ref_vec), [ref_id], out="_rk")
-        nb = math.ceil(n_ref / rpb)
-        blocks = [ranked.where(F.floor(F.col("_rk") / rpb) == b).drop("_rk") for b in range(nb)]
-    out = []
-    for blk in blocks:
-        tbl = blk.select(ref_id, ref_vec).toArrow()
-        ids = tbl.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        out.append((ids, to_matrix(tbl.column(1))))
-    return out
-
-
-def _nearest_kernel(bc, base_id: str, base_vec: str, k: int):
-    def run(batches):
-        ref_ids, ref_mat = bc.value
-        kk = min(k, len(ref_ids))
-        for batch in batches:
-            if batch.num_rows == 0 or kk == 0:
-                continue
-            ids = batch.column(base_id).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = to_matrix(batch.column(base_vec))
-            step = max(1, _CHUNK_ELEMS // max(1, len(ref_ids)))
-            for s in range(0, len(ids), step):
-                d = pairwise_l2sq(x[s:s + step], ref_mat)
-                part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
-                    np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-                pd_ = np.take_along_axis(d, part, axis=1)
-                pid = ref_ids[part]
-                order = np.lexsort((pid, pd_), axis=1)
-                pd_ = np.take_along_axis(pd_, order, axis=1)
-                pid = np.take_along_axis(pid, order, axis=1)
-                n = pd_.shape[0]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids[s:s + step], kk)),
-                    pa.array(pid.ravel()),
-                    pa.array(np.tile(np.arange(kk, dtype=np.int64), n)),
-                    pa.array(pd_.ravel()),
-                ], names=["_b", "_r", "_rank", "_d"])
-    return run
-
-
-def nearest(base: DataFrame, ref: DataFrame | None, k: int, *, base_id: str, base_vec: str,
+    if not sizing.fits(ref.sparkSession, int(stats["n"]), max(1, int(stats["d"] or 0)) * 8 + 8):
+        return None
+    tbl = ref.select(ref_id, ref_vec).toArrow()
+    return tbl.column(0).to_numpy(zero_copy_only=False).astype(np.int64), to_matrix(tbl.column(1))
+
+
+_NEAR = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_v", T.LongType()),
+                      T.StructField("_d", T.DoubleType())])
+
+
+def _steps(n: int, m: int):
+    step = max(1, _CHUNK_ELEMS // max(1, m))
+    return ((s, min(n, s + step)) for s in range(0, n, step))
+
+
+def _near_table(q_ids, q, ids, x, k: int, of=pa.RecordBatch):
+    """(_q, _v, _d) of the k nearest rows of ``x`` for each row of ``q``."""
+    got = [(q_ids[s:t], *nearest_rows(q[s:t], x, ids, k)) for s, t in _steps(len(q_ids), len(ids))]
+    cols = [np.concatenate([own[r] for own, r, _, _ in got]) if got else np.empty(0, np.int64),
+            np.concatenate([v for _, _, v, _ in got]) if got else np.empty(0, np.int64),
+            np.concatenate([d for _, _, _, d in got]) if got else np.empty(0)]
+    return of.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
+                          names=["_q", "_v", "_d"])
+
+
+def _ids(table, col) -> np.ndarray:
+    return table.column(col).to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(table, pa.RecordBatch) \
+        else table.column(col).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grid(queries: DataFrame, q_id: str, q_vec: str, items: DataFrame, i_id: str, i_vec: str, k: int) -> DataFrame:
+    """At most k (_q, _v, _d) per query and cell, both sides dealt into blocks
+    of about the kernel's block size (at least one item block per core)."""
+    spark = queries.sparkSession
+    dim = vector_dim(items, i_vec)
+    rows = max(1, sizing.block_bytes(spark) // (max(1, dim) * 16))
+    nq = max(1, math.ceil(queries.count() / rows))
+    ni = max(spark.sparkContext.defaultParallelism, math.ceil(items.count() / rows))
+    left = (queries.select(F.col(q_id).cast("bigint").alias("_id"), F.col(q_vec).alias("_x"))
+            .withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(nq)).cast("int"))
+            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))))
+    right = (items.select(F.col(i_id).cast("bigint").alias("_id"), F.col(i_vec).alias("_x"))
+             .withColumn("_ib", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(ni)).cast("int"))
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+
+    def cell(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not q.num_rows or not x.num_rows:
+            return pa.Table.from_batches([], pa.schema([("_q", pa.int64()), ("_v", pa.int64()), ("_d", pa.float64())]))
+        return _near_table(_ids(q, "_id"), to_matrix(q.column("_x")), _ids(x, "_id"), to_matrix(x.column("_x")), k, pa.Table)
+    return left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInArrow(cell, _NEAR)
+
+
+def nearest(base: DataFrame, ref: DataFrame, k: int, *, base_id: str, base_vec: str,
             ref_id: str, ref_vec: str, out_base: str, out_ref: str,
-            out_rank: str = "rank", out_dist: str = "dist", blocks=None) -> DataFrame:
+            out_rank: str = "rank", out_dist: str = "dist", matrix=None) -> DataFrame:
     """For each base row, its k nearest reference rows (ties by reference id).
-    ``blocks`` (from ``ref_blocks``) reuses an already collected reference."""
-    spark = base.sparkSession
-    blocks = blocks if blocks is not None else ref_blocks(ref, ref_id, ref_vec)
-    schema = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_r", T.LongType()),
-                           T.StructField("_rank", T.LongType()), T.StructField("_d", T.DoubleType())])
-    parts = []
-    for ids, mat in blocks:
-        bc = spark.sparkContext.broadcast((ids, mat))
-        parts.append(base.select(base_id, base_vec).mapInArrow(_nearest_kernel(bc, base_id, base_vec, k), schema))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    if len(parts) > 1:
-        w = Window.partitionBy("_b").orderBy("_d", "_r")
-        res = res.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint")).where(F.col("_rank") < k)
-    return res.select(F.col("_b").alias(out_base), F.col("_r").alias(out_ref),
-                      F.col("_rank").alias(out_rank), F.col("_d").alias(out_dist))
-
-
-def _knn_kernel(bc, base_id: str, base_vec: str, k: int):
-    def run(batches):
-        q_ids, q_mat = bc.value
-        nq = len(q_ids)
-        best_d = np.full((nq, k), np.inf)
-        best_i = np.full((nq, k), -1, dtype=np.int64)
-        seen = False
-        for batch in batches:
-            if batch.num_rows == 0 or nq == 0:
-                continue
-            seen = True
-            ids = batch.column(base_id).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = to_matrix(batch.column(base_vec))
-            step = max(1, _CHUNK_ELEMS // max(1, nq))
-            for s in range(0, len(ids), step):
-                d = pairwise_l2sq(q_mat, x[s:s + step])
-                cand_d = np.concatenate([best_d, d], axis=1)
-                cand_i = np.concatenate([best_i, np.broadcast_to(ids[s:s + step], d.shape)], axis=1)
-                sel = np.argpartition(cand_d, k - 1, axis=1)[:, :k] if cand_d.shape[1] > k else \
-                    np.tile(np.arange(cand_d.shape[1]), (nq, 1))
-                best_d = np.take_along_axis(cand_d, sel, axis=1)
-                best_i = np.take_along_axis(cand_i, sel, axis=1)
-        if not seen:
-            return
-        keep = best_i >= 0
-        qrep = np.broadcast_to(q_ids[:, None], best_i.shape)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(qrep[keep]), pa.array(best_i[keep]), pa.array(best_d[keep])],
-            names=["_q", "_v", "_d"])
-    return run
+    ``matrix`` (from ``ref_matrix``) reuses a reference that was measured before."""
+    matrix = matrix if matrix is not None else ref_matrix(ref, ref_id, ref_vec)
+    if matrix is None:
+        near = merge_topk(_grid(base, base_id, base_vec, ref, ref_id, ref_vec, k).toDF("_b", "_r", "_d"), k,
+                          key="_b", item="_r", dist="_d", out_rank="_rank")
+    else:
+        bc = base.sparkSession.sparkContext.broadcast(matrix)
+
+        def run(batches):
+            ids, mat = bc.value
+            for b in batches:
+                if b.num_rows and len(ids):
+                    t = _near_table(_ids(b, 0), to_matrix(b.column(1)), ids, mat, k)
+                    at = np.arange(t.num_rows) % min(k, len(ids))        # every base row has as many
+                    yield pa.RecordBatch.from_arrays([*t.columns, pa.array(at, pa.int64())], names=["_b", "_r", "_d", "_rank"])
+        near = base.select(base_id, base_vec).mapInArrow(run, "_b bigint, _r bigint, _d double, _rank bigint")
+    return near.select(F.col("_b").alias(out_base), F.col("_r").alias(out_ref),
+                       F.col("_rank").alias(out_rank), F.col("_d").alias(out_dist))
 
 
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id",
               vec_col: str = "embedding", qid: str = "qid", q_col: str = "embedding") -> DataFrame:
     """VEC2: exact top-k base vectors per query -> (qid, rank, vec_id, dist)."""
-    spark = vectors.sparkSession
-    schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_v", T.LongType()),
-                           T.StructField("_d", T.DoubleType())])
-    parts = []
-    for ids, mat in ref_blocks(queries, qid, q_col):
-        bc = spark.sparkContext.broadcast((ids, mat))
-        parts.append(vectors.select(vec_id, vec_col).mapInArrow(_knn_kernel(bc, vec_id, vec_col, k), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    cand = cand.select(F.col("_q").alias("qid"), F.col("_v").alias("vec_id"), F.col("_d").alias("dist"))
-    return merge_topk(cand, k)
+    return merge_topk(_grid(queries, qid, q_col, vectors, vec_id, vec_col, k).toDF("qid", "vec_id", "dist"), k)
 
 
 def merge_topk(candidates: DataFrame, k: int, *, key: str = "qid", item: str = "vec_id",

@@ -169,6 +169,24 @@ WORDS = f"""words AS (
     SELECT vec_id, row_number() OVER (ORDER BY {h('vec_id')}, vec_id) - 1 AS r FROM embeddings) hr,
     (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS nlist FROM embeddings) nl, res r2
   WHERE r2.vec_id = hr.vec_id AND hr.r >= nl.nlist AND hr.r < nl.nlist + 16)"""
+
+
+def pq_step(i: int) -> str:
+    """CTE(s) of codebook training step i: sub-vectors to their nearest word of
+    ``pw{i}``, means to ``pw{i + 1}`` (words without members stay)."""
+    first = """subs AS (SELECT r.vec_id, t.m, r.res[2 * t.m + 1]::DOUBLE AS a, r.res[2 * t.m + 2]::DOUBLE AS b
+  FROM res r, range(0, CAST(len(r.res) / 2 AS BIGINT)) t(m)),
+pw0 AS (SELECT t.m, w.j AS code, [w.wres[2 * t.m + 1]::DOUBLE, w.wres[2 * t.m + 2]::DOUBLE] AS word
+  FROM words w, range(0, CAST(len(w.wres) / 2 AS BIGINT)) t(m)),
+""" if i == 0 else ""
+    return first + f"""pa{i} AS (SELECT m, code, avg(a) AS a, avg(b) AS b FROM (
+  SELECT s.m, s.a, s.b, w.code, row_number() OVER (PARTITION BY s.vec_id, s.m ORDER BY
+    (s.a - w.word[1]) * (s.a - w.word[1]) + (s.b - w.word[2]) * (s.b - w.word[2]), w.code) AS rn
+  FROM subs s JOIN pw{i} w ON w.m = s.m) x WHERE rn = 1 GROUP BY m, code),
+pw{i + 1} AS (SELECT w.m, w.code, CASE WHEN p.m IS NULL THEN w.word ELSE [p.a, p.b] END AS word
+  FROM pw{i} w LEFT JOIN pa{i} p ON p.m = w.m AND p.code = w.code)"""
+
+
 ENC = """enc AS (
   SELECT vec_id, list_id, sub_m AS m, code FROM (
     SELECT r.vec_id, r.list_id, t.sub_m, w.j AS code,

@@ -73,13 +73,14 @@ def _search_results(spark, sf) -> str:
     qvecs = fx.queries(spark, sf)
     stream, _ = _stage(spark, _requests(spark, sf).select("rid", "qid", "arrival_ts"), "search")
     out = scratch.new_dir(spark, "stream-search")
+    dim = V.vector_dim(cent, "centroid")
 
     def search_batch(bdf: DataFrame) -> DataFrame:
         qs = bdf.select("qid").distinct().join(qvecs, "qid")
-        probes = V.nearest(qs, None, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
+        probes = V.nearest(qs, cent, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
                            ref_vec="centroid", out_base="qid", out_ref="list_id", out_rank="probe_rank",
-                           out_dist="cdist", blocks=blocks)
-        res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=blocks[0][1].shape[1])
+                           out_dist="cdist", matrix=blocks)
+        res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=dim)
         return bdf.select("rid", "qid").join(res, "qid")
     jobs.search_stream(stream, search_batch, out, spark)
     return out

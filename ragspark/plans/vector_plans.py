@@ -29,12 +29,13 @@ def _reg(name: str, sql: str | None = None):
 
 def assignment(spark: SparkSession, sf: str, with_blocks: bool = False, ranked=None):
     """Fixed-init centroids and the nearest-list assignment of every vector;
-    the centroid blocks are collected once and reused by the probe step."""
+    centroids under the broadcast cap are collected once for the probe step too.
+    The fourth value is that matrix (None: beyond the cap)."""
     vecs = fx.vectors(spark, sf)
     cent = fx.fixed_centroids(vecs, ranked)
-    blocks = V.ref_blocks(cent, "list_id", "centroid")
-    asg = V.nearest(vecs, None, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
-                    ref_vec="centroid", out_base="vec_id", out_ref="list_id", blocks=blocks).drop("rank")
+    blocks = V.ref_matrix(cent, "list_id", "centroid")
+    asg = V.nearest(vecs, cent, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
+                    ref_vec="centroid", out_base="vec_id", out_ref="list_id", matrix=blocks).drop("rank")
     # the assignment is the index: written once, scanned by every later step
     asg = snapshot(asg, "assignment")
     return (vecs, cent, asg, blocks) if with_blocks else (vecs, cent, asg)
@@ -43,9 +44,9 @@ def assignment(spark: SparkSession, sf: str, with_blocks: bool = False, ranked=N
 def probing(spark: SparkSession, sf: str, nprobe: int = fx.NPROBE, ranked=None, with_blocks: bool = False):
     vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True, ranked=ranked)
     qs = fx.queries(spark, sf)
-    probes = V.nearest(qs, None, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
+    probes = V.nearest(qs, cent, nprobe, base_id="qid", base_vec="embedding", ref_id="list_id",
                        ref_vec="centroid", out_base="qid", out_ref="list_id",
-                       out_rank="probe_rank", out_dist="cdist", blocks=blocks)
+                       out_rank="probe_rank", out_dist="cdist", matrix=blocks)
     out = (vecs, cent, asg, qs, snapshot(probes, "probes"))
     return out + (blocks,) if with_blocks else out
 
@@ -68,7 +69,7 @@ def vec_l2(spark, sf):
 
 @_reg("vec_exact_knn", sp.topk(f"(SELECT q.vec_id AS qid, v.vec_id, {sp.l2('q.embedding', 'v.embedding')} AS dist FROM embeddings q, embeddings v)"))
 def vec_exact_knn(spark, sf):
-    """Exact top-10 over all vectors for every query: broadcast query blocks, per-task running top-k, final WindowGroupLimit."""
+    """Exact top-10 over all vectors for every query: query x vector block cells on the executors, final WindowGroupLimit."""
     res = V.exact_knn(fx.vectors(spark, sf), fx.queries(spark, sf), fx.TOPK)
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
@@ -125,10 +126,10 @@ def vec_centroid_fetch(spark, sf):
 @_reg("vec_topk_merge", f"WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.FLAT_CAND} {sp.topk('cand')}")
 def vec_topk_merge(spark, sf):
     """Probe -> per-list partial top-k (salted cogroup cells) -> final merge."""
-    vecs, cent, asg, qs, probes, blocks = probing(spark, sf, with_blocks=True)
+    vecs, cent, asg, qs, probes = probing(spark, sf)
     members = asg.select("vec_id", "list_id").join(vecs, "vec_id")
     sizes = asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=blocks[0][1].shape[1])
+    res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=V.vector_dim(cent, "centroid"))
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
 
@@ -137,6 +138,7 @@ from ragspark.operators import quantize as QZ  # noqa: E402
 
 KMEANS_STEPS = 2   # unrolled steps checked against SQL
 MSUB, KSUB = 2, 16
+PQ_STEPS = 2       # unrolled training steps checked against SQL (the library default is 10)
 
 
 @_reg("vec_kmeans", f"""WITH {sp.CENT}, {sp.asg_for('cent', 'a1')}, {sp.lloyd_update('a1', 'cent', 'c1')},
@@ -158,14 +160,13 @@ def vec_kmeans(spark, sf):
 class PQState:
     def __init__(self, spark, sf):
         ranked = fx.hash_ranked(fx.vectors(spark, sf))     # one hash ranking: centroids and words
-        self.vecs, self.cent, self.asg, self.qs, self.probes, blocks = probing(spark, sf, ranked=ranked,
-                                                                               with_blocks=True)
-        self.nlist = sum(len(ids) for ids, _ in blocks)
-        self.dim = blocks[0][1].shape[1]
+        self.vecs, self.cent, self.asg, self.qs, self.probes = probing(spark, sf, ranked=ranked)
+        self.nlist, self.dim = self.cent.count(), V.vector_dim(self.cent, "centroid")
         self.res = (self.asg.select("vec_id", "list_id").join(self.vecs, "vec_id").join(self.cent, "list_id")
                     .select("vec_id", "list_id", sub("embedding", "centroid").alias("res")))
         words = (ranked.where((F.col("hrank") >= self.nlist) & (F.col("hrank") < self.nlist + KSUB))
                  .select("vec_id", (F.col("hrank") - self.nlist).alias("word_id")).join(self.res, "vec_id"))
+        self.words = words
         self.codebook = QZ.codebook_from_rows(words, "res", MSUB)
         self.codes = QZ.pq_encode(self.res, self.codebook)
         # member counts per list from the assignment table (codes are encoded once, in the scan)
@@ -242,17 +243,12 @@ def rte_hot_then_cold(spark, sf):
     return _r4(res.select("qid", "rank", "vec_id", "dist"), "dist")
 
 
-@_reg("vec_pq_train")
+@_reg("vec_pq_train", f"""WITH {sp.CENT}, {sp.ASG}, {sp.RES}, {sp.WORDS},
+{", ".join(sp.pq_step(i) for i in range(PQ_STEPS))}
+SELECT CAST(m AS INTEGER) AS m, code, round(list_sum(word), 6) AS word_sum FROM pw{PQ_STEPS}""")
 def vec_pq_train(spark, sf):
-    """Per sub-space codebook training (16 words, 10 Lloyd steps) on the
-    residuals of the training sample (min(39 x nlist, n) vectors), one
-    applyInPandas group per sub-space.  Rows-only in the oracle (a trained
-    codebook); tests check it against numpy."""
-    from ragspark.operators import sampling as smp
-    vecs, cent, asg = assignment(spark, sf)
-    nlist = fx.auto_nlist(vecs).first()["nlist"]
-    sample = smp.train_sample(vecs.select("vec_id"), "vec_id", nlist).select("vec_id")
-    res = (sample.join(asg.select("vec_id", "list_id"), "vec_id").join(vecs, "vec_id").join(cent, "list_id")
-           .select("vec_id", sub("embedding", "centroid").alias("res")))
-    cb = QZ.pq_train(res, MSUB, KSUB, iters=10)
+    """Codebook training (16 words per 2-d sub-space) on all residuals, from the
+    residuals first in hash order; partial sums per (sub-space, word)."""
+    st = PQState(spark, sf)
+    cb = QZ.pq_train(st.res, MSUB, KSUB, iters=PQ_STEPS, init=st.words)
     return cb.select("m", "code", round_to(F.aggregate("word", F.lit(0.0), lambda a, x: a + x), 6).alias("word_sum"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.stats import exact_percentiles
 
+_SEG_SCHEMA = "component string, seg int, start double, end double, slope double, intercept double"
 COMPONENTS = {"search": ["ann_search"], "quantize": ["quantize"], "lut": ["lut_compute", "lut_scan"]}
 
 
@@ -47,14 +48,19 @@ def breaks(lat: DataFrame, x: str = "batch_size", sections: int = 4) -> list[flo
     ps = [i / sections for i in range(sections + 1)]
     q = exact_percentiles(lat.select(F.col(x).cast("double").alias("x")), [], "x", ps,
                           [f"q{i}" for i in range(len(ps))]).first()
+    if q is None or q["q0"] is None:
+        return []                                  # no sizes, no breaks
     vals = {float(q[f"q{i}"]) for i in range(len(ps))} | {1.0, 2.0}
     return sorted(vals)
 
 
 def piecewise(lat: DataFrame, brks: Sequence[float], x: str = "batch_size") -> DataFrame:
     """LAT5: continuous piecewise-linear least squares with the given breaks,
-    per component -> (component, seg, start, end, slope, intercept)."""
+    per component -> (component, seg, start, end, slope, intercept); no rows
+    without breaks."""
     long = component_long(lat, x)
+    if len(brks) < 2:
+        return long.sparkSession.createDataFrame([], _SEG_SCHEMA)
     interior = list(brks[1:-1])
     feats = [F.lit(1.0), F.col("x")] + [F.greatest(F.col("x") - F.lit(b), F.lit(0.0)) for b in interior]
     k = len(feats)
@@ -81,20 +87,21 @@ def piecewise(lat: DataFrame, brks: Sequence[float], x: str = "batch_size") -> D
                                                      for j in range(len(interior)))
             out.append((row["component"], s, bk[s], bk[s + 1], float(slope), float(f_at - slope * bk[s])))
         return pd.DataFrame(out, columns=["component", "seg", "start", "end", "slope", "intercept"])
-    schema = "component string, seg int, start double, end double, slope double, intercept double"
-    return sums.groupBy("component").applyInPandas(solve, schema)
+    return sums.groupBy("component").applyInPandas(solve, _SEG_SCHEMA)
 
 
-def range_fit(lat: DataFrame, width: int, x: str = "batch_size", max_x: int = 65) -> DataFrame:
-    """LAT6: an independent line per range [b, min(b + width - 1, max_x)],
-    b = 1, 1 + width, ... < max_x; ranges without data are skipped."""
-    long = component_long(lat, x).where((F.col("x") >= 1) & (F.col("x") <= max_x))
+def range_fit(lat: DataFrame, width: int, x: str = "batch_size") -> DataFrame:
+    """LAT6: an independent line per range [b, min(b + width - 1, largest size)],
+    b = 1, 1 + width, ...; ranges without data are skipped.  The largest size
+    is the data's own, so every batch size is covered."""
+    long = component_long(lat, x).where(F.col("x") >= 1)
+    top = F.broadcast(lat.agg(F.max(F.col(x).cast("double")).alias("_top")))       # one row
     long = long.withColumn("seg", F.floor((F.col("x") - 1) / width).cast("int"))
     g = long.groupBy("component", "seg").agg(F.regr_slope("y", "x").alias("slope"),
                                              F.regr_intercept("y", "x").alias("intercept"))
     start = F.col("seg") * width + 1
-    return g.select("component", "seg", start.cast("double").alias("start"),
-                    F.least(start + width - 1, F.lit(max_x)).cast("double").alias("end"), "slope", "intercept")
+    return g.crossJoin(top).select("component", "seg", start.cast("double").alias("start"),
+                                   F.least((start + width - 1).cast("double"), F.col("_top")).alias("end"), "slope", "intercept")
 
 
 def predict(points: DataFrame, segments: DataFrame, rule: str = "closed_last", x: str = "batch_size") -> DataFrame:

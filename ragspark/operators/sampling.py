@@ -7,6 +7,8 @@ with the distributed ``global_rank`` - exact sizes, no ``randomSplit``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,10 @@ def permute(df: DataFrame, id_col: str, seed: str = "42", out: str = "perm_rank"
     return global_rank(df.withColumn("_h", seeded_hash(id_col, seed)), ["_h", id_col], out=out).drop("_h")
 
 
-def split(df: DataFrame, id_col: str, seed: str = "42", small: int = 10000) -> DataFrame:
-    """SMP1: train share 20% when n <= ``small`` else 1%; the first
-    int(n * (1 - train share)) rows of the shuffle are test, the rest train;
-    the original index is kept."""
-    n = df.count()
-    train_ratio = 0.2 if n <= small else 0.01
-    test_size = int(n * (1 - train_ratio))
+def split(df: DataFrame, id_col: str, train_share: float, seed: str = "42") -> DataFrame:
+    """SMP1: the first int(n * (1 - train_share)) rows of the shuffle are test,
+    the rest train, at every table size; the original index is kept."""
+    test_size = int(df.count() * (1 - train_share))
     p = permute(df, id_col, seed)
     return p.withColumn("split", F.when(F.col("perm_rank") < test_size, F.lit("test")).otherwise(F.lit("train"))) \
         .withColumn("orig_index", F.col(id_col))
@@ -41,9 +40,9 @@ def train_sample(df: DataFrame, id_col: str, nlist: int, per_list: int = 39, see
     return permute(df, id_col, seed).where(F.col("perm_rank") < size)
 
 
-def cap(perm: DataFrame, limit: int = 10000) -> DataFrame:
-    """SMP4: at most ``limit`` rows of an already shuffled set."""
-    return perm.where(F.col("perm_rank") < limit)
+def cap(perm: DataFrame, share: float) -> DataFrame:
+    """SMP4: the first ``ceil(share * n)`` rows of an already shuffled set."""
+    return perm.where(F.col("perm_rank") < math.ceil(perm.count() * share))
 
 
 def cycle(requests: DataFrame, perm: DataFrame, nq: int, rid: str = "rid") -> DataFrame:

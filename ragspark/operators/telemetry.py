@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import global_rank, prefix_sum
-from ragspark.functions.stats import exact_percentiles
+from ragspark.functions.stats import exact_percentiles, join_null_safe
 
 # The 15 metrics of a run summary, in the reference's order.
 METRICS = ["ann_queue", "ann_batch", "ann_pending", "ann_idle", "ann_search", "ann_e2e",
@@ -101,7 +101,7 @@ def summarize(requests: DataFrame, keys: Sequence[str], metrics: Sequence[str] =
     # (run, metric) domain from the distinct runs, not from the 15x longer unpivoted table
     domain = requests.select(*keys).distinct().withColumn(
         "metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
-    out = domain.join(means, [*keys, "metric"], "left").join(pct, [*keys, "metric"], "left")
+    out = join_null_safe(join_null_safe(domain, means, [*keys, "metric"], "left"), pct, [*keys, "metric"], "left")
     for c in ("avg", "p50", "p90", "p95"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
     return out.withColumn("exact", F.lit(not approx)) if approx else out

@@ -23,7 +23,6 @@ TAIL_NS = [1, 2, 4, 8, 16, 32]
 REQ_TARGETS = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
 REQ_GRID = 1000          # HIT10 mean grid step 1 / 1000 (the reference's tolerance)
 CURVE_NS = list(range(1, 33))
-NC = 32                  # LAT5 fit range 1 <= batch size <= cpus
 RANGE_W = 8              # LAT6 range width (cpus of the accelerated tier)
 
 
@@ -152,10 +151,10 @@ def _comp_sql(src: str) -> str:
 
 def _fit_sql(src: str, name: str) -> str:
     return f"""{name} AS (
-  SELECT component, seg, CAST(seg * {RANGE_W} + 1 AS DOUBLE) AS start, CAST(least(seg * {RANGE_W} + {RANGE_W}, 65) AS DOUBLE) AS "end",
+  SELECT component, seg, CAST(seg * {RANGE_W} + 1 AS DOUBLE) AS start, least(CAST(seg * {RANGE_W} + {RANGE_W} AS DOUBLE), (SELECT max(CAST(batch_size AS DOUBLE)) FROM {src})) AS "end",
          slope, intercept FROM (
     SELECT component, CAST(floor((x - 1) / {RANGE_W}) AS INTEGER) AS seg, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
-    FROM ({_comp_sql(src)}) c WHERE x >= 1 AND x <= 65 GROUP BY component, CAST(floor((x - 1) / {RANGE_W}) AS INTEGER)) f)"""
+    FROM ({_comp_sql(src)}) c WHERE x >= 1 GROUP BY component, CAST(floor((x - 1) / {RANGE_W}) AS INTEGER)) f)"""
 
 
 def _lat_frames(spark, sf):
@@ -202,12 +201,12 @@ def lat_min_support(spark, sf):
 
 @_reg("lat_breaks", f"""WITH {ST}, {_LAT_SQL}, q AS (
   SELECT unnest(list_sort(list_distinct(list_concat(quantile_cont(CAST(batch_size AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]),
-    [1.0::DOUBLE, 2.0::DOUBLE])))) AS brk FROM lat WHERE batch_size BETWEEN 1 AND {NC})
+    [1.0::DOUBLE, 2.0::DOUBLE])))) AS brk FROM lat WHERE batch_size >= 1)
 SELECT CAST(row_number() OVER (ORDER BY brk) - 1 AS INTEGER) AS idx, brk FROM q""")
 def lat_breaks(spark, sf):
     """Quantile break points of the batch sizes plus {1, 2}."""
     _, lat, _ = _lat_frames(spark, sf)
-    brks = lt.breaks(lat.where(F.col("batch_size").between(1, NC)))
+    brks = lt.breaks(lat.where(F.col("batch_size") >= 1))
     return spark.createDataFrame(list(enumerate(brks)), "idx int, brk double")
 
 
@@ -217,7 +216,7 @@ def lat_piecewise(spark, sf):
     quantile breaks (all segments kept).  Rows-only in the oracle; checked
     against numpy least squares in tests."""
     _, lat, _ = _lat_frames(spark, sf)
-    d = lat.where(F.col("batch_size").between(1, NC))
+    d = lat.where(F.col("batch_size") >= 1)
     return lt.piecewise(d, lt.breaks(d))
 
 

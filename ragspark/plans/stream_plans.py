@@ -4,7 +4,6 @@ read back.  The oracle SQL is the batch result the replay must equal."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,9 +136,7 @@ def str_access(spark, sf):
     st = State(spark, sf)
     stream, _ = _stage(spark, _requests(spark, sf).select("rid", "qid", "arrival_ts"), "access")
     probes = stream.join(st.probes.select("qid", "list_id"), "qid")
-    name = f"access_{uuid.uuid4().hex[:8]}"
-    jobs.access_stream(probes, name, spark)
-    return spark.table(name).select("list_id", "accesses")
+    return jobs.access_stream(probes, scratch.new_dir(spark, "stream-access"), spark).select("list_id", "accesses")
 
 
 @_reg("str_slo_monitor", f"""WITH {sp.stages_cte()}, b AS (
@@ -150,10 +147,9 @@ SELECT block, n, round(share, 6) AS share, share >= 0 AND share < 0.9 AS alert F
 def str_slo_monitor(spark, sf):
     """Stateful SLO monitor: attainment of every completed block of 1000
     requests, alert below 0.9; equals the batch block report."""
-    stream, _ = _stage(spark, _requests(spark, sf).select("rid", "ann_search"), "slo")
-    name = f"slo_{uuid.uuid4().hex[:8]}"
-    jobs.slo_monitor_stream(stream, "ann_search", SEARCH_SLO, name, spark)
-    return rnd(spark.table(name), 6, "share")
+    stream, _ = _stage(spark, _requests(spark, sf).select("rid", "arrival_ts", "ann_search"), "slo")
+    out = jobs.slo_monitor_stream(stream, "ann_search", SEARCH_SLO, scratch.new_dir(spark, "stream-slo"), spark)
+    return rnd(out.where("complete").drop("complete"), 6, "share")
 
 
 @_reg("str_early_emit", f"""{sp.index_ctes(*sp.INDEX_ALL)}, {_REQ_SQL},

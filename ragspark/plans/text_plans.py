@@ -236,12 +236,12 @@ _EMB_PERM = f"ep AS (SELECT vec_id, label, embedding, {_PERM_SQL.format(c='vec_i
 
 
 @_reg("smp_split", f"""WITH {_EMB_PERM}, n AS (SELECT count(*) AS n FROM embeddings)
-SELECT vec_id, perm_rank, CASE WHEN perm_rank < CAST(floor(n.n * (CASE WHEN n.n <= 10000 THEN 1.0::DOUBLE - 0.2::DOUBLE ELSE 1.0::DOUBLE - 0.01::DOUBLE END)) AS BIGINT)
+SELECT vec_id, perm_rank, CASE WHEN perm_rank < CAST(floor(n.n * (1.0::DOUBLE - 0.2::DOUBLE)) AS BIGINT)
   THEN 'test' ELSE 'train' END AS split, vec_id AS orig_index FROM ep, n""")
 def smp_split(spark, sf):
-    """Shuffled train/test split with exact sizes (train 20% up to 10k rows)."""
+    """Shuffled train/test split with exact sizes (train 20%)."""
     e = fx.table(spark, sf, "embeddings").select("vec_id")
-    return smp.split(e, "vec_id").select("vec_id", "perm_rank", "split", "orig_index")
+    return smp.split(e, "vec_id", 0.2).select("vec_id", "perm_rank", "split", "orig_index")
 
 
 @_reg("smp_train_sample", f"""WITH {_EMB_PERM}
@@ -263,11 +263,11 @@ def smp_permute(spark, sf):
         "embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 4).alias("emb_sum"))
 
 
-@_reg("smp_cap", f"WITH {_EMB_PERM} SELECT perm_rank, vec_id FROM ep WHERE perm_rank < 10000")
+@_reg("smp_cap", f"WITH {_EMB_PERM} SELECT perm_rank, vec_id FROM ep WHERE perm_rank < ceil(0.5::DOUBLE * (SELECT count(*) FROM embeddings))")
 def smp_cap(spark, sf):
-    """At most 10 000 shuffled profiling queries (the reference's cap)."""
+    """The first half of the shuffled profiling queries; the share is a parameter."""
     e = fx.table(spark, sf, "embeddings").select("vec_id")
-    return smp.cap(smp.permute(e, "vec_id")).select("perm_rank", "vec_id")
+    return smp.cap(smp.permute(e, "vec_id"), 0.5).select("perm_rank", "vec_id")
 
 
 @_reg("smp_cycle", f"""WITH {sp.requests_cte()}, {_EMB_PERM}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import global_rank
+from ragspark.functions.stats import join_null_safe
 from ragspark.operators.placement import maybe_broadcast
 from ragspark.operators.text import WS, parse_kv
 
@@ -31,12 +32,13 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def read_query_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: TSV with a header; key = running index (files are written sorted
-    by their first column, so the index follows it), value = second column."""
+    """SRC7: TSV with a header; key = running index in file order (file name,
+    then position in the file), value = second column, ids of any form."""
     raw = (spark.read.option("sep", "\t").option("header", True).option("multiLine", True)
            .schema("src_qid string, text string").csv(path))
-    return global_rank(raw.withColumn("_k", F.col("src_qid").cast("bigint")), ["_k"], out="qid") \
-        .select("qid", "src_qid", "text")
+    placed = raw.select("src_qid", "text", F.col("_metadata.file_name").alias("_file"),
+                        F.monotonically_increasing_id().alias("_at"))
+    return global_rank(placed, ["_file", "_at"], out="qid").select("qid", "src_qid", "text")
 
 
 # ------------------------------------------------------------- requests
@@ -50,7 +52,9 @@ def write_requests(req: DataFrame, path: str, runs_path: str | None = None,
         runs = global_rank(runs, [*keys, *run_cols], out="run_id")
         runs.write.mode("overwrite").parquet(runs_path)
         n_runs = runs.count()
-        req = req.join(maybe_broadcast(runs, n_runs, 64), [*keys, *run_cols]).drop(*run_cols)
+        req = join_null_safe(req, maybe_broadcast(runs, n_runs, 64), [*keys, *run_cols]).drop(*run_cols)
+    # a run's rows meet in a few files, however many tasks and runs there are
+    req = req.repartition(*keys, F.pmod(F.xxhash64(*req.columns[:1]), F.lit(8)))
     req.write.partitionBy(*keys).mode("overwrite").parquet(path)
 
 

@@ -84,52 +84,69 @@ def join_logs_stream(search: DataFrame, gen: DataFrame, out_path: str, spark: Sp
 
 
 # ------------------------------------------------------------------- STR4
-def access_stream(probes: DataFrame, table: str, spark: SparkSession, window: str | None = None) -> None:
+def access_stream(probes: DataFrame, out_path: str, spark: SparkSession, window: str | None = None) -> DataFrame:
     """STR4: live list-access counters; ``window`` resets them per event-time
-    window (tumbling) instead of keeping running totals."""
+    window (tumbling) instead of keeping running totals.
+
+    Windows are appended to a Parquet table; running totals replace each other
+    as ``epoch=<id>`` folders (a retried epoch overwrites its own).  Returns
+    the table, of the last epoch for totals."""
     if window:
         agg = (probes.withWatermark("arrival_ts", window)
                .groupBy(F.window("arrival_ts", window), "list_id").agg(F.count(F.lit(1)).alias("accesses")))
-        w = agg.writeStream.outputMode("append")
-    else:
-        agg = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("accesses"))
-        w = agg.writeStream.outputMode("complete")
-    run_to_end(w.format("memory").queryName(table), "access", spark)
+        run_to_end(agg.writeStream.outputMode("append").format("parquet").option("path", out_path), "access", spark)
+        return spark.read.schema(agg.schema).parquet(out_path)
+    agg = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("accesses"))
+    last: list[int] = []
+
+    def replace(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        last.append(epoch)
+    run_to_end(agg.writeStream.outputMode("complete").foreachBatch(replace), "access", spark)
+    return spark.read.parquet(f"{out_path}/epoch={max(last)}") if last else spark.createDataFrame([], agg.schema)
 
 
 # ------------------------------------------------------------------- STR5
 SLO_OUT = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
-                        T.StructField("share", T.DoubleType()), T.StructField("alert", T.BooleanType())])
+                        T.StructField("share", T.DoubleType()), T.StructField("alert", T.BooleanType()),
+                        T.StructField("complete", T.BooleanType())])
 SLO_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("hits", T.LongType())])
 
 
-def _slo_fn(block_size: int):
+def _slo_fn(block_size: int, wait_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, hits = state.get if state.exists else (0, 0)
-        for pdf in pdfs:
+        late, newest = state.hasTimedOut, 0
+        for pdf in ([] if late else pdfs):
             count += len(pdf)
             hits += int(pdf["ok"].sum())
-        if count >= block_size:
-            share = hits / count
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+        if late or count >= block_size:
+            share = hits / count if count else 0.0
             state.remove()
             yield pd.DataFrame({"block": [int(key[0])], "n": [count], "share": [share],
-                                "alert": [bool(0 <= share < 0.9)]})
+                                "alert": [bool(0 <= share < 0.9)], "complete": [count >= block_size]})
         else:
             state.update((count, hits))
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1) + wait_ms)
     return fn
 
 
-def slo_monitor_stream(requests: DataFrame, latency: str, slo: float, out_table: str, spark: SparkSession,
-                       block_size: int = 1000) -> None:
+def slo_monitor_stream(requests: DataFrame, latency: str, slo: float, out_path: str, spark: SparkSession,
+                       block_size: int = 1000, delay: str = "1 hour", wait_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """STR5: per block of ``block_size`` consecutive requests a (count, hits)
     state; when the block is complete its attainment is emitted (alert below
-    0.9) and the state dropped.  Keyed by block, so the result does not depend
-    on arrival order and open state stays small."""
-    rows = requests.select(F.floor(F.col("rid") / block_size).cast("bigint").alias("block"),
-                           F.coalesce(F.col(latency) <= F.lit(slo), F.lit(False)).alias("ok"))
-    out = rows.groupBy("block").applyInPandasWithState(_slo_fn(block_size), SLO_OUT, SLO_STATE, "append",
-                                                         "NoTimeout")
-    run_to_end(out.writeStream.format("memory").queryName(out_table).outputMode("append"), "slo", spark)
+    0.9) and the state dropped.  A block that stays incomplete for ``wait_ms``
+    of event time is emitted as it is (``complete`` false), so a lost request
+    neither keeps its state for ever nor hides its alert.  Keyed by block, the
+    result does not depend on arrival order.  Returns the appended table."""
+    rows = requests.withWatermark("arrival_ts", delay).select(
+        F.floor(F.col("rid") / block_size).cast("bigint").alias("block"), F.col("arrival_ts").alias("ts"),
+        F.coalesce(F.col(latency) <= F.lit(slo), F.lit(False)).alias("ok"))
+    out = rows.groupBy("block").applyInPandasWithState(_slo_fn(block_size, wait_ms), SLO_OUT, SLO_STATE, "append",
+                                                         "EventTimeTimeout")
+    run_to_end(out.writeStream.format("parquet").option("path", out_path).outputMode("append"), "slo", spark)
+    return spark.read.schema(SLO_OUT).parquet(out_path)
 
 
 # ------------------------------------------------------------------- STR6

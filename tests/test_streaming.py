@@ -1,7 +1,5 @@
 """Streaming replays equal their batch counterparts."""
 
-import uuid
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,19 +22,26 @@ def _stream(spark, df, name):
 
 
 def test_slo_monitor_equals_batch(spark, reqs):
-    name = f"t_slo_{uuid.uuid4().hex[:6]}"
-    jobs.slo_monitor_stream(_stream(spark, reqs, "slo"), "ann_search", 0.15, name, spark)
-    got = sorted((r.block, r.n, round(r.share, 9), r.alert) for r in spark.table(name).collect())
+    out = jobs.slo_monitor_stream(_stream(spark, reqs, "slo"), "ann_search", 0.15, scratch.new_dir(spark, "t-slo-out"), spark)
+    got = sorted((r.block, r.n, round(r.share, 9), r.alert) for r in out.where("complete").collect())
     want = sorted((r.block, r.n, round(r.share, 9), r.alert)
                   for r in tel.slo_blocks(reqs, "ann_search", 0.15).collect())
     assert got == want and len(got) == 3          # 3 full blocks, the partial one is not emitted
 
 
+def test_slo_monitor_gives_up_on_incomplete_blocks(spark, reqs):
+    """A block that lost a request is emitted after the wait, flagged incomplete."""
+    lossy = reqs.where("rid <> 500")
+    out = jobs.slo_monitor_stream(_stream(spark, lossy, "slo-lossy"), "ann_search", 0.15, scratch.new_dir(spark, "t-slo-lossy"),
+                                  spark, delay="1 minute", wait_ms=3600 * 1000)
+    got = {r.block: (r.n, r.complete) for r in out.collect()}
+    assert got[1] == (1000, True) and got[2] == (1000, True) and got.get(0, (999, False)) == (999, False)
+
+
 def test_tumbling_access_counters(spark, reqs):
     probes = reqs.select("rid", "arrival_ts", (F.col("rid") % 5).alias("list_id"))
-    name = f"t_acc_{uuid.uuid4().hex[:6]}"
-    jobs.access_stream(_stream(spark, probes, "acc"), name, spark, window="1 day")
-    got = {(r.window.start, r.list_id): r.accesses for r in spark.table(name).collect()}
+    out = jobs.access_stream(_stream(spark, probes, "acc"), scratch.new_dir(spark, "t-acc-out"), spark, window="1 day")
+    got = {(r.window.start, r.list_id): r.accesses for r in out.collect()}
     want = {(r.w.start, r.list_id): r.c for r in probes.groupBy(F.window("arrival_ts", "1 day").alias("w"), "list_id")
             .agg(F.count(F.lit(1)).alias("c")).collect()}
     # windows close once the watermark passes them; every emitted window is exact

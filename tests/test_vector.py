@@ -96,3 +96,45 @@ def test_kmeans_inertia_non_increasing(spark, data):
         inertia.append(asg.agg(F.sum("dist")).first()[0])
         c = c.checkpoint(eager=True)
     assert all(b <= a + 1e-9 for a, b in zip(inertia, inertia[1:]))
+
+
+def test_ties_go_to_the_smaller_id_for_any_layout(spark):
+    """200 equal vectors and a few others: the k best are the least ids."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(i, [float(i), 0.0, 1.0]) for i in range(200, 210)]
+    q = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [5.0, 5.0, 5.0])], "qid bigint, embedding array<float>")
+    for parts in (1, 3, 7):
+        d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(parts, "vec_id")
+        got = V.exact_knn(d, q, 5).where("qid = 0").orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
+        near = V.nearest(q, d, 5, base_id="qid", base_vec="embedding", ref_id="vec_id", ref_vec="embedding",
+                         out_base="qid", out_ref="vec_id").where("qid = 0").orderBy("rank").collect()
+        assert [r.vec_id for r in near] == [0, 1, 2, 3, 4] and [r["rank"] for r in near] == [0, 1, 2, 3, 4]
+
+
+def test_nearest_is_the_same_beyond_the_broadcast_cap(spark, data):
+    _, vecs, _, cent = data
+    args = dict(base_id="vec_id", base_vec="embedding", ref_id="list_id", ref_vec="centroid", out_base="vec_id", out_ref="list_id")
+    want = sorted(map(tuple, V.nearest(vecs, cent, 2, **args).collect()))
+    spark.conf.set("ragspark.broadcast.capBytes", "64")
+    try:
+        got = sorted(map(tuple, V.nearest(vecs, cent, 2, **args).collect()))
+        new = {r.list_id: r.centroid for r in QZ.lloyd_update(vecs, cent).collect()}
+    finally:
+        spark.conf.unset("ragspark.broadcast.capBytes")
+    assert got == want
+    for r in QZ.lloyd_update(vecs, cent).collect():
+        assert np.allclose(r.centroid, new[r.list_id])
+
+
+def test_codebook_training_lowers_the_error(spark, data):
+    x, vecs, _, _ = data
+    res = vecs.select("vec_id", F.col("embedding").alias("res"))
+
+    def error(words):
+        book = np.zeros((8, 16, 2))
+        for r in words.collect():
+            book[r.m, r.code] = r.word
+        sub = x.astype(np.float64).reshape(len(x), 8, 1, 2)
+        return ((sub - book[None]) ** 2).sum(axis=3).min(axis=2).sum()
+    errors = [error(QZ.pq_train(res, iters=i)) for i in (0, 1, 4)]
+    assert errors[0] >= errors[1] >= errors[2] and errors[2] < errors[0]

@@ -57,8 +57,14 @@ def breaks(lat: DataFrame, x: str = "batch_size", sections: int = 4) -> list[flo
 def piecewise(lat: DataFrame, brks: Sequence[float], x: str = "batch_size") -> DataFrame:
     """LAT5: continuous piecewise-linear least squares with the given breaks,
     per component -> (component, seg, start, end, slope, intercept); no rows
-    without breaks."""
+    without two breaks at or above the smallest size."""
     long = component_long(lat, x)
+    if len(brks) < 2:
+        return long.sparkSession.createDataFrame([], _SEG_SCHEMA)
+    # breaks below the smallest size have no data: their segments continue the first fitted line
+    least = lat.agg(F.min(F.col(x).cast("double")).alias("m")).first()["m"]
+    before = [float(b) for b in brks if least is not None and b < least]
+    brks = [b for b in brks if b not in before]
     if len(brks) < 2:
         return long.sparkSession.createDataFrame([], _SEG_SCHEMA)
     interior = list(brks[1:-1])
@@ -81,11 +87,13 @@ def piecewise(lat: DataFrame, brks: Sequence[float], x: str = "batch_size") -> D
         b = np.array([row[f"b_{i}"] for i in range(k)])
         theta = np.linalg.lstsq(A, b, rcond=None)[0]
         out = []
+        for s, (lo, hi) in enumerate(zip(before, [*before[1:], bk[0]])):
+            out.append((row["component"], s, lo, hi, float(theta[1]), float(theta[0])))
         for s in range(len(bk) - 1):
             slope = theta[1] + theta[2:2 + s].sum()
             f_at = theta[0] + theta[1] * bk[s] + sum(theta[2 + j] * max(bk[s] - interior[j], 0.0)
                                                      for j in range(len(interior)))
-            out.append((row["component"], s, bk[s], bk[s + 1], float(slope), float(f_at - slope * bk[s])))
+            out.append((row["component"], len(before) + s, bk[s], bk[s + 1], float(slope), float(f_at - slope * bk[s])))
         return pd.DataFrame(out, columns=["component", "seg", "start", "end", "slope", "intercept"])
     return sums.groupBy("component").applyInPandas(solve, _SEG_SCHEMA)
 

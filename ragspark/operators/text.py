@@ -116,16 +116,20 @@ def run_name(slo: Column, input_len: Column, output_len: Column, rate: Column, w
 
 
 def parse_kv(lines: DataFrame, col: str = "line") -> DataFrame:
-    """TXT9: 'k=v' -> (k, v_long, v_double, v_bool, v_str); exactly one typed
-    slot is filled (integers also fill v_double, as Python would coerce)."""
+    """TXT9: 'k=v' -> (k, v_long, v_double, v_bool, v_list, v_str); one typed slot
+    is filled (integers also fill v_double, as Python would coerce).  Booleans
+    in any case; a list of numbers in brackets fills v_list."""
     kv = F.split(F.col(col), "=", 2)
     v = kv[1]
     is_int = v.rlike("^-?[0-9]+$")
     is_num = v.rlike("^-?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$")
-    is_bool = v.isin("True", "False")
+    is_bool = F.lower(v).isin("true", "false")
+    is_list = v.rlike("^ *\\[[-+.eE0-9 ]+(,[-+.eE0-9 ]+)*\\] *$")
+    items = F.split(F.regexp_replace(v, "[\\[\\] ]", ""), ",")
     return lines.select("*", F.trim(kv[0]).alias("k"), v.alias("_v")).select(
         *lines.columns, "k",
         F.when(is_int, v.cast("bigint")).alias("v_long"),
         F.when(is_num, v.cast("double")).alias("v_double"),
-        F.when(is_bool, v == "True").alias("v_bool"),
-        F.when(~is_num & ~is_bool, v).alias("v_str"))
+        F.when(is_bool, F.lower(v) == "true").alias("v_bool"),
+        F.when(is_list, F.transform(items, lambda x: x.try_cast("double"))).alias("v_list"),
+        F.when(~is_num & ~is_bool & ~is_list, v).alias("v_str"))

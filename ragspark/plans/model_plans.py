@@ -210,14 +210,39 @@ def lat_breaks(spark, sf):
     return spark.createDataFrame(list(enumerate(brks)), "idx int, brk double")
 
 
-@_reg("lat_piecewise")
+# The continuous piecewise-linear fit in the basis of its values at the breaks:
+# tridiagonal normal equations per component, solved by elimination.
+_PIECEWISE_SQL = f"""WITH RECURSIVE {ST}, {_LAT_SQL}, q AS (
+  SELECT unnest(list_sort(list_distinct(list_concat(quantile_cont(CAST(batch_size AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]),
+    [1.0::DOUBLE, 2.0::DOUBLE])))) AS brk FROM lat WHERE batch_size >= 1),
+brk AS (SELECT CAST(row_number() OVER (ORDER BY brk) - 1 AS INTEGER) AS j, brk FROM q),
+cut AS (SELECT a.j, a.brk AS lo, b.brk AS hi, b.j = (SELECT max(j) FROM brk) AS final FROM brk a JOIN brk b ON b.j = a.j + 1),
+j0 AS (SELECT min(j) AS j FROM brk WHERE brk >= (SELECT min(batch_size) FROM lat WHERE batch_size >= 1)),
+pt AS (SELECT c.component, t.j, (t.hi - c.x) / (t.hi - t.lo) AS wl, (c.x - t.lo) / (t.hi - t.lo) AS wr, c.y
+  FROM ({_comp_sql('lat')}) c JOIN cut t ON t.j >= (SELECT j FROM j0) AND c.x >= t.lo AND (c.x < t.hi OR (t.final AND c.x = t.hi))),
+dg AS (SELECT component, j, sum(d) AS d, sum(b) AS b FROM (SELECT component, j, wl * wl AS d, wl * y AS b FROM pt
+  UNION ALL SELECT component, j + 1, wr * wr, wr * y FROM pt) z GROUP BY component, j),
+eq AS (SELECT dg.*, coalesce(o.e, 0.0::DOUBLE) AS e FROM dg LEFT JOIN
+  (SELECT component, j, sum(wl * wr) AS e FROM pt GROUP BY component, j) o ON o.component = dg.component AND o.j = dg.j),
+fw AS (SELECT component, j, e, e / d AS cp, b / d AS dp FROM eq WHERE j = (SELECT j FROM j0)
+  UNION ALL SELECT n.component, n.j, n.e, n.e / (n.d - f.e * f.cp), (n.b - f.e * f.dp) / (n.d - f.e * f.cp)
+  FROM fw f JOIN eq n ON n.component = f.component AND n.j = f.j + 1),
+bw AS (SELECT component, j, dp AS v FROM fw WHERE j = (SELECT max(j) FROM brk)
+  UNION ALL SELECT f.component, f.j, f.dp - f.cp * b.v FROM bw b JOIN fw f ON f.component = b.component AND f.j = b.j - 1)
+SELECT l.component, t.j AS seg, t.lo AS start, t.hi AS "end", round((r.v - l.v) / (f.hi - f.lo), 6) + 0.0::DOUBLE AS slope,
+  round(l.v - (r.v - l.v) / (f.hi - f.lo) * f.lo, 6) + 0.0::DOUBLE AS intercept
+FROM cut t JOIN cut f ON f.j = greatest(t.j, (SELECT j FROM j0)) JOIN bw l ON l.j = f.j
+JOIN bw r ON r.component = l.component AND r.j = f.j + 1"""
+
+
+@_reg("lat_piecewise", _PIECEWISE_SQL)
 def lat_piecewise(spark, sf):
     """Continuous piecewise-linear fit of search / quantize / lut at the
-    quantile breaks (all segments kept).  Rows-only in the oracle; checked
-    against numpy least squares in tests."""
+    quantile breaks (all segments kept)."""
     _, lat, _ = _lat_frames(spark, sf)
     d = lat.where(F.col("batch_size") >= 1)
-    return lt.piecewise(d, lt.breaks(d))
+    out = rnd(lt.piecewise(d, lt.breaks(d)), 6, "slope", "intercept")
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("slope", "intercept")})     # no negative zero
 
 
 @_reg("lat_range_fit", f"""WITH {ST}, {_LAT_SQL}, {_fit_sql('latg', 'gseg')}

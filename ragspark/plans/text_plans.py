@@ -174,14 +174,16 @@ def txt_query_lookup(spark, sf):
 _KV_SQL = f"""WITH {sp.stages_cte()}, runs AS (SELECT DISTINCT mode, rate, ngpu, dispatcher FROM st),
 kv AS (SELECT mode, rate, ngpu, dispatcher, unnest([
   'mode=' || mode, 'rate=' || CAST(rate AS VARCHAR), 'ngpu=' || CAST(ngpu AS VARCHAR),
-  'dispatcher=' || CASE WHEN dispatcher THEN 'True' ELSE 'False' END, 'gpu_util=0.95', 'tag=main',
+  'dispatcher=' || CASE WHEN dispatcher THEN 'True' ELSE 'false' END, 'gpu_util=0.95', 'tag=main',
   'lengths=[1024, 256]']) AS line FROM runs),
 p AS (SELECT *, trim(split_part(line, '=', 1)) AS k, substr(line, strpos(line, '=') + 1) AS v FROM kv)
 SELECT mode, rate, ngpu, dispatcher, k,
   CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN CAST(v AS BIGINT) END AS v_long,
   CASE WHEN regexp_full_match(v, '-?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?') THEN CAST(v AS DOUBLE) END AS v_double,
-  CASE WHEN v IN ('True', 'False') THEN v = 'True' END AS v_bool,
-  CASE WHEN NOT regexp_full_match(v, '-?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?') AND v NOT IN ('True', 'False') THEN v END AS v_str
+  CASE WHEN lower(v) IN ('true', 'false') THEN lower(v) = 'true' END AS v_bool,
+  CASE WHEN v LIKE '[%]' THEN len(string_split(v, ',')) END AS list_items,
+  CASE WHEN v LIKE '[%]' THEN list_sum(list_transform(string_split(regexp_replace(v, '[^0-9,]', '', 'g'), ','), lambda x: CAST(x AS DOUBLE))) END AS list_total,
+  CASE WHEN NOT regexp_full_match(v, '-?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?') AND lower(v) NOT IN ('true', 'false') AND v NOT LIKE '[%]' THEN v END AS v_str
 FROM p"""
 
 
@@ -193,9 +195,12 @@ def txt_parse_kv(spark, sf):
     lines = runs.select("*", F.explode(F.array(
         F.concat(F.lit("mode="), F.col("mode")), F.concat(F.lit("rate="), F.col("rate").cast("string")),
         F.concat(F.lit("ngpu="), F.col("ngpu").cast("string")),
-        F.concat(F.lit("dispatcher="), F.when(F.col("dispatcher"), F.lit("True")).otherwise(F.lit("False"))),
+        F.concat(F.lit("dispatcher="), F.when(F.col("dispatcher"), F.lit("True")).otherwise(F.lit("false"))),
         F.lit("gpu_util=0.95"), F.lit("tag=main"), F.lit("lengths=[1024, 256]"))).alias("line"))
-    return tx.parse_kv(lines).drop("line")
+    out = tx.parse_kv(lines).drop("line")
+    total = F.aggregate("v_list", F.lit(0.0), lambda a, x: a + x)
+    return out.withColumns({"list_items": F.when(F.col("v_list").isNotNull(), F.size("v_list")).cast("bigint"),
+                            "list_total": total}).drop("v_list")
 
 
 _MODES = [("view", "hybrid"), ("click", "cpu"), ("purchase", "all-gpu"), ("error", "ded-gpu"), ("signup", "none")]

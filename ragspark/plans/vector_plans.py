@@ -168,7 +168,7 @@ class PQState:
                  .select("vec_id", (F.col("hrank") - self.nlist).alias("word_id")).join(self.res, "vec_id"))
         self.words = words
         self.codebook = QZ.codebook_from_rows(words, "res", MSUB)
-        self.codes = QZ.pq_encode(self.res, self.codebook)
+        self.codes = snapshot(QZ.pq_encode(self.res, self.codebook), "codes")   # encoded once, scanned by every tier
         # member counts per list from the assignment table (codes are encoded once, in the scan)
         self.sizes = self.asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
         self.kw = dict(mode="pq", centroids=self.cent, codebook=self.codebook, sizes=self.sizes, dim=self.dim)

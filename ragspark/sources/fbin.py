@@ -21,6 +21,8 @@ from __future__ import annotations
 import glob as _glob
 import os
 import re
+import shutil
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -102,19 +104,29 @@ class FbinReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files):
-        self.files = files
+    def __init__(self, folder, files):
+        self.folder, self.files = folder, files
 
 
 class FbinWriter(DataSourceArrowWriter):
-    def __init__(self, options, schema: StructType, ids: bool):
+    """Each task writes into a staging folder of its own; only the files of
+    committed tasks are moved to their numbered names, so a retried or
+    speculative task leaves nothing behind.  Overwriting removes the numbered
+    files that were there; option ``skipExisting`` keeps them instead."""
+
+    def __init__(self, options, schema: StructType, ids: bool, overwrite: bool = False):
         self.path = options["path"]
-        self.ids = ids
+        self.ids, self.overwrite = ids, overwrite
         self.vec = schema.fieldNames()[1] if len(schema.fieldNames()) > 1 else schema.fieldNames()[0]
         self.prefix = options.get("prefix", "base")
+        self.skip = options.get("skipExisting", "false").lower() == "true"
+
+    def _name(self, number: int) -> str:
+        return f"{self.prefix}{number}.{'ibin' if self.ids else 'fbin'}"
 
     def write(self, iterator):
-        os.makedirs(self.path, exist_ok=True)
+        folder = os.path.join(self.path, "_staging", uuid.uuid4().hex)
+        os.makedirs(folder, exist_ok=True)
         done, cur, fh, n, dim = [], None, None, 0, None
         dtype = np.int64 if self.ids else np.float32
 
@@ -123,7 +135,7 @@ class FbinWriter(DataSourceArrowWriter):
                 fh.seek(0)
                 np.array([n, dim or 0], dtype=np.int32).tofile(fh)
                 fh.close()
-                done.append((cur, n))
+                done.append(self._name(cur))
         for batch in iterator:
             fnos = batch.column("file_no").to_numpy(zero_copy_only=False)
             vec = batch.column(self.vec)
@@ -132,7 +144,7 @@ class FbinWriter(DataSourceArrowWriter):
                 if fno != cur:
                     close()
                     cur, n = int(fno), 0
-                    fh = open(os.path.join(self.path, f"{self.prefix}{cur}.{'ibin' if self.ids else 'fbin'}"), "wb")
+                    fh = open(os.path.join(folder, self._name(cur)), "wb")
                     np.zeros(2, dtype=np.int32).tofile(fh)
                 sub = vec.take(pa.array(sel))
                 mat = sub.flatten().to_numpy(zero_copy_only=False).astype(dtype)
@@ -140,7 +152,26 @@ class FbinWriter(DataSourceArrowWriter):
                 mat.tofile(fh)
                 n += len(sel)
         close()
-        return _Written(done)
+        return _Written(folder, done)
+
+    def commit(self, messages):
+        numbered = re.compile(re.escape(self.prefix) + r"\d+\." + ("ibin" if self.ids else "fbin"))
+        if self.overwrite and not self.skip and os.path.isdir(self.path):
+            for f in os.listdir(self.path):
+                if numbered.fullmatch(f):
+                    os.remove(os.path.join(self.path, f))
+        for m in filter(None, messages):
+            for f in m.files:
+                target = os.path.join(self.path, f)
+                if not (self.skip and os.path.exists(target)):
+                    os.replace(os.path.join(m.folder, f), target)
+        self._clear()
+
+    def abort(self, messages):
+        self._clear()
+
+    def _clear(self):
+        shutil.rmtree(os.path.join(self.path, "_staging"), ignore_errors=True)
 
 
 class FbinDataSource(DataSource):
@@ -159,7 +190,7 @@ class FbinDataSource(DataSource):
         return FbinReader(self.options, self.ids)
 
     def writer(self, schema, overwrite):
-        return FbinWriter(self.options, schema, self.ids)
+        return FbinWriter(self.options, schema, self.ids, overwrite)
 
 
 class IbinDataSource(FbinDataSource):
@@ -178,13 +209,21 @@ def register(spark) -> None:
 
 
 def write_vectors(df, path: str, vec: str, id_col: str, rows_per_file: int = 1 << 24, ids: bool = False,
-                  prefix: str = "base") -> None:
+                  prefix: str = "base", skip_existing: bool = False) -> None:
     """SRC5: numbered files of ``rows_per_file`` consecutive ids each; rows are
-    routed by id range and each file is written whole by one task, in id order."""
+    routed by id range and each file is written whole by one task, in id order.
+
+    A row's id is its position in the files, so ids must be 0..n-1, each once;
+    other ids are an error, not renumbered.  ``skip_existing`` keeps numbered
+    files that are there already; else all of them are replaced."""
     from pyspark.sql import functions as F
     register(df.sparkSession)
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("a"), F.max(id_col).alias("b"),
+                 F.count_distinct(F.col(id_col)).alias("d")).first()
+    if got["n"] and (got["a"], got["b"], got["d"]) != (0, got["n"] - 1, got["n"]):
+        raise ValueError(f"ids must be 0..{got['n'] - 1}, each once; got {got['d']} from {got['a']} to {got['b']}")
     nfiles_hint = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     out = (df.select(id_col, vec).withColumn("file_no", F.floor(F.col(id_col) / F.lit(rows_per_file)).cast("bigint"))
            .repartition(int(nfiles_hint), "file_no").sortWithinPartitions("file_no", id_col)
            .select("file_no", vec))
-    out.write.format("ibin" if ids else "fbin").option("prefix", prefix).mode("overwrite").save(path)
+    out.write.format("ibin" if ids else "fbin").option("prefix", prefix).option("skipExisting", str(skip_existing).lower()).mode("overwrite").save(path)

@@ -70,3 +70,35 @@ def test_catalog_json_loader(spark, tmp_path):
     (tmp_path / "index.json").write_text(json.dumps(idx))
     got = cat.load_index_json(spark, str(tmp_path / "index.json"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(cat.INDEXES)
+
+
+def test_fbin_overwrite_replaces_all_files_and_gaps_are_errors(spark):
+    import os
+    import pytest
+    from ragspark.sources import fbin, scratch
+    path = scratch.local_path(scratch.new_dir(spark, "t-fbin"))
+    vecs = lambda n: spark.range(n).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")
+    fbin.write_vectors(vecs(40), path, "embedding", "vec_id", rows_per_file=8)
+    fbin.write_vectors(vecs(10), path, "embedding", "vec_id", rows_per_file=8)
+    got = spark.read.format("fbin").load(path).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.embedding[0]) for r in got] == [(i, float(i)) for i in range(10)]
+    assert sorted(os.listdir(path)) == ["base0.fbin", "base1.fbin"]
+    fbin.write_vectors(vecs(20), path, "embedding", "vec_id", rows_per_file=8, skip_existing=True)
+    assert sorted(os.listdir(path)) == ["base0.fbin", "base1.fbin", "base2.fbin"]
+    for bad in (vecs(10).where("vec_id not in (3, 4)"), vecs(5).union(vecs(1))):
+        with pytest.raises(ValueError):
+            fbin.write_vectors(bad, path, "embedding", "vec_id")
+
+
+def test_a_failed_fbin_write_leaves_the_files_alone(spark):
+    import os
+    from ragspark.sources.fbin import FbinWriter, _Written
+    from ragspark.sources import scratch
+    path = scratch.local_path(scratch.new_dir(spark, "t-fbin-abort"))
+    schema = spark.createDataFrame([], "file_no bigint, embedding array<float>").schema
+    w = FbinWriter({"path": path}, schema, False, True)
+    os.makedirs(os.path.join(path, "_staging", "x"))
+    open(os.path.join(path, "base0.fbin"), "wb").close()
+    open(os.path.join(path, "_staging", "x", "base0.fbin"), "wb").close()
+    w.abort([_Written(os.path.join(path, "_staging", "x"), ["base0.fbin"])])
+    assert os.listdir(path) == ["base0.fbin"]

@@ -24,19 +24,21 @@ def test_embed_normalised(spark):
 
 def test_split_sizes_exact(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "qid")
-    out = smp.split(df, "qid")
+    out = smp.split(df, "qid", 0.2)
     counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
     assert counts == {"test": 800, "train": 200}
     assert out.select("perm_rank").distinct().count() == 1000
 
 
 def test_parse_kv(spark):
-    lines = spark.createDataFrame([("rate=16",), ("util=0.95",), ("flag=True",), ("tag=main",), ("l=[1, 2]",)], "line string")
+    lines = spark.createDataFrame([("rate=16",), ("util=0.95",), ("flag=True",), ("tag=main",), ("l=[1, 2]",), ("on=false",)], "line string")
     got = {r.k: (r.v_long, r.v_double, r.v_bool, r.v_str) for r in tx.parse_kv(lines).collect()}
+    lists = {r.k: r.v_list for r in tx.parse_kv(lines).collect()}
     assert got["rate"] == (16, 16.0, None, None)
     assert got["util"] == (None, 0.95, None, None)
     assert got["flag"] == (None, None, True, None)
-    assert got["tag"] == (None, None, None, "main") and got["l"][3] == "[1, 2]"
+    assert got["tag"] == (None, None, None, "main") and got["l"] == (None, None, None, None)
+    assert lists["l"] == [1.0, 2.0] and lists["tag"] is None and got["on"] == (None, None, False, None)
 
 
 def test_run_name(spark):

@@ -19,9 +19,10 @@ Grouping:
    ``NEVER`` it is not (both over four standard errors from 0.8), in between
    it is settled by the exact sets, unless the two are connected already.
 4. Buckets that still hold more than one component are searched whole, in
-   cells of at most ``CELL`` x ``CELL`` members, for pairs between components,
-   which are checked the same way.  So every pair that shares a bucket is
-   settled, and none is lost to the choice of hubs.
+   cells of at most about ``CELL`` x ``CELL`` members, for links between
+   components; a cell checks pairs the same way and sends on a spanning forest.
+   So every pair that shares a bucket is settled or already connected, and none
+   is lost to the choice of hubs.
 
 Components are found by joins with contraction; links, components and
 fingerprints stay on the executors.
@@ -48,7 +49,7 @@ from ragspark.functions.sizing import fits
 K, BANDS = 192, 32        # 6 coordinates a band: at 0.8, all bands miss with probability 6e-5
 LEAST = 0.8
 SURE, NEVER = 0.93, 0.65
-CELL = 512
+CELL = 256
 SHINGLE = 5
 SEED = 29
 _BROADCAST = 64 << 20     # bytes of ids that may be broadcast; beyond that, a shuffled join
@@ -218,17 +219,23 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(lambda it: run(t for t in it if t.num_rows), "a bigint, b bigint, near double")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighting: str, least: float) -> DataFrame:
-    """The pairs whose exact (weighted) Jaccard similarity is ``least`` or more."""
-    spark = pairs.sparkSession
-    ids = snapshot(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "exact-ids")
-    n = ids.count()
-    if n == 0:
-        return pairs.select("a", "b")
+def _common(x: np.ndarray, wx: np.ndarray, many: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Weight that one sorted set has in common with each of several non-empty sets."""
+    y, wy = np.concatenate(many), np.concatenate(weights)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    size = np.array([len(z) for z in many])
+    return np.add.reduceat(np.where(x[at] == y, np.minimum(wx[at], wy), 0), np.cumsum(size) - size)
+
+
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
+    """(i, x, w): sorted shingle hashes and weights of the texts of some ids (i).
+    Ids are broadcast if they are few enough (counted first), else joined."""
+    ids = snapshot(ids.distinct(), "exact-ids")
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.join(F.broadcast(ids) if fits(spark, n, 16, _BROADCAST) else ids, "i", "left_semi")
+    small = fits(ids.sparkSession, ids.count(), 16, _BROADCAST)
+    texts = texts.join(F.broadcast(ids) if small else ids, "i", "left_semi")
 
-    def sets(batches):
+    def run(batches):
         hashed = _Words()
         for b in batches:
             got = [shingles(hashed(t)) for t in b.column(1).to_pylist()]
@@ -236,7 +243,12 @@ def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weight
                 [b.column(0), pa.array([x.tobytes() for x, _ in got], pa.binary()),
                  pa.array([(c if weighting == "count" else np.ones_like(c)).astype("<i4").tobytes() for _, c in got], pa.binary())],
                 names=["i", "x", "w"])
-    own = snapshot(texts.mapInArrow(sets, "i bigint, x binary, w binary"), "exact-sets")
+    return snapshot(texts.mapInArrow(run, "i bigint, x binary, w binary").where(F.octet_length("x") > 0), "exact-sets")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighting: str, least: float) -> DataFrame:
+    """The pairs whose exact (weighted) Jaccard similarity is ``least`` or more."""
+    own = _sets(pairs.select(F.col("a").alias("i")).union(pairs.select("b")), docs, id_col, text_col, weighting)
     both = pairs.select("a", "b").join(own.toDF("a", "xa", "wa"), "a").join(own.toDF("b", "xb", "wb"), "b").select(
         "a", "b", "xa", "wa", "xb", "wb")
 
@@ -244,12 +256,9 @@ def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weight
         for t in batches:
             ok = []
             for xa, wa, xb, wb in zip(*(t.column(c).to_pylist() for c in range(2, 6))):
-                xa, xb = np.frombuffer(xa, _U), np.frombuffer(xb, _U)
                 wa, wb = np.frombuffer(wa, "<i4"), np.frombuffer(wb, "<i4")
-                _, p, q = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
-                common = float(np.minimum(wa[p], wb[q]).sum())
-                total = float(wa.sum() + wb.sum()) - common
-                ok.append(total > 0 and common >= least * total - 1e-9)
+                common = float(_common(np.frombuffer(xa, _U), wa, [np.frombuffer(xb, _U)], [wb])[0])
+                ok.append(common >= least * (float(wa.sum() + wb.sum()) - common) - 1e-9)
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return both.mapInArrow(lambda it: keep(t for t in it if t.num_rows), "a bigint, b bigint").distinct()
 
@@ -261,25 +270,58 @@ def _labelled(rows: DataFrame, col: str, labels: DataFrame, out: str) -> DataFra
 
 
 def _settle(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighting: str,
-            least: float, labels: DataFrame | None) -> DataFrame:
-    """Labels after linking the pairs that are similar; ``labels``: from before."""
+            least: float) -> DataFrame:
+    """Components (node, label) of the pairs that are similar."""
     near = snapshot(_agreement(pairs, sigs).where(F.col("near") >= NEVER), "near")
-    old = near.where(F.col("near") >= SURE).select("a", "b")
-    if labels is not None:
-        old = old.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = components(old)
+    labels = components(near.where(F.col("near") >= SURE).select("a", "b"))
     open_ = _labelled(_labelled(near.where(F.col("near") < SURE).select("a", "b"), "a", labels, "la"), "b", labels, "lb")
     open_ = snapshot(open_.where("la <> lb").select("a", "b"), "near-open")
-    more = snapshot(_exact(open_, docs, id_col, text_col, weighting, least), "near-links")
-    if more.isEmpty():
+    return _joined(snapshot(_exact(open_, docs, id_col, text_col, weighting, least), "near-links"), labels)
+
+
+def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components after adding links to those of ``labels``."""
+    if links.isEmpty():
         return labels
-    return components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    return components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
-def _cells(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within the buckets of ``members``
-    (key, id, label, head): cells of blocks, compared by their signatures.
-    Members of the hub's component are never compared with each other."""
+def _cell_kernel(least: float):
+    def run(t: pa.Table) -> pa.Table:
+        """Links that join components of the cell's members: a spanning forest at
+        most, so a cell sends on fewer rows than it has members."""
+        t = t.combine_chunks()
+        ids, comp = t.column("id").to_numpy(), t.column("label").to_numpy().copy()
+        left = t.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+        x = [np.frombuffer(v, _U) for v in t.column("x").to_pylist()]
+        w = [np.frombuffer(v, "<i4") for v in t.column("w").to_pylist()]
+        total = np.array([float(v.sum()) for v in w])
+        own = t.column("kind")[0].as_py() == 1 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        p = np.nonzero(left)[0]
+        q = p if own else np.nonzero(~left)[0]
+        a, b = [], []
+        for i in p:
+            near = (sig[q] == sig[i]).mean(1)
+            for certain in (True, False):
+                some = q[(comp[q] != comp[i]) & (near >= SURE if certain else (near >= NEVER) & (near < SURE))]
+                if len(some) and not certain:
+                    common = _common(x[i], w[i], [x[j] for j in some], [w[j] for j in some])
+                    some = some[common >= least * (total[i] + total[some] - common) - 1e-9]
+                for j in some:
+                    if comp[j] != comp[i]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        comp[comp == comp[j]] = comp[i]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    return run
+
+
+def _cells(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between different components within the buckets of
+    ``members`` (key, id, label, head): cells of blocks, compared by signatures
+    and exact sets.  Members of the hub's component are not compared with each other."""
     m = members.withColumn("minor", F.col("label") != F.col("head"))
     size = m.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("n_minor"), F.count(F.lit(1)).alias("n"))
     m = m.join(size.select("key", F.ceil((F.col("n") - F.col("n_minor")) / CELL).cast("int").alias("nb"),
@@ -298,25 +340,9 @@ def _cells(members: DataFrame, sigs: DataFrame) -> DataFrame:
                      F.transform(F.sequence(blk, F.col("mb") - 1), lambda j: cell(1, blk, j, True)),
                      F.transform(F.filter(upto(blk), lambda i: i < blk), lambda i: cell(1, i, blk, False)))
     m = m.select("key", "id", "label", F.explode(F.when(F.col("minor"), minor).otherwise(major)).alias("c"))
-    m = m.select("key", "id", "label", "c.*").join(sigs.select("id", "sig"), "id")
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
-        left = t.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
-        own = t.column("kind")[0].as_py() == 1 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        p = np.nonzero(left)[0]
-        q = p if own else np.nonzero(~left)[0]
-        a, b = [], []
-        for x in p:
-            hit = q[((sig[q] == sig[x]).mean(1) >= NEVER) & (label[q] != label[x])]
-            a.append(np.full(len(hit), ids[x]))
-            b.append(ids[hit])
-        a = np.concatenate(a) if a else np.empty(0, np.int64)
-        b = np.concatenate(b) if b else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-    return m.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    m = m.select("key", "id", "label", "c.*").join(sigs.select("id", "sig"), "id").join(
+        sets.groupBy("i").agg(F.min(F.struct("x", "w")).alias("s")).select(F.col("i").alias("id"), "s.x", "s.w"), "id")
+    return m.groupBy("key", "kind", "i", "j").applyInArrow(_cell_kernel(least), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST,
@@ -334,14 +360,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     hubs = hubs.where("n > 1").select("key", "n", F.col("hub.id").alias("hub"))
     members = snapshot(keys.join(hubs, "key"), "dart-buckets")
     stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    labels = snapshot(_settle(stars, reps, docs, id_col, text_col, weighting, least, None), "dart-labels")
+    labels = snapshot(_settle(stars, reps, docs, id_col, text_col, weighting, least), "dart-labels")
     # buckets that still hold more than one component (two members: settled by their star)
     part = _labelled(members.where("n > 2"), "id", labels, "label")
     split = part.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = _labelled(part.join(split, "key").select("key", "id", "label", "hub"), "hub", labels, "head")
-    pairs = snapshot(_cells(rest, reps), "dart-cells")
-    if not pairs.isEmpty():
-        labels = _settle(pairs, reps, docs, id_col, text_col, weighting, least, labels)
+    rest = snapshot(_labelled(part.join(split, "key").select("key", "id", "label", "hub"), "hub", labels, "head"), "dart-split")
+    sets = _sets(rest.select(F.col("id").alias("i")), docs, id_col, text_col, weighting)
+    labels = _joined(snapshot(_cells(rest, reps, sets, least), "dart-cells"), labels)
     heads = _labelled(heads, "head", labels, "class_id").select("same", "class_id")
     out = sigs.select("id", "same").join(heads, "same", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))

@@ -120,7 +120,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     n = docs.count()
-    ranges = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4096)
+    # only the size of a window: the driver holds one id per range
+    ranges = min(max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4096), 1 << 16)
     d = _placed(rows, id_col, _bounds(docs, id_col, ranges))
     w = Window.partitionBy("_range").orderBy("_copy", F.col(id_col).desc(), "_text")
     d = d.withColumn("_next", F.lead("_text").over(w)).withColumn("_sketch", sketch(F.col("_text"), k))

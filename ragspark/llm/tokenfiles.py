@@ -47,7 +47,8 @@ DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 2_000           # expected documents in the dictionary's sample
 SAMPLE_IDS = 2_048            # leading ids of a sampled document
 LEVEL = 3
-_MEMO_ROWS = 250_000
+_MEMO_ROWS = 300_000
+_LINE = 200               # new words encoded by one call
 _MEMO_CHARS = 48
 
 
@@ -69,19 +70,25 @@ class WordEncoder:
     def _pack(self, ids) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Serialized ids of distinct words: many words to a line, each token
+        given to the word that its place in the line belongs to."""
+        lines = [words[i:i + _LINE] for i in range(0, len(words), _LINE)]
+        out = {}
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids, starts = self._pack(e.ids), np.array([a for a, _ in e.offsets], np.int64)
+            ends = np.cumsum([len(w) + 1 for w in line])
+            cut = [0, *(np.searchsorted(starts, ends) * self.width).tolist()]
+            out.update((w, ids[cut[i]:cut[i + 1]]) for i, w in enumerate(line))
+        return out
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {w for words in cut for w in words if w not in self.memo}
-        if self.older:
-            for w in new:
-                if (got := self.older.get(w)) is not None:
-                    self.memo[w] = got
-            new = {w for w in new if w not in self.memo}
-        fresh = sorted(new)
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        own = dict(zip(fresh, (self._pack(e.ids) for e in coded)))
-        memo, end = self.memo, self._pack([END_ID])
+        memo, older, end = self.memo, self.older, self._pack([END_ID])
+        missing = {w for words in cut for w in words if w not in memo}
+        own = {w: older[w] for w in missing if w in older}
+        own.update(self._encode(sorted(missing.difference(own))))
         out = [b"".join([memo[w] if w in memo else own[w] for w in words]) + end for words in cut]
         if len(memo) + len(own) > _MEMO_ROWS:
             self.older, self.memo = memo, {}
@@ -181,7 +188,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     spark.createDataFrame([(bytearray(hashlib.sha256(dictionary).digest()), bytearray(dictionary))],
                           "sha256 binary, dictionary binary").write.parquet(f"{path}/dictionary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(8 * parts, n // 65_536)
+    shards = min(max(8 * parts, n // 65_536), 1 << 16)           # id ranges; a large one is cut by SHARD_BYTES
     steps = [(i + 1) / shards for i in range(shards)]
     cut = docs.agg(F.percentile_approx(id_col, steps, max(10_000, 20 * shards)).alias("q")).first()["q"]
     bounds = np.array(sorted(set(cut or [])), np.int64)          # one number per shard

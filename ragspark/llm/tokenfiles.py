@@ -28,6 +28,7 @@ so one document may make a shard of its own.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 
@@ -60,6 +61,7 @@ class WordEncoder:
     any other white space is encoded by the library as it stands."""
 
     def __init__(self, blob: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core; the library's threads only wait
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenizer.encode_special_tokens = False

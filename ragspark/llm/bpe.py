@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO_ROWS = 250_000      # remembered words per worker, in each of two generations
+_MEMO_ROWS = 150_000      # remembered words per worker, in each of two generations
 _MEMO_CHARS = 48          # longer words are encoded each time
 
 # Fixed value: the pattern that cuts a text into the pieces that are merged.
@@ -80,7 +80,7 @@ class Backtracker:
         key = (before, token)
         got = self._fits.get(key)
         if got is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             got = self._check(before, token)
             self._fits[key] = got

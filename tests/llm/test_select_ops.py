@@ -287,6 +287,14 @@ def test_op7_state_is_carried_and_lanes_do_not_matter():
     assert abs(split - together[2]) > 1e-3             # a cut document is another one
 
 
+def test_op7_learns_from_every_text_of_a_large_corpus(llm):
+    """20 million learning tokens by the counts: the words of all three texts move."""
+    v = grulm.Vocabulary([b"a", b"b", b"c", b"d", b"e", b"f"], np.array([9, 7, 5, 4, 3, 2]), 20_000_000, 7, 3, 0)
+    texts = llm.createDataFrame([(1, "a b a b"), (2, "c d c d"), (3, "e f e f")], "i bigint, t string")
+    moved = np.abs(grulm.train(texts, v).x - grulm.new_net(v).x).max(1)
+    assert (moved[2:] > 0).all()
+
+
 def test_op7_odd_rows(llm, odd_docs, no_docs):
     got = grulm.score(odd_docs).collect()
     assert len(got) == 12 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)

@@ -7,15 +7,22 @@ codeword has the least loss.  Losses are weighted by how reliable each bit was
 for each language on the fitting rows, and a text whose two nearest codewords
 are about as near is flagged ambiguous.
 
+Codewords only compare the learned languages.  Whether a text is in one of them
+at all is told by an absolute measure: the mean log-likelihood of its n-grams in
+the decoded language, against the same measure of the fitting rows of that
+language, each without its own counts.  The spread allowed falls with the length
+of the text, and the cut keeps about 99.9 % of the fitting rows.  A text beyond
+it gets score 0; the pipeline drops it.
+
 The classifiers are log-odds of n-gram counts, so fitting is one distributed
-count.  It uses a bounded sample: about ``FIT_ROWS`` rows of every language,
+count and one pass that measures the fitting rows.  It uses a bounded sample: about ``FIT_ROWS`` rows of every language,
 chosen by a hash of the id.  Prediction reads every whole text.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, not
 ambiguous; rows with a null id or null language are not learned from but are
 predicted; without any learnable row every text is ``und``; repeated rows give
-one output row each; one single language always wins with score 1; an empty
-table gives an empty table.  Other columns of the input are ignored.
+one output row each; one single language always wins with score 1 (``accept``
+still drops texts far from it); an empty table gives an empty table.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +43,8 @@ FIT_ROWS = 2_000          # expected fitting rows per language
 ORDERS = (2, 3, 4)        # bytes per n-gram
 BUCKETS = 1 << 14         # hashed n-grams per order
 AMBIGUOUS = 0.6           # a best score below this is flagged
+FAR_SHARE = 0.001         # of the fitting rows may be far from their language
+FAR_LEAST = 5.0           # spreads below the middle that a text may always be
 
 _NONE = len(ORDERS) * BUCKETS     # a bucket without weight
 
@@ -47,12 +56,16 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 @dataclass(frozen=True)
 class LangModel:
     """languages (K), codebook K x B of +-1, weights B x (orders*BUCKETS + 1),
-    reliability K x B (rows sum to 1)."""
+    reliability K x B (rows sum to 1), likelihood K x (orders*BUCKETS + 1): log of
+    each n-gram's rate over an even one, typical K x 4: middle of the fitting rows'
+    mean likelihood, its variance between texts and by 1 / length, least distance."""
 
     languages: tuple[str, ...]
     codebook: np.ndarray
     weights: np.ndarray
     reliability: np.ndarray
+    likelihood: np.ndarray
+    typical: np.ndarray
 
 
 def codebook(k: int) -> np.ndarray:
@@ -110,6 +123,38 @@ def _scores(texts: list[str], m: LangModel) -> np.ndarray:
     return near / near.sum(1, keepdims=True)
 
 
+def _near(texts: list[str], which: np.ndarray, m: LangModel) -> np.ndarray:
+    """Whether each text is as likely in language ``which`` as that language's texts are."""
+    grams, size = _grams(texts)
+    starts, lang = np.concatenate(([0], np.cumsum(size)[:-1])), np.repeat(which, size)
+    total = sum(np.add.reduceat(m.likelihood[lang, row], starts, dtype=np.float64) for row in grams)
+    middle, between, within, least = m.typical[which].T
+    return (total / (len(ORDERS) * size) - middle) / np.sqrt(between + within / size) >= least
+
+
+def _own_likelihood(text: str, counts: np.ndarray) -> tuple[float, int]:
+    """Mean log-likelihood of a fitting text by its language's ``counts`` without its own; its length."""
+    grams, size = _grams([text])
+    total = 0.0
+    for j, row in enumerate(grams):
+        got, times = np.unique(row[row != _NONE], return_counts=True)
+        all_ = counts[j * BUCKETS:(j + 1) * BUCKETS].sum() - times.sum()
+        total += (times * np.log((counts[got] - times + 0.5) / (all_ + 0.5 * BUCKETS) * BUCKETS)).sum()
+    return float(total / (len(ORDERS) * size[0])), int(size[0])
+
+
+def _typical(mean: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Middle, variance between texts, variance by 1 / length and least distance of one language."""
+    if not len(mean):
+        return np.array([0.0, 0.0, 1.0, -np.inf])
+    middle, long = np.median(mean), size >= np.median(size)
+    square = (mean - middle) ** 2 / 0.455                  # median of a squared normal value
+    between = max(float(np.median(square[long])), 1e-4)
+    within = max(float(np.median((square * size)[~long])) if (~long).any() else 0.0, 1.0)
+    far = (mean - middle) / np.sqrt(between + within / size)
+    return np.array([middle, between, within, min(float(np.quantile(far, FAR_SHARE)), -FAR_LEAST)])
+
+
 def _chunks(texts: list[str], most: int = 1 << 21):
     """Slices of a batch of about ``most`` characters (a long text alone)."""
     start = size = 0
@@ -134,8 +179,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = tuple(sorted(size))
     k = len(languages)
     code = codebook(k)
-    if k <= 1:
-        return LangModel(languages, code, np.zeros((1, _NONE + 1), np.float32), np.ones((k, 1)))
+    if not k:
+        return LangModel(languages, code, np.zeros((1, _NONE + 1), np.float32), np.ones((k, 1)),
+                         np.zeros((0, _NONE + 1), np.float32), np.zeros((0, 4)))
     share = F.lit(1.0)
     for lang in languages:
         share = F.when(F.col("l") == lang, min(1.0, fit_rows / size[lang])).otherwise(share)
@@ -162,11 +208,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per_order = table.reshape(k, len(ORDERS), BUCKETS) + 0.5
     rate = (per_order / per_order.sum(2, keepdims=True)).reshape(k, -1)
     weights = np.zeros((code.shape[1], _NONE + 1), np.float32)
-    for b in range(code.shape[1]):
+    for b in range(code.shape[1] if k > 1 else 0):
         on, off = rate[code[:, b] > 0].mean(0), rate[code[:, b] < 0].mean(0)
         weights[b, :_NONE] = np.log(on) - np.log(off)
 
+    likelihood = np.zeros((k, _NONE + 1), np.float32)
+    likelihood[:, :_NONE] = np.log(rate * BUCKETS)
+
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent_counts = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
+
+    def measure(batches):
+        for b in batches:
+            which = [number[x] for x in b.column(1).to_pylist()]
+            got = [_own_likelihood(t, sent_counts.value[j]) for t, j in zip(b.column(0).to_pylist(), which)]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([x for x, _ in got], pa.float64()),
+                                              pa.array([n for _, n in got], pa.int64())], names=["k", "mean", "size"])
+    # bounded: one row per fitting text that has a letter
+    seen = sample.where(F.col("t").rlike(r"\p{L}")).mapInArrow(measure, "k bigint, mean double, size bigint").toPandas()
+    typical = np.stack([_typical(g["mean"].to_numpy(), g["size"].to_numpy(float)) for g in (seen[seen["k"] == j] for j in range(k))])
 
     def hits(batches):
         right, n = np.zeros_like(code), np.zeros(k)
@@ -187,7 +247,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         n[r["k"]] = r["n"]
         right[r["k"]] = [r[f"r{b}"] for b in range(code.shape[1])]
     rel = (right + 1) / (n[:, None] + 2)
-    return LangModel(languages, code, weights, rel / rel.sum(1, keepdims=True))
+    return LangModel(languages, code, weights, rel / rel.sum(1, keepdims=True), likelihood, typical)
 
 
 def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,8 +267,9 @@ def _map(rows: DataFrame, sent, id_col: str) -> DataFrame:
                 at = live[i:j]
                 s = _scores([texts[x] for x in at], m)
                 order = np.argsort(-s, axis=1, kind="stable")
+                near = _near([texts[x] for x in at], order[:, 0], m) | (len(m.languages) == 1)
                 for row, x in enumerate(at):
-                    lang[x], score[x] = m.languages[order[row, 0]], s[row, order[row, 0]]
+                    lang[x], score[x] = m.languages[order[row, 0]], s[row, order[row, 0]] * near[row]
                     if len(m.languages) > 1:
                         second[x], vague[x] = m.languages[order[row, 1]], score[x] < AMBIGUOUS
             yield pa.RecordBatch.from_arrays(
@@ -219,8 +280,8 @@ def _map(rows: DataFrame, sent, id_col: str) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: LangModel, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The input rows (all columns) that have a language: not ``und`` and a best
-    score of ``least`` or more.  Rows pass through whole; nothing is joined."""
+    """The input rows (all columns) that have a language: not ``und``, near the
+    decoded language and a best score of ``least`` or more.  Rows pass through whole; nothing is joined."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at, schema = docs.columns.index(text_col), docs.schema
 
@@ -231,6 +292,8 @@ def accept(docs: DataFrame, model: LangModel, text_col: str = "text", least: flo
             keep = np.zeros(len(texts), bool)
             live = [i for i, t in enumerate(texts) if t and m.languages and _LETTER(t)]
             for i, j in _chunks([texts[x] for x in live]):
-                keep[live[i:j]] = _scores([texts[x] for x in live[i:j]], m).max(1) >= least
+                some = [texts[x] for x in live[i:j]]
+                s = _scores(some, m)
+                keep[live[i:j]] = (s.max(1) >= least) & _near(some, s.argmax(1), m)
             yield b.filter(pa.array(keep))
     return docs.mapInArrow(run, schema)

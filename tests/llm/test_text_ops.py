@@ -149,6 +149,29 @@ def test_op2_odd_rows(docs, odd_docs, no_docs):
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs, one).collect()} == {("en", 1.0)}
 
 
+def test_op2_texts_far_from_every_language_are_dropped(llm):
+    """Unlearned languages and noise go; the table's own texts, held out or not, stay."""
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+
+    def noise(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(60))
+    far = ["Съешь же ещё этих мягких французских булок да выпей чаю, пока погода стоит хорошая",
+           "我们今天去公园散步天气很好大家都很高兴然后回家吃饭看书学习写字",
+           "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+           "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler", "x" * 5000,
+           *[noise("bcdfghjklmnpqrstvwxz") for _ in range(50)], *[noise("abcdefghijklmnopqrstuvwxyz") for _ in range(50)]]
+    planted = llm.createDataFrame(list(enumerate(far)), "doc_id bigint, text string")
+    two = docs.where("lang in ('en', 'de')")
+    for known in (docs, two, docs.where("lang = 'en'")):
+        m = langid.fit(known)
+        assert langid.accept(planted, m).count() == 0
+        assert langid.accept(known, m).count() >= 0.99 * known.count()
+        if len(m.languages) > 1:
+            assert {(r["score"], r["ambiguous"]) for r in langid.predict(planted, m).collect()} == {(0.0, True)}
+    assert langid.accept(docs.where("lang = 'fr'"), langid.fit(two)).count() < 0.05 * docs.where("lang = 'fr'").count()
+
+
 def test_op2_codes_differ_and_neighbours_do_not_matter():
     for k in (2, 4, 6, 12):
         c = langid.codebook(k)

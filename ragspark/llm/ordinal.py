@@ -11,9 +11,10 @@ of the whole text: how many words are distinct, the shares of capitals,
 symbols and digits, and the length.
 
 The fit uses a bounded sample of the rated rows: about ``FIT_ROWS`` rows of
-each grade, chosen by a hash of the id, turned into features on the executors;
-of a fitting text at most ``FIT_WORDS`` distinct words are used.  Scoring
-reads every whole text.
+each grade, chosen by a hash of the id, turned into features on the executors
+from every word of their whole texts.  Features are counted per grade there, and
+the driver gets only those of each text that tell grades apart.  Scoring reads
+every whole text.
 
 Defined cases: null and empty texts have no word and get expected grade 0 and
 tail probability 0; ratings that are null, or of ids without a document, are
@@ -33,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.ranks import snapshot
+
 FIT_ROWS = 3_000          # expected fitting rows per grade
-FIT_WORDS = 2_000         # distinct words of a fitting text
 BITS = 18                 # hashed word features
 STEPS = 300
 LEAST_PHI = 0.2           # of a word feature that gets a weight
@@ -76,7 +78,7 @@ def _features(text: str) -> list[int]:
     words = text.split()
     distinct = set(words)
     out = _level_features(text, len(words), len(distinct))
-    for w in sorted(distinct)[:FIT_WORDS]:
+    for w in sorted(distinct):
         out += _word_features(w)
     return out
 
@@ -85,23 +87,24 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _train(feats: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS) -> OrdinalModel:
-    """Full-batch Adam on the mean negative log-likelihood over the features
-    that tell grades apart; all others keep weight 0."""
-    row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    flat = np.concatenate(feats)
-    used, col = np.unique(flat, return_inverse=True)
-    # Keep a word feature only if it tells one grade from the others: the phi
-    # coefficient of its presence is LEAST_PHI or more, and 4 standard errors.
-    hit = np.stack([np.bincount(col[grades[row] == j], minlength=len(used)) for j in range(n_grades)]).astype(float)
-    per = np.maximum(np.bincount(grades, minlength=n_grades), 1e-9)[:, None].astype(float)
+def _telling(hit: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Which features get a weight, from their counts per grade (grades x
+    ``_SPACE``) and the fitting rows per grade: all levels, and a word feature only
+    if it tells one grade from the others: the phi coefficient of its presence is
+    LEAST_PHI or more, and 4 standard errors."""
+    per = np.maximum(per, 1e-9)[:, None].astype(float)
     other, n_other = hit.sum(0) - hit, per.sum() - per
     pool = np.clip(hit.sum(0) / per.sum(), 1e-9, 1 - 1e-9)
     gap = np.abs(np.minimum(hit / per, 1) - np.minimum(other / n_other, 1))
     z = (gap / np.sqrt(pool * (1 - pool) * (1 / per + 1 / n_other))).max(0)
-    often = (z >= max(4.0, LEAST_PHI * np.sqrt(len(feats)))) | (used >= _HASHED)
-    row, col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
-    used = used[often]
+    return ((z >= max(4.0, LEAST_PHI * np.sqrt(round(per.sum())))) | (np.arange(_SPACE) >= _HASHED)) & (hit.sum(0) > 0)
+
+
+def _train(feats: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS) -> OrdinalModel:
+    """Full-batch Adam on the mean negative log-likelihood over the features
+    that tell grades apart; all others keep weight 0."""
+    row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    used, col = np.unique(np.concatenate(feats), return_inverse=True)
     n = len(feats)
     # grades count alike, whatever their share of the ratings
     share = np.bincount(grades, minlength=n_grades).astype(float)
@@ -152,9 +155,28 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(
         F.broadcast(chosen), "i").select("i", "g", "t")
 
+    rows = snapshot(rows, "ordinal-fit")         # bounded: read twice
+
+    def count(batches):
+        """(grade, feature, times) per task, and under ``_SPACE`` the texts that have a word."""
+        hit = np.zeros((n_grades, _SPACE + 1), np.int64)
+        for b in batches:
+            for g, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t.split():
+                    np.add.at(hit[g], _features(t), 1)
+                    hit[g, _SPACE] += 1
+        at = np.nonzero(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(hit[at])], names=["g", "f", "n"])
+    counted = rows.mapInArrow(count, "g bigint, f bigint, n bigint").groupBy("g", "f").agg(F.sum("n").alias("n"))
+    got = counted.toPandas()                     # at most n_grades x feature buckets
+    hit = np.zeros((n_grades, _SPACE + 1))
+    hit[got["g"].to_numpy(int), got["f"].to_numpy(int)] = got["n"].to_numpy(float)
+    telling = docs.sparkSession.sparkContext.broadcast(_telling(hit[:, :_SPACE], hit[:, _SPACE]))
+
     def run(batches):
         for b in batches:
-            f = [np.array(_features(t) if t.split() else [], np.int32).tobytes() for t in b.column(2).to_pylist()]
+            f = [np.array(_features(t) if t.split() else [], np.int32) for t in b.column(2).to_pylist()]
+            f = [x[telling.value[x]].tobytes() for x in f]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["i", "g", "f"])
     kind = docs.schema[id_col].dataType.simpleString()
     got = rows.mapInArrow(run, f"i {kind}, g int, f binary").toPandas().sort_values("i", kind="stable")

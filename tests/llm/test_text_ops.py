@@ -208,6 +208,20 @@ def test_op3_held_out_accuracy(llm):
     assert share[2] > 0.97 and share[1] < 0.2 and share[0] < 0.05
 
 
+def test_op3_learns_from_the_last_words_of_long_texts(llm):
+    """Long toxic texts whose telling word is last in the alphabet, beyond 2,000 others."""
+    from pyspark.sql import functions as F
+    common = " ".join(f"a{i}" for i in range(2_500))
+    texts = [(i, f"{common} {'zzworthless' if i % 2 else 'zzuseful'}") for i in range(60)]
+    d = llm.createDataFrame(texts, "doc_id bigint, text string")
+    labels = llm.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    m = ordinal.fit(d, labels, ordinal.grade_of())
+    word = {w: m.weights[list(ordinal._word_features(w))].sum() for w in ("zzworthless", "zzuseful", "a7")}
+    assert word["zzworthless"] < 0 < word["zzuseful"] and word["a7"] == 0
+    got = {r["doc_id"]: r["selected"] for r in ordinal.predict(d, m).select("doc_id", F.col("selected")).collect()}
+    assert all(got[i] == (i % 2 == 0) for i in got)
+
+
 def test_op3_odd_rows(llm, docs, odd_docs, no_docs):
     labels = llm.read.parquet(f"{SF}/labels.parquet")
     m = ordinal.fit(docs, labels, ordinal.grade_of())

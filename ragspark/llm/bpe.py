@@ -226,7 +226,7 @@ class TextEncoder:
 _BY_KEY: dict[str, TextEncoder] = {}
 
 
-def _encoder(blob: bytes) -> TextEncoder:
+def encoder(blob: bytes) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
     key = hashlib.sha256(blob).hexdigest()
     if key not in _BY_KEY:
@@ -234,7 +234,7 @@ def _encoder(blob: bytes) -> TextEncoder:
     return _BY_KEY[key]
 
 
-def _vocabulary(df: DataFrame, path: str):
+def vocabulary(df: DataFrame, path: str):
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -242,10 +242,10 @@ def _vocabulary(df: DataFrame, path: str):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ``ids`` holds each whole text's token ids as little-endian
     unsigned 32-bit integers.  ``path`` is read on the driver only."""
-    vocab = _vocabulary(docs, path)
+    vocab = vocabulary(docs, path)
 
     def run(batches):
-        enc = _encoder(vocab.value)
+        enc = encoder(vocab.value)
         for b in batches:
             ids = [enc(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): the bytes that the ids stand for."""
-    vocab = _vocabulary(encoded, path)
+    vocab = vocabulary(encoded, path)
 
     def run(batches):
         of = {r: b for b, r in parse_ranks(vocab.value).items()}.__getitem__

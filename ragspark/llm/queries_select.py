@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.llm import grulm, minhash, mixing, normsearch, sketch
+from ragspark.llm import fptree, grulm, minhash, mixing, normsearch, sketch
 from ragspark.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op10_bottom_k_fingerprint(spark, sf_dir):
     return sketch.report(table(spark, sf_dir, "documents"))
 
 
+def op11_fp_tree_search(spark, sf_dir):
+    """The 20 highest-scoring documents of every benchmark item."""
+    return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op1_dart_minhash(spark, sf_dir):
     """Near-duplicate class of every document: five-word shingles, similarity 0.8."""
     return minhash.classes(table(spark, sf_dir, "documents"))
@@ -38,5 +43,7 @@ Q = {"op1_dart_minhash": op1_dart_minhash,
      "op6_budget_mix": op6_budget_mix,
      "op7_gru_score": op7_gru_score,
      "op8_norm_bucket_search": op8_norm_bucket_search,
-     "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint}
-SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL, "op8_norm_bucket_search": normsearch.SQL}
+     "op10_bottom_k_fingerprint": op10_bottom_k_fingerprint,
+     "op11_fp_tree_search": op11_fp_tree_search}
+SQL: dict[str, str] = {"op6_budget_mix": mixing.SQL, "op8_norm_bucket_search": normsearch.SQL,
+                       "op11_fp_tree_search": fptree.SQL}

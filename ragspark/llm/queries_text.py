@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ragspark.llm import bpe, htmltext, langid, ordinal, tokenfiles
+from pyspark.sql import functions as F
+
+from ragspark.llm import bpe, chatpack, htmltext, langid, ordinal, tokenfiles, wordruns
 from ragspark.llm.common import held_out, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -41,7 +43,22 @@ def op9_block_tree_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_packs(spark, sf_dir):
+    """Every conversation, and one that says control strings, formatted into prefix-shared packs and read back."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chatpack.round_trip(said.unionByName(extra), public_tokenizers.path(BYTE_RANKS))
+
+
+def op13_word_runs(spark, sf_dir):
+    """Periodic runs of every whole text, every tenth text with a periodic tail."""
+    return wordruns.digests(wordruns.runs(table(spark, sf_dir, "documents"), change=wordruns.planted))
+
+
 Q = {"op2_ecoc_language": op2_ecoc_language, "op3_ordinal_quality": op3_ordinal_quality,
      "op4_token_files": op4_token_files,
-     "op5_bpe_round_trip": op5_bpe_round_trip, "op9_block_tree_text": op9_block_tree_text}
-SQL: dict[str, str] = {}
+     "op5_bpe_round_trip": op5_bpe_round_trip, "op9_block_tree_text": op9_block_tree_text,
+     "op12_prefix_packs": op12_prefix_packs, "op13_word_runs": op13_word_runs}
+SQL: dict[str, str] = {"op12_prefix_packs": chatpack.SQL}

@@ -60,7 +60,7 @@ def test_stages_on_odd_rows(llm, odd_docs, no_docs):
 
 def test_entry_registers_every_operator():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
-    assert {"op6_budget_mix", "op8_norm_bucket_search"} <= set(entry.oracle_sql())
+    assert {"op6_budget_mix", "op8_norm_bucket_search", "op11_fp_tree_search", "op12_prefix_packs"} <= set(entry.oracle_sql())

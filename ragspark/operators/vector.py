@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.functions import sizing
-from ragspark.functions.vecmath import l2sq, nearest_rows, to_matrix
+from ragspark.functions.vecmath import exact_l2sq, l2sq, nearest_rows, pairwise_l2sq, sub, to_matrix
 
 _CHUNK_ELEMS = 4_000_000  # distance-matrix cells per numpy step (~32 MB)
 
@@ -116,6 +116,88 @@ def nearest(base: DataFrame, ref: DataFrame, k: int, *, base_id: str, base_vec:
                        F.col("_rank").alias(out_rank), F.col("_d").alias(out_dist))
 
 
+def assign_carrying(vectors: DataFrame, centroids: DataFrame, matrix=None) -> DataFrame:
+    """VEC5 and VEC7 in one pass: (vec_id, list_id, dist, embedding, res), every
+    vector with its nearest list and its residual to that list's centroid (float
+    arithmetic).  Beyond the broadcast cap both are joined back by key."""
+    matrix = matrix if matrix is not None else ref_matrix(centroids, "list_id", "centroid")
+    if matrix is None:
+        near = nearest(vectors, centroids, 1, base_id="vec_id", base_vec="embedding", ref_id="list_id",
+                       ref_vec="centroid", out_base="vec_id", out_ref="list_id").drop("rank")
+        both = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(centroids.select("list_id", "centroid"), "list_id")
+        return both.select("vec_id", "list_id", "dist", "embedding", sub("embedding", "centroid").alias("res"))
+    bc = vectors.sparkSession.sparkContext.broadcast(matrix)
+    kind = pa.list_(pa.float32())
+
+    def run(batches):
+        ids, mat = bc.value
+        order = np.argsort(ids)
+        for b in batches:
+            if b.num_rows and len(ids):
+                own, x = _ids(b, 0), to_matrix(b.column(1))
+                t = _near_table(np.arange(len(own)), x, ids, mat, 1)     # one row each, in order
+                near = t.column(1).to_numpy()
+                at = order[np.searchsorted(ids, near, sorter=order)]
+                res = x.astype(np.float32) - mat[at].astype(np.float32)
+                ends = pa.array(np.arange(0, res.size + 1, res.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).cast(pa.int64()), t.column(1), t.column(2), b.column(1).cast(kind),
+                     pa.ListArray.from_arrays(ends, pa.array(res.ravel()))],
+                    names=["vec_id", "list_id", "dist", "embedding", "res"])
+    return vectors.select("vec_id", "embedding").mapInArrow(
+        run, "vec_id bigint, list_id bigint, dist double, embedding array<float>, res array<float>")
+
+
+def within(base: DataFrame, ref: DataFrame, *, base_id: str, base_vec: str, radius: str, ref_id: str, ref_vec: str,
+           matrix=None) -> DataFrame:
+    """(base_id, ref_id, dist): the reference rows at most ``radius`` (a column of
+    ``base``, Euclidean) away; ``dist`` is the squared distance."""
+    spark = base.sparkSession
+    matrix = matrix if matrix is not None else ref_matrix(ref, ref_id, ref_vec)
+
+    def near(q_ids, q, r, ids, x, of):
+        got = []
+        for s, t in _steps(len(q_ids), len(ids)):
+            d = pairwise_l2sq(q[s:t], x)
+            most = r[s:t] * r[s:t]
+            slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", q[s:t], q[s:t]) + np.einsum("ij,ij->i", x, x).max())
+            i, j = np.nonzero(d <= (most + slack)[:, None])
+            exact = exact_l2sq(q[s:t][i], x[j])
+            keep = np.sqrt(exact) <= r[s:t][i]
+            got.append((q_ids[s:t][i[keep]], ids[j[keep]], exact[keep]))
+        cols = [np.concatenate([g[c] for g in got]) if got else np.empty(0) for c in range(3)]
+        return of.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)),
+                               pa.array(cols[2].astype(np.float64))], names=["_q", "_v", "_d"])
+    rows = base.select(F.col(base_id).cast("bigint").alias("_id"), F.col(base_vec).alias("_x"),
+                       F.col(radius).cast("double").alias("_r"))
+    if matrix is not None:
+        bc = spark.sparkContext.broadcast(matrix)
+
+        def run(batches):
+            ids, mat = bc.value
+            for b in batches:
+                if b.num_rows and len(ids):
+                    yield near(_ids(b, 0), to_matrix(b.column(1)), b.column(2).to_numpy(), ids, mat, pa.RecordBatch)
+        out = rows.mapInArrow(run, _NEAR)
+    else:
+        dim = max(1, vector_dim(ref, ref_vec))
+        block = max(1, sizing.block_bytes(spark) // (dim * 16))
+        nq, ni = max(1, math.ceil(base.count() / block)), max(1, math.ceil(ref.count() / block))
+        left = rows.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(nq))).withColumn(
+            "_ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
+        right = ref.select(F.col(ref_id).cast("bigint").alias("_id"), F.col(ref_vec).alias("_x")).withColumn(
+            "_ib", F.pmod(F.xxhash64("_id"), F.lit(ni)).cast("int")).withColumn(
+            "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
+
+        def cell(q: pa.Table, x: pa.Table) -> pa.Table:
+            if not q.num_rows or not x.num_rows:
+                return pa.Table.from_batches([], pa.schema([("_q", pa.int64()), ("_v", pa.int64()), ("_d", pa.float64())]))
+            radius_ = q.column("_r").combine_chunks().to_numpy(zero_copy_only=False)
+            return near(_ids(q, "_id"), to_matrix(q.column("_x")), radius_, _ids(x, "_id"), to_matrix(x.column("_x")), pa.Table)
+        out = left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInArrow(cell, _NEAR)
+    return out.select(F.col("_q").alias(base_id), F.col("_v").alias(ref_id), F.col("_d").alias("dist"))
+
+
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id",
               vec_col: str = "embedding", qid: str = "qid", q_col: str = "embedding") -> DataFrame:
     """VEC2: exact top-k base vectors per query -> (qid, rank, vec_id, dist)."""

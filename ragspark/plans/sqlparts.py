@@ -141,7 +141,7 @@ INDEX_ALL = ("cent", "asg", "probes", "sizes", "freq", "cdf", "half", "place", "
 
 def asg_for(cent_name: str, out: str) -> str:
     """Nearest-centroid assignment of every vector against CTE ``cent_name``."""
-    return f"""{out} AS (
+    return f"""{out} AS MATERIALIZED (
   SELECT vec_id, list_id, dist FROM (
     SELECT vec_id, list_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, list_id) AS rn
     FROM (SELECT e.vec_id, c.list_id, {l2('e.embedding', 'c.centroid')} AS dist FROM embeddings e, {cent_name} c) x) y
@@ -155,10 +155,17 @@ def lloyd_update(asg_name: str, cent_name: str, out: str) -> str:
   FROM {asg_name} a JOIN embeddings e ON e.vec_id = a.vec_id),
 {out}_m AS (SELECT list_id, i, avg(emb[i]::DOUBLE) AS x FROM {out}_ex GROUP BY list_id, i),
 {out}_l AS (SELECT list_id, list(x ORDER BY i) AS mean FROM {out}_m GROUP BY list_id),
-{out} AS (SELECT c.list_id, coalesce(l.mean, list_transform(c.centroid, lambda v: v::DOUBLE)) AS centroid
+{out} AS MATERIALIZED (SELECT c.list_id, coalesce(l.mean, list_transform(c.centroid, lambda v: v::DOUBLE)) AS centroid
   FROM {cent_name} c LEFT JOIN {out}_l l ON l.list_id = c.list_id)"""
 
 
+def lloyd(steps: int) -> str:
+    """``steps`` Lloyd steps from ``cent``: assignments a1.., centroids c1..; step i
+    assigns to the centroids of step i - 1."""
+    return ", ".join(f"{asg_for('cent' if i == 1 else f'c{i - 1}', f'a{i}')}, "
+                     f"{lloyd_update(f'a{i}', 'cent' if i == 1 else f'c{i - 1}', f'c{i}')}" for i in range(1, steps + 1))
+
+
 # PQ fixture: the 16 vectors right after the centroids in hash order, as
 # residuals to their list centroid, are the words of every sub-space.
 RES = """res AS (
@@ -174,38 +181,72 @@ WORDS = f"""words AS (
 def pq_step(i: int) -> str:
     """CTE(s) of codebook training step i: sub-vectors to their nearest word of
     ``pw{i}``, means to ``pw{i + 1}`` (words without members stay)."""
-    first = """subs AS (SELECT r.vec_id, t.m, r.res[2 * t.m + 1]::DOUBLE AS a, r.res[2 * t.m + 2]::DOUBLE AS b
+    first = """subs AS MATERIALIZED (SELECT r.vec_id, r.list_id, t.m, r.res[2 * t.m + 1]::DOUBLE AS a, r.res[2 * t.m + 2]::DOUBLE AS b
   FROM res r, range(0, CAST(len(r.res) / 2 AS BIGINT)) t(m)),
-pw0 AS (SELECT t.m, w.j AS code, [w.wres[2 * t.m + 1]::DOUBLE, w.wres[2 * t.m + 2]::DOUBLE] AS word
+pw0 AS MATERIALIZED (SELECT t.m, w.j AS code, [w.wres[2 * t.m + 1]::DOUBLE, w.wres[2 * t.m + 2]::DOUBLE] AS word
   FROM words w, range(0, CAST(len(w.wres) / 2 AS BIGINT)) t(m)),
 """ if i == 0 else ""
     return first + f"""pa{i} AS (SELECT m, code, avg(a) AS a, avg(b) AS b FROM (
   SELECT s.m, s.a, s.b, w.code, row_number() OVER (PARTITION BY s.vec_id, s.m ORDER BY
     (s.a - w.word[1]) * (s.a - w.word[1]) + (s.b - w.word[2]) * (s.b - w.word[2]), w.code) AS rn
   FROM subs s JOIN pw{i} w ON w.m = s.m) x WHERE rn = 1 GROUP BY m, code),
-pw{i + 1} AS (SELECT w.m, w.code, CASE WHEN p.m IS NULL THEN w.word ELSE [p.a, p.b] END AS word
+pw{i + 1} AS MATERIALIZED (SELECT w.m, w.code, CASE WHEN p.m IS NULL THEN w.word ELSE [p.a, p.b] END AS word
   FROM pw{i} w LEFT JOIN pa{i} p ON p.m = w.m AND p.code = w.code)"""
 
 
-ENC = """enc AS (
-  SELECT vec_id, list_id, sub_m AS m, code FROM (
-    SELECT r.vec_id, r.list_id, t.sub_m, w.j AS code,
-      row_number() OVER (PARTITION BY r.vec_id, t.sub_m ORDER BY
-        (r.res[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE) * (r.res[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE)
-        + (r.res[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) * (r.res[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE),
-        w.j) AS rn
-    FROM res r, words w, range(0, CAST(len(r.res) / 2 AS BIGINT)) t(sub_m)) x
+PQ_STEPS = 10
+# the codebook: ten training steps from the words above
+BOOK = ", ".join(pq_step(i) for i in range(PQ_STEPS)) + f""",
+book AS MATERIALIZED (SELECT m, code, word FROM pw{PQ_STEPS})"""
+ENC = """enc AS MATERIALIZED (
+  SELECT vec_id, list_id, m, code FROM (
+    SELECT s.vec_id, s.list_id, s.m, w.code,
+      row_number() OVER (PARTITION BY s.vec_id, s.m ORDER BY
+        (s.a - w.word[1]) * (s.a - w.word[1]) + (s.b - w.word[2]) * (s.b - w.word[2]), w.code) AS rn
+    FROM subs s JOIN book w ON w.m = s.m) x
   WHERE rn = 1)"""
-QLUT = """qlut AS (
-  SELECT p.qid, p.list_id, t.sub_m AS m, w.j AS code,
-    (q.qr[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE) * (q.qr[2 * t.sub_m + 1]::DOUBLE - w.wres[2 * t.sub_m + 1]::DOUBLE)
-    + (q.qr[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) * (q.qr[2 * t.sub_m + 2]::DOUBLE - w.wres[2 * t.sub_m + 2]::DOUBLE) AS pd
-  FROM probes p
-  JOIN (SELECT p2.qid, p2.list_id, list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i] - c.centroid[i]) AS qr
-        FROM probes p2 JOIN embeddings e ON e.vec_id = p2.qid JOIN cent c ON c.list_id = p2.list_id) q
-    ON q.qid = p.qid AND q.list_id = p.list_id,
-  words w, range(0, CAST(len(q.qr) / 2 AS BIGINT)) t(sub_m))"""
+QLUT = """qlut AS MATERIALIZED (
+  SELECT q.qid, q.list_id, w.m, w.code,
+    (q.qr[2 * w.m + 1]::DOUBLE - w.word[1]) * (q.qr[2 * w.m + 1]::DOUBLE - w.word[1])
+    + (q.qr[2 * w.m + 2]::DOUBLE - w.word[2]) * (q.qr[2 * w.m + 2]::DOUBLE - w.word[2]) AS pd
+  FROM (SELECT p.qid, p.list_id, list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i] - c.centroid[i]) AS qr
+        FROM probes p JOIN embeddings e ON e.vec_id = p.qid JOIN cent c ON c.list_id = p.list_id) q, book w)"""
 ADC_CAND = """adc AS (
   SELECT l.qid, l.list_id, e.vec_id, sum(l.pd) AS dist
   FROM qlut l JOIN enc e ON e.list_id = l.list_id AND e.m = l.m AND e.code = l.code
   GROUP BY l.qid, l.list_id, e.vec_id)"""
+
+# probe policy: gap classes, the reach of each, the lists within it
+TRUE_KNN = f"""truth AS MATERIALIZED (
+  SELECT qid, vec_id FROM (
+    SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rn
+    FROM (SELECT q.vec_id AS qid, v.vec_id, {l2('q.embedding', 'v.embedding')} AS dist FROM embeddings q, embeddings v) x) y
+  WHERE rn <= {TOPK})"""
+
+
+def policy(target: float, classes: tuple, calibration: str) -> str:
+    case = " ".join(f"WHEN gap < {t} THEN {i}" for i, t in enumerate(classes))
+    return f"""cdists AS MATERIALIZED (
+  SELECT e.vec_id AS qid, c.list_id, {l2('e.embedding', 'c.centroid')} AS cdist FROM embeddings e, cent c),
+two AS (SELECT qid, sqrt(min(cdist)) AS first, sqrt(max(cdist)) AS second FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cdist, list_id) AS rn FROM cdists) x WHERE rn <= 2 GROUP BY qid),
+near AS MATERIALIZED (SELECT qid, first, CASE {case} ELSE {len(classes)} END AS gap_class
+  FROM (SELECT *, (second - first) / greatest(first, 1e-12) AS gap FROM two) x),
+need AS (SELECT n.gap_class, sqrt(d.cdist) - n.first AS gap
+  FROM truth t JOIN asg a ON a.vec_id = t.vec_id JOIN cdists d ON d.qid = t.qid AND d.list_id = a.list_id
+  JOIN near n ON n.qid = t.qid WHERE {calibration}),
+reach AS (SELECT gap_class, gap AS reach, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY gap_class ORDER BY gap) AS rn, count(*) OVER (PARTITION BY gap_class) AS n FROM need) x
+  WHERE rn = greatest(ceil(n * {target}::DOUBLE), 1)),
+pprobes AS MATERIALIZED (SELECT d.qid, d.list_id, d.cdist
+  FROM cdists d JOIN near n ON n.qid = d.qid LEFT JOIN reach r ON r.gap_class = n.gap_class
+  WHERE sqrt(d.cdist) <= n.first + coalesce(r.reach, (SELECT max(reach) FROM reach)) + 1e-9)"""
+
+
+def found(probes: str, out: str) -> str:
+    """(qid, vec_id): the best members of the probed lists by exact distance."""
+    return f"""{out} AS (
+  SELECT qid, vec_id FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rn FROM (
+    SELECT p.qid, a.vec_id, {l2('q.embedding', 'v.embedding')} AS dist
+    FROM {probes} p JOIN asg a ON a.list_id = p.list_id
+    JOIN embeddings q ON q.vec_id = p.qid JOIN embeddings v ON v.vec_id = a.vec_id) x) y WHERE rn <= {TOPK})"""

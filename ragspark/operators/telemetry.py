@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import global_rank, prefix_sum
-from ragspark.functions.stats import exact_percentiles, join_null_safe
+from ragspark.functions.stats import join_null_safe, percentiles
 
 # The 15 metrics of a run summary, in the reference's order.
 METRICS = ["ann_queue", "ann_batch", "ann_pending", "ann_idle", "ann_search", "ann_e2e",
@@ -85,25 +85,23 @@ def unpivot_metrics(requests: DataFrame, keys: Sequence[str], metrics: Sequence[
 def summarize(requests: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS,
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """TEL8: mean, P50, P90, P95 per (keys, metric); a metric with no values
-    yields zeros, as in the reference.  Percentiles are exact (distributed
-    ranks) by default; ``approx=True`` switches to ``percentile_approx`` - one
-    mergeable sketch per group, no ranking pass - for very large runs, and the
-    output says which was used (``exact`` column)."""
-    long = unpivot_metrics(requests, keys, metrics)
-    present = long.where(F.col("value").isNotNull())
-    means = present.groupBy(*keys, "metric").agg(F.avg("value").alias("avg"))
+    yields zeros, as in the reference.  Percentiles are exact by default: sketch
+    brackets, then exact counts inside them (``stats.percentiles``), over the wide
+    rows.  ``approx=True`` takes the sketches' values, and the output says which
+    was used (``exact`` column)."""
     if approx:
+        present = unpivot_metrics(requests, keys, metrics).where(F.col("value").isNotNull())
         q = F.percentile_approx("value", [0.5, 0.9, 0.95], accuracy)
-        pct = present.groupBy(*keys, "metric").agg(q.alias("_q")).select(
-            *keys, "metric", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p95"))
+        got = present.groupBy(*keys, "metric").agg(F.avg("value").alias("avg"), q.alias("_q")).select(
+            *keys, "metric", "avg", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p95"))
+        # (run, metric) domain from the distinct runs
+        domain = requests.select(*keys).distinct().withColumn(
+            "metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
+        out = join_null_safe(domain, got, [*keys, "metric"], "left")
     else:
-        pct = exact_percentiles(present, [*keys, "metric"], "value", [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
-    # (run, metric) domain from the distinct runs, not from the 15x longer unpivoted table
-    domain = requests.select(*keys).distinct().withColumn(
-        "metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
-    out = join_null_safe(join_null_safe(domain, means, [*keys, "metric"], "left"), pct, [*keys, "metric"], "left")
+        out = percentiles(requests, keys, metrics, [0.5, 0.9, 0.95], ["p50", "p90", "p95"]).drop("n")
     for c in ("avg", "p50", "p90", "p95"):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
+        out = out.withColumn(c, F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0)))
     return out.withColumn("exact", F.lit(not approx)) if approx else out
 
 

@@ -240,8 +240,6 @@ def tel_volume_summary(spark, sf):
            .withColumn("search", F.col("l_discount") + F.col("l_tax"))
            .withColumn("e2e", F.col("l_extendedprice") / F.lit(1000.0)))
     keys = ["l_returnflag", "l_linestatus"]
-    long = tel.unpivot_metrics(vol, keys, _VOL_METRICS)
-    cnt = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg"))
-    from ragspark.functions.stats import exact_percentiles
-    pct = exact_percentiles(long, [*keys, "metric"], "value", [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
-    return rnd(cnt.join(pct, [*keys, "metric"]), 6, "avg", "p50", "p90", "p95")
+    from ragspark.functions.stats import percentiles
+    got = percentiles(vol, keys, _VOL_METRICS, [0.5, 0.9, 0.95], ["p50", "p90", "p95"])
+    return rnd(got, 6, "avg", "p50", "p90", "p95")

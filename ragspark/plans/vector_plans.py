@@ -311,7 +311,7 @@ def rte_hot_then_cold(spark, sf):
     sizes = pl.list_sizes(st.cent, st.asg)
     hot = hr.half_set(hr.cdf(hr.frequency(st.probes, st.cent), fx.NPROBE * nq))
     lut = pl.full_lut(st.cent, pl.place(hot, sizes, fx.SHARDS), st.nlist)
-    routed = rt.route(st.probes, lut, st.nlist)
+    routed = snapshot(rt.route(st.probes, lut, st.nlist), "routed")
     hot_c = st.scan(routed.where(F.col("shard") >= 0)).drop("list_id")
     cold_c = st.scan(routed.where(F.col("shard") == -1)).drop("list_id")
     res = rt.hot_then_cold(hot_c, cold_c, fx.TOPK)

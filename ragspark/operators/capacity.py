@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragspark.operators.asof import interval_join
+
 GIB = float(1024 ** 3)
 OTHERS_GB = 2.0
 # Arrival-rate ladder as fractions of the rate ceiling.
@@ -112,11 +114,15 @@ def required_hit(points: DataFrame, lines: DataFrame, max_n: int) -> DataFrame:
 def lookup_mean(needs: DataFrame, tail_tab: DataFrame, need: str, out: str, keys: Sequence[str]) -> DataFrame:
     """HIT10 applied to computed needs: smallest grid mean whose tail at the
     same n reaches the need; needs outside (0, 1) pass through; a need above
-    every tail gives 1.0."""
-    j = needs.join(tail_tab.select(F.col("n").alias("_tn"), F.col("m").alias("_m"), F.col("tail").alias("_tail")),
-                   (F.col("n") == F.col("_tn")) & (F.col("_tail") >= F.col(need)), "left")
-    g = j.groupBy(*keys).agg(F.min("_m").alias("_best"))
-    res = needs.join(g, list(keys), "left")
+    every tail gives 1.0.  Per n the grid's running best tail makes a staircase
+    of intervals, one per mean that raises it, and a need looks up its step."""
+    up = Window.partitionBy("n").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)      # the means of one n: the grid
+    steps = (tail_tab.select("n", F.col("m").alias("_best"), F.col("tail").alias("_to"),
+                             F.greatest(F.coalesce(F.max("tail").over(up), F.lit(0.0)), F.lit(0.0)).alias("_from"))
+             .where(F.col("_to") > F.col("_from")))
+    inner = needs.where((F.col(need) > 0) & (F.col(need) < 1)).select(*keys, "n", need)
+    got = interval_join(inner, steps, need, "_from", "_to", keys=["n"], closed="right").select(*keys, "_best")
+    res = needs.join(got, list(keys), "left")
     v = F.when((F.col(need) <= 0) | (F.col(need) >= 1), F.col(need)).otherwise(F.coalesce(F.col("_best"), F.lit(1.0)))
     return res.withColumn(out, v).drop("_best")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.stats import exact_percentiles
+from ragspark.operators.asof import interval_join
 
 _SEG_SCHEMA = "component string, seg int, start double, end double, slope double, intercept double"
 COMPONENTS = {"search": ["ann_search"], "quantize": ["quantize"], "lut": ["lut_compute", "lut_scan"]}
@@ -116,19 +117,14 @@ def predict(points: DataFrame, segments: DataFrame, rule: str = "closed_last", x
     """LAT7: evaluate the segment containing x.  ``closed_last``: both ends
     inclusive, the later segment wins at a shared break (CPU tier);
     ``halfopen_first``: [start, end), first match wins (accelerated tier).
-    Points without a segment get NULL.  Segments are config-sized (broadcast)."""
-    seg = F.broadcast(segments)
-    xv = F.col(x).cast("double")
-    if rule == "closed_last":
-        cond = (xv >= seg["start"]) & (xv <= seg["end"])
-    else:
-        cond = (xv >= seg["start"]) & (xv < seg["end"])
+    Points without a segment get no row.  The lookup is a join on range cells,
+    whatever the number of points and segments."""
     pts = points.select(x).distinct()
-    j = pts.join(seg, cond, "left")
+    closed = "both" if rule == "closed_last" else "left"
+    j = interval_join(pts, segments, x, "start", "end", closed=closed)
     pick = F.max_by if rule == "closed_last" else F.min_by
     best = j.groupBy(x, "component").agg(pick(F.struct("slope", "intercept"), F.col("start")).alias("_s"))
-    return best.select(x, "component", (F.col("_s.slope") * F.col(x) + F.col("_s.intercept")).alias("pred")) \
-        .where(F.col("component").isNotNull())
+    return best.select(x, "component", (F.col("_s.slope") * F.col(x) + F.col("_s.intercept")).alias("pred"))
 
 
 def miss_scaled(points: DataFrame, cpu: DataFrame, gpu: DataFrame | None, hit: str = "hit_rate",

@@ -34,15 +34,45 @@ def split(df: DataFrame, id_col: str, train_share: float, seed: str = "42") -> D
         .withColumn("orig_index", F.col(id_col))
 
 
+BUCKETS = 1 << 16
+
+
+def least(df: DataFrame, id_col: str, k: int, seed: str = "42") -> DataFrame:
+    """The first ``k`` rows of the shuffle without shuffling the table: a
+    histogram of the hashes (``BUCKETS`` counts at most) finds the bucket in which
+    the k-th row lies, a finer one inside it the hash itself; rows below that hash
+    are kept where they are, and only the rows of that one hash are put in order."""
+    rows = df.withColumn("_h", F.coalesce(seeded_hash(id_col, seed), F.lit(-1).cast("bigint")))    # a null id comes first
+    lo, hi, need = -1, 1 << 32, k
+    while need > 0 and hi - lo > 1:
+        width = -(-(hi - lo) // BUCKETS)
+        hist = rows.where((F.col("_h") >= lo) & (F.col("_h") < hi)).groupBy(
+            F.floor((F.col("_h") - lo) / width).cast("bigint").alias("b")).count().collect()
+        before, at = 0, None
+        for b, c in sorted(map(tuple, hist)):
+            if before + c > need:
+                at = b
+                break
+            before += c
+        if at is None:                       # the whole range is wanted
+            lo, need = hi, 0
+            break
+        lo, hi, need = lo + at * width, min(hi, lo + (at + 1) * width), need - before
+    kept = rows.where(F.col("_h") < lo)
+    if need > 0:
+        last = global_rank(rows.where(F.col("_h") == lo), [id_col], out="_at")
+        kept = kept.unionByName(last.where(F.col("_at") < need).drop("_at"))
+    return kept.drop("_h")
+
+
 def train_sample(df: DataFrame, id_col: str, nlist: int, per_list: int = 39, seed: str = "42") -> DataFrame:
-    """SMP2: uniform sample without replacement of min(per_list * nlist, n) rows."""
-    size = per_list * nlist
-    return permute(df, id_col, seed).where(F.col("perm_rank") < size)
+    """SMP2: uniform sample without replacement of min(per_list * nlist, n) rows, in shuffled order."""
+    return permute(least(df, id_col, per_list * nlist, seed), id_col, seed)
 
 
-def cap(perm: DataFrame, share: float) -> DataFrame:
-    """SMP4: the first ``ceil(share * n)`` rows of an already shuffled set."""
-    return perm.where(F.col("perm_rank") < math.ceil(perm.count() * share))
+def cap(df: DataFrame, id_col: str, share: float, seed: str = "42") -> DataFrame:
+    """SMP4: the first ``ceil(share * n)`` rows of the shuffled set, in order."""
+    return permute(least(df, id_col, math.ceil(df.count() * share), seed), id_col, seed)
 
 
 def cycle(requests: DataFrame, perm: DataFrame, nq: int, rid: str = "rid") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.ranks import global_rank
+from ragspark.functions.ranks import global_rank, prefix_sum
 
 # Whitespace class and sentence rule shared with the oracle SQL.
 WS = "[ \\t\\n\\r\\f]+"
@@ -44,11 +44,34 @@ def min_tokens(sentences: DataFrame, n: int = 4, col: str = "sentence") -> DataF
     return sentences.withColumn("tokens", token_count(col)).where(F.col("tokens") >= n)
 
 
+def kept_sentences(min_tok: int = 4, text: str = "text") -> Column:
+    """The sentences of a text with at least ``min_tok`` tokens, as an array of
+    (pos, sentence, tokens)."""
+    parts = F.split(F.regexp_replace(F.col(text), SENT_END, "$1" + MARK), MARK)
+    cut = F.transform(parts, lambda s, i: F.struct(i.alias("pos"), F.trim(s, F.lit(WS_CHARS)).alias("sentence")))
+    full = F.transform(F.filter(cut, lambda s: s["sentence"] != ""), lambda s: F.struct(
+        s["pos"].alias("pos"), s["sentence"].alias("sentence"), token_count(s["sentence"]).alias("tokens")))
+    return F.filter(full, lambda s: s["tokens"] >= min_tok)
+
+
 def chunk(docs: DataFrame, min_tok: int = 4, key: str = "doc_id") -> DataFrame:
     """TXT5: sentences with >= min_tok tokens numbered densely in (doc, position)
-    order -> (chunk_id, chunk_key (12 digits), doc_id, pos, text)."""
-    s = min_tokens(split_sentences(docs, key=key), min_tok)
-    r = global_rank(s, [key, "pos"], out="chunk_id")
+    order -> (chunk_id, chunk_key (12 digits), doc_id, pos, text).
+
+    Only each document's number of sentences is ranked; a document then adds its
+    first number to the positions in its own array, so no text is sorted.  Keys
+    that are repeated or null have no place of their own: then the sentences
+    themselves are ranked."""
+    again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) | F.col(key).isNull())
+    if again.isEmpty():
+        kept = docs.select(key, kept_sentences(min_tok).alias("_s"))
+        first = prefix_sum(kept.select(key, F.coalesce(F.size("_s"), F.lit(0)).cast("bigint").alias("_n")).where("_n > 0"),
+                           [key], "_n", "_first", exclusive=True).select(key, "_first")
+        r = kept.join(first, key).select(key, "_first", F.posexplode("_s").alias("_i", "_c")).select(
+            (F.col("_first") + F.col("_i")).alias("chunk_id"), key, F.col("_c.pos").alias("pos"),
+            F.col("_c.sentence").alias("sentence"), F.col("_c.tokens").alias("tokens"))
+    else:
+        r = global_rank(min_tokens(split_sentences(docs, key=key), min_tok), [key, "pos"], out="chunk_id")
     return r.select("chunk_id", F.lpad(F.col("chunk_id").cast("string"), 12, "0").alias("chunk_key"),
                     key, "pos", F.col("sentence").alias("text"), "tokens")
 
@@ -66,7 +89,7 @@ def hashed_counts(col: str | Column, dim: int = 64, seed: str = "42") -> Column:
 
 
 def embed(chunks: DataFrame, text: str = "text", dim: int = 64, make_predict_fn=None,
-          batch_size: int = 128, seed: str = "42") -> DataFrame:
+          batch_size: int = 128, seed: str = "42", element: str = "float") -> DataFrame:
     """TXT6: text -> embedding.  With ``make_predict_fn`` (a model loader in
     the ``predict_batch_udf`` convention) batches of ``batch_size`` texts go
     through the model on the executors; without one, a seeded feature-hash
@@ -74,7 +97,8 @@ def embed(chunks: DataFrame, text: str = "text", dim: int = 64, make_predict_fn=
     if make_predict_fn is not None:
         from pyspark.ml.functions import predict_batch_udf
         from pyspark.sql import types as T
-        udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+        kind = T.ArrayType(T.DoubleType() if element == "double" else T.FloatType())
+        udf = predict_batch_udf(make_predict_fn, return_type=kind, batch_size=batch_size)
         return chunks.withColumn("embedding", udf(F.col(text)))
     counts = hashed_counts(text, dim, seed)
     out = chunks.withColumn("_cnt", counts)

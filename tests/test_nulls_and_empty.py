@@ -46,7 +46,7 @@ def test_empty_latency_input(spark):
 def test_split_and_cap_take_shares(spark):
     d = spark.range(40).select(F.col("id").alias("i"))
     s = smp.split(d, "i", 0.25)
-    assert s.where("split = 'train'").count() == 10 and smp.cap(smp.permute(d, "i"), 0.3).count() == 12
+    assert s.where("split = 'train'").count() == 10 and smp.cap(d, "i", 0.3).count() == 12
 
 
 def test_query_files_number_by_position(spark):

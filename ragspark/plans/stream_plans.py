@@ -149,7 +149,7 @@ def str_slo_monitor(spark, sf):
     requests, alert below 0.9; equals the batch block report."""
     stream, _ = _stage(spark, _requests(spark, sf).select("rid", "arrival_ts", "ann_search"), "slo")
     out = jobs.slo_monitor_stream(stream, "ann_search", SEARCH_SLO, scratch.new_dir(spark, "stream-slo"), spark)
-    return rnd(out.where("complete").drop("complete"), 6, "share")
+    return rnd(out.where("kind = 'block' and complete").select("block", "n", "share", "alert"), 6, "share")
 
 
 @_reg("str_early_emit", f"""{sp.index_ctes(*sp.INDEX_ALL)}, {_REQ_SQL},

@@ -11,19 +11,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ragspark.sources import scratch
 
 
-def stage_files(df: DataFrame, path: str, order: str, files: int = 4) -> None:
-    """Write a derived table as ``files`` slices split by ``order`` ranges, one
-    after the other, so file modification times follow event order the way
-    an arriving stream's files do (the file source reads oldest first)."""
+SLICE_ROWS = 250_000
+
+
+def stage_files(df: DataFrame, path: str, order: str, files: int | None = None) -> None:
+    """Write a derived table as slices split by ``order`` ranges (at least 4, of
+    about ``SLICE_ROWS`` rows), one after the other, so file modification times
+    follow event order the way an arriving stream's files do (the file source
+    reads oldest first)."""
+    files = files or max(4, -(-df.count() // SLICE_ROWS))
     ranged = (df.repartitionByRange(files, order).sortWithinPartitions(order)
               .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
     for k in range(files):
@@ -34,12 +40,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def run_to_end(writer, name: str, spark: SparkSession) -> None:
-    ckpt = scratch.new_dir(spark, f"stream-ckpt-{name}")
+def run_to_end(writer, name: str, spark: SparkSession, checkpoint: str | None = None) -> int:
+    """Run until the present files are read; ``checkpoint`` continues an earlier
+    run.  Returns the rows that stateful operators dropped as older than the watermark."""
+    ckpt = checkpoint or scratch.new_dir(spark, f"stream-ckpt-{name}")
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return sum(int(o.numRowsDroppedByWatermark) for p in q.recentProgress for o in p.stateOperators)
 
 
 # ------------------------------------------------------------------- STR1
@@ -84,69 +93,134 @@ def join_logs_stream(search: DataFrame, gen: DataFrame, out_path: str, spark: Sp
 
 
 # ------------------------------------------------------------------- STR4
-def access_stream(probes: DataFrame, out_path: str, spark: SparkSession, window: str | None = None) -> DataFrame:
+def access_stream(probes: DataFrame, out_path: str, spark: SparkSession, window: str | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
     """STR4: live list-access counters; ``window`` resets them per event-time
     window (tumbling) instead of keeping running totals.
 
-    Windows are appended to a Parquet table; running totals replace each other
-    as ``epoch=<id>`` folders (a retried epoch overwrites its own).  Returns
-    the table, of the last epoch for totals."""
+    Windows are appended to a Parquet table.  Running totals are written in update
+    mode: a micro-batch writes only the counters that it changed, into its own
+    ``epoch=<id>`` folder with overwrite, so a batch that is run again replaces
+    its rows and changes nothing.  Returns the table (``access_totals`` for totals)."""
     if window:
         agg = (probes.withWatermark("arrival_ts", window)
                .groupBy(F.window("arrival_ts", window), "list_id").agg(F.count(F.lit(1)).alias("accesses")))
-        run_to_end(agg.writeStream.outputMode("append").format("parquet").option("path", out_path), "access", spark)
+        run_to_end(agg.writeStream.outputMode("append").format("parquet").option("path", out_path), "access", spark, checkpoint)
         return spark.read.schema(agg.schema).parquet(out_path)
     agg = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("accesses"))
-    last: list[int] = []
+    run_to_end(agg.writeStream.outputMode("update").foreachBatch(write_changes(out_path)), "access", spark, checkpoint)
+    return access_totals(spark, out_path)
+
+
+def write_changes(out_path: str) -> Callable[[DataFrame, int], None]:
+    """Writes the changed counters of a micro-batch as its epoch's folder."""
+    def write(changed: DataFrame, epoch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    return write
+
 
-    def replace(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        last.append(epoch)
-    run_to_end(agg.writeStream.outputMode("complete").foreachBatch(replace), "access", spark)
-    return spark.read.parquet(f"{out_path}/epoch={max(last)}") if last else spark.createDataFrame([], agg.schema)
+def access_totals(spark: SparkSession, out_path: str) -> DataFrame:
+    """The counters as of the last epoch that changed each."""
+    rows = spark.read.schema("list_id bigint, accesses bigint, epoch bigint").parquet(out_path)
+    return rows.groupBy("list_id").agg(F.max_by("accesses", "epoch").alias("accesses"))
 
 
 # ------------------------------------------------------------------- STR5
-SLO_OUT = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
+SLO_OUT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
                         T.StructField("share", T.DoubleType()), T.StructField("alert", T.BooleanType()),
                         T.StructField("complete", T.BooleanType())])
-SLO_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("hits", T.LongType())])
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SloBlocks(StatefulProcessor):
+    """One block of consecutive requests: which of them came (a bit each), how
+    many met the objective, whether the block was reported, when it is given up."""
+
+    def __init__(self, block_size: int, wait_ms: int):
+        self.size, self.wait = block_size, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("block", "seen binary, hits bigint, reported boolean, due bigint")
 
+    @staticmethod
+    def _row(kind: str, key, n: int, hits: int = 0, complete: bool | None = None) -> pd.DataFrame:
+        share = hits / n if n and kind == "block" else None
+        alert = bool(share < 0.9) if share is not None else None
+        return pd.DataFrame({"kind": [kind], "block": [int(key[0])], "n": [n], "share": [share], "alert": [alert],
+                             "complete": [complete]}).astype({"share": "float64", "alert": "object", "complete": "object"})
 
-def _slo_fn(block_size: int, wait_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, hits = state.get if state.exists else (0, 0)
-        late, newest = state.hasTimedOut, 0
-        for pdf in ([] if late else pdfs):
-            count += len(pdf)
-            hits += int(pdf["ok"].sum())
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.state.get() if self.state.exists() else (bytes(-(-self.size // 8)), 0, False, 0)
+        seen, hits, reported, due = np.unpackbits(np.frombuffer(old[0], np.uint8)), int(old[1]), bool(old[2]), int(old[3])
+        newest, late, again = 0, 0, 0
+        for pdf in rows:
             newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-        if late or count >= block_size:
-            share = hits / count if count else 0.0
-            state.remove()
-            yield pd.DataFrame({"block": [int(key[0])], "n": [count], "share": [share],
-                                "alert": [bool(0 <= share < 0.9)], "complete": [count >= block_size]})
-        else:
-            state.update((count, hits))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1) + wait_ms)
-    return fn
+            if reported:
+                late += len(pdf)
+                continue
+            pdf = pdf.sort_values("ok", ascending=False, kind="stable").drop_duplicates("pos") if pdf["pos"].duplicated().any() else pdf
+            new = seen[pdf["pos"].to_numpy()] == 0
+            again += int((~new).sum())
+            seen[pdf["pos"].to_numpy()[new]] = 1
+            hits += int(pdf["ok"].to_numpy()[new].sum())
+        n = int(seen.sum())
+        if not reported and n >= self.size:
+            reported = True
+            yield self._row("block", key, n, hits, True)
+        if late:
+            yield self._row("late", key, late)
+        if newest + self.wait > due:
+            if due:
+                self.handle.deleteTimer(due)
+            due = max(newest, int(timerValues.getCurrentWatermarkInMs()) + 1) + self.wait
+            self.handle.registerTimer(due)
+        self.state.update((np.packbits(seen).tobytes(), hits, reported, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            seen, hits, reported, _ = self.state.get()
+            self.state.clear()
+            if not reported:
+                yield self._row("block", key, int(np.unpackbits(np.frombuffer(seen, np.uint8)).sum()), int(hits), False)
+
+    def close(self) -> None:
+        pass
 
 
 def slo_monitor_stream(requests: DataFrame, latency: str, slo: float, out_path: str, spark: SparkSession,
-                       block_size: int = 1000, delay: str = "1 hour", wait_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """STR5: per block of ``block_size`` consecutive requests a (count, hits)
-    state; when the block is complete its attainment is emitted (alert below
-    0.9) and the state dropped.  A block that stays incomplete for ``wait_ms``
-    of event time is emitted as it is (``complete`` false), so a lost request
-    neither keeps its state for ever nor hides its alert.  Keyed by block, the
-    result does not depend on arrival order.  Returns the appended table."""
+                       block_size: int = 1000, delay: str = "1 hour", wait_ms: int = 24 * 3600 * 1000,
+                       checkpoint: str | None = None) -> DataFrame:
+    """STR5: per block of ``block_size`` consecutive requests a typed state: a bit
+    per request, so repeated rows count once, and the number within the
+    objective.  A complete block is reported (alert below 0.9) and only remembered
+    as reported until its timer, ``wait_ms`` of event time after its newest row; a
+    block still incomplete then is reported as it is (``complete`` false).  So a
+    lost request neither keeps its state for ever nor hides an alert, and a row
+    that comes after the report opens no second one.
+
+    Such late rows are counted per block in rows of kind ``late``; rows older than
+    the watermark, which the engine drops before any state, in a row of kind
+    ``dropped`` (block NULL) per run.  Keyed by block, the result does not depend
+    on arrival order.  Returns the table (kind, block, n, share, alert, complete)."""
+    rid = F.col("rid")
     rows = requests.withWatermark("arrival_ts", delay).select(
-        F.floor(F.col("rid") / block_size).cast("bigint").alias("block"), F.col("arrival_ts").alias("ts"),
-        F.coalesce(F.col(latency) <= F.lit(slo), F.lit(False)).alias("ok"))
-    out = rows.groupBy("block").applyInPandasWithState(_slo_fn(block_size, wait_ms), SLO_OUT, SLO_STATE, "append",
-                                                         "EventTimeTimeout")
-    run_to_end(out.writeStream.format("parquet").option("path", out_path).outputMode("append"), "slo", spark)
-    return spark.read.schema(SLO_OUT).parquet(out_path)
+        F.floor(rid / block_size).cast("bigint").alias("block"), F.pmod(rid, F.lit(block_size)).cast("int").alias("pos"),
+        F.col("arrival_ts").alias("ts"), F.coalesce(F.col(latency) <= F.lit(slo), F.lit(False)).alias("ok"))
+    conf, key = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, _ROCKS)                    # typed state needs this store
+    try:
+        out = rows.groupBy("block").transformWithStateInPandas(SloBlocks(block_size, wait_ms), SLO_OUT, "append", "eventTime")
+        lost = run_to_end(out.writeStream.format("parquet").option("path", f"{out_path}/rows").outputMode("append"), "slo", spark,
+                          checkpoint)
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+    if lost:
+        spark.createDataFrame([("dropped", None, lost, None, None, None)], SLO_OUT).write.mode("append").parquet(f"{out_path}/dropped")
+    got = spark.read.schema(SLO_OUT).parquet(f"{out_path}/rows")
+    more = spark.createDataFrame([], SLO_OUT) if not lost else spark.read.schema(SLO_OUT).parquet(f"{out_path}/dropped")
+    return got.unionByName(more)
 
 
 # ------------------------------------------------------------------- STR6

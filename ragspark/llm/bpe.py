@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.llm.common import lean
+
 _MEMO_ROWS = 150_000      # remembered words per worker, in each of two generations
 _MEMO_CHARS = 48          # longer words are encoded each time
 
@@ -144,7 +146,7 @@ class Backtracker:
         rank, reach, known = self.ranks.get, self._auto.longest_prefix, self._fits.get
         size, most, text, stop = self._size, self._max, piece.decode("latin-1"), len(piece)
         out: list[int] = []
-        at, last, token, dead = 0, -1, None, ()
+        at, last, token, dead = 0, -1, None, set()
         while True:
             if token is None:
                 # the automaton says how far any entry can reach; step back to an entry
@@ -166,7 +168,7 @@ class Backtracker:
                     continue
             token = self.shorter(token)
             if token < 0:
-                dead = {*dead, at}               # no token leads on from here
+                dead.add(at)                     # no token leads on from here
                 token = out.pop()
                 at -= size[token]
                 last = out[-1] if out else -1
@@ -244,6 +246,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     unsigned 32-bit integers.  ``path`` is read on the driver only."""
     vocab = vocabulary(docs, path)
 
+    @lean
     def run(batches):
         enc = encoder(vocab.value)
         for b in batches:
@@ -254,14 +257,37 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         run, f"`{id_col}` {kind}, ids binary")
 
 
+def _bytes(of: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes that serialized ids stand for."""
+    return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) in one pass: each batch is encoded and its ids decoded by one worker."""
+    vocab = vocabulary(docs, path)
+
+    @lean
+    def run(batches):
+        enc = encoder(vocab.value)
+        of = enc.core.bytes_of
+        for b in batches:
+            ids = [enc(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([_bytes(of, x) for x in ids], pa.binary())],
+                                             names=[id_col, "ids", "decoded"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(
+        run, f"`{id_col}` {kind}, ids binary, decoded binary")
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): the bytes that the ids stand for."""
     vocab = vocabulary(encoded, path)
 
+    @lean
     def run(batches):
-        of = {r: b for b, r in parse_ranks(vocab.value).items()}.__getitem__
+        of = encoder(vocab.value).core.bytes_of
         for b in batches:
-            out = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in b.column(1).to_pylist()]
+            out = [_bytes(of, x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
                                              names=[id_col, "ids", "decoded"])
     kind = encoded.schema[id_col].dataType.simpleString()

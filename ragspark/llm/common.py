@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ragspark.functions.ranks import snapshot
 from ragspark.session import prepare
 
-__all__ = ["table", "ready", "snapshot", "per_batch", "learns", "held_out"]
+__all__ = ["table", "ready", "snapshot", "per_batch", "learns", "held_out", "lean"]
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -43,3 +45,19 @@ def held_out(id_col: str, mod: int):
 def learns(id_col: str, mod: int):
     """Rows that a model may learn from: a non-null id that is not held out."""
     return F.col(id_col).isNotNull() & ~held_out(id_col, mod)
+
+
+def lean(run):
+    """A batch function whose worker takes Arrow memory from the C allocator and,
+    when a task ends, gives freed memory back: workers outlive stages, and what a
+    stage has freed should not count against the next one."""
+    @functools.wraps(run)
+    def task(*args):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(*args)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # only the GNU library has it
+            if trim is not None:
+                trim(0)
+    return task

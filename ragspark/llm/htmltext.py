@@ -2,15 +2,18 @@
 
 A page is cut into flat blocks of text at block-level tags.  A block is
 described by its own and its neighbours' word counts and link densities, and by
-where it stands: inside an article or main element, inside an element whose
-class or id names content, inside page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, hidden parts), as a
-heading.  A small decision tree decides which blocks are main text.  It is
-trained on a labelled table of blocks that is laid out by rule: content and
-furniture pieces of many kinds, put together as pages.
-
-The page is read by one pass of a regular expression over its tags; unclosed
-and stray tags are tolerated.  Scripts, styles and other raw elements hold no
+where it stands: inside an article or main element or one whose class or id
+names content; inside an element that is furniture by its name, hidden or a
+comment section; inside an element whose class or id holds a word that often
+names furniture (menu, notice, form ...), with that element's number of words,
+link density and share of the page's text, and whether it is the block's own
+paragraph; as a heading.  A small decision tree decides which blocks are main
+text.  It is trained on a labelled table of blocks that is laid out by rule:
+content and furniture pieces of many kinds, put together as pages, in which such
+words also name long parts of the text.
+
+The page is read by one pass of a regular expression over its tags, whatever
+their depth; unclosed and stray tags are tolerated.  Scripts, styles and other raw elements hold no
 text.  A line break inside a block is white space.
 
 Defined cases: null, empty or text-less html gives the empty text; character
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,11 +58,27 @@ FURNITURE_WORDS = frozenset("""ad ads adbox adslot adsense advert adverts advert
     signin register share sharing social related recommended recommendations teaser widget widgets pagination
     pager skip copyright legal disclaimer search form outbrain taboola paywall tooltip""".split())
 HEADER_WORDS = frozenset("header hdr pageheader siteheader".split())
-COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus reply replies respond discussion feedback guestbook".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus guestbook".split())
+REPLY_WORDS = frozenset("reply replies respond discussion feedback".split())
 CONTENT_WORDS = frozenset("content article post entry story body text main page prose".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
-            "in_main", "page_has_main", "in_furniture", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "page_has_main",
+            "firm", "listed", "own", "box_words", "box_links", "box_share", "heading")
+_TEXT_LEVEL = HEADINGS | frozenset("p li dd dt td th blockquote pre figcaption".split())
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where text stands; ``box`` numbers the innermost element around it with a
+    listed word (-1: none), ``own`` says that this is the paragraph itself."""
+
+    article: bool = False
+    content: bool = False
+    firm: bool = False
+    box: int = -1
+    own: bool = False
+    heading: bool = False
+    link: bool = False
 
 
 @dataclass
@@ -66,10 +86,7 @@ class Block:
     text: str
     words: int
     linked: int
-    in_article: bool
-    in_content: bool
-    in_furniture: bool
-    heading: bool
+    place: _Place
 
 
 def _named(attrs: str) -> tuple[set[str], bool]:
@@ -88,44 +105,76 @@ def _named(attrs: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-@dataclass(frozen=True)
-class _Place:
-    """Where text stands; ``firm`` furniture comes from an element's name."""
-
-    article: bool = False
-    content: bool = False
-    furniture: bool = False
-    firm: bool = False
-    heading: bool = False
-    link: bool = False
-
-
-def _inside(p: _Place, name: str, attrs: str) -> _Place:
+def _inside(p: _Place, name: str, attrs: str, box: int) -> _Place:
+    """The place inside an element; ``box`` numbers the element if a listed word names it."""
     words, hidden = _named(attrs) if "=" in attrs or "hidden" in attrs else (frozenset(), False)
-    comments = bool(words & COMMENT_WORDS)
-    named = name not in ("body", "html") and (comments or bool(words & FURNITURE_WORDS)
-                                              or (bool(words & HEADER_WORDS) and not p.article))
-    firm = p.firm or hidden or comments or name in FURNITURE or (name == "header" and not p.article)
+    named = name not in ("body", "html") and bool(
+        words & FURNITURE_WORDS or words & REPLY_WORDS or (words & HEADER_WORDS and not p.article))
+    firm = (p.firm or hidden or name in FURNITURE or (name == "header" and not p.article)
+            or (bool(words & COMMENT_WORDS) and name not in ("body", "html")))
     opens = name in ("article", "main") or "main" in words and name in ("div", "section", "td")
-    article = p.article or name in ("article", "main")
-    furniture = firm or named or (p.furniture and not opens)
-    return _Place(article, p.content or bool(words & CONTENT_WORDS), furniture, firm,
+    held, own = p.box if not opens else -1, named
+    return _Place(p.article or name in ("article", "main"), p.content or bool(words & CONTENT_WORDS), firm,
+                  box if own else held, name in _TEXT_LEVEL if own else p.own and held >= 0,
                   p.heading or name in HEADINGS, p.link or name == "a")
 
 
+class _Open:
+    """The open elements, with how many there are of each name: a closing tag
+    without an opening one costs no search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, _Place]] = [("", _Place())]
+        self.count: Counter = Counter()
+        self.boxes = 0
+
+    @property
+    def place(self) -> _Place:
+        return self.stack[-1][1]
+
+    def push(self, name: str, attrs: str) -> None:
+        place = _inside(self.place, name, attrs, self.boxes)
+        self.boxes += place.box == self.boxes
+        self.push_place(name, place)
+
+    def push_place(self, name: str, place: _Place) -> None:
+        self.stack.append((name, place))
+        self.count[name] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at ``at`` and all inside it."""
+        for name, _ in self.stack[at:]:
+            self.count[name] -= 1
+        del self.stack[at:]
+
+    def find(self, name: str) -> int:
+        """The innermost open element of a name; 0 if there is none."""
+        if self.count[name]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == name:
+                    return i
+        return 0
+
+    def end_link(self) -> None:
+        at = self.find("a")
+        if at:
+            self.count["a"] -= 1
+            del self.stack[at]
+
+
 def blocks(page: str) -> tuple[list[Block], bool]:
     """Flat text blocks in page order; whether the page has an article."""
     out: list[Block] = []
-    stack: list[tuple[str, _Place]] = [("", _Place())]
+    open_ = _Open()
     held: list[str] = []
-    linked, place, has_article = 0, stack[0][1], False
+    linked, has_article = 0, False
 
-    def flush(place: _Place) -> None:
+    def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(linked, n), place.article, place.content, place.furniture, place.heading))
+            out.append(Block(text, n, min(linked, n), open_.place))
         held.clear()
         linked = 0
 
@@ -133,7 +182,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         nonlocal linked
         if text:
             held.append(text)
-            if stack[-1][1].link:
+            if open_.place.link:
                 linked += len(text.split())
 
     at, n = 0, len(page)
@@ -149,8 +198,9 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if m[0].startswith("<![CDATA["):
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
+        attrs = m["attrs"] or ""
         if name in RAW and name != "head":
-            if not m["close"] and not (m["attrs"] or "").endswith("/"):
+            if not m["close"] and not attrs.endswith("/"):
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
@@ -158,47 +208,38 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if name == "br":
                 held.append(" ")
             elif name == "a":
-                if m["close"]:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == "a":
-                            del stack[i]
-                            break
-                elif not (m["attrs"] or "").endswith("/"):
-                    for i in range(len(stack) - 1, 0, -1):      # a link ends where the next one starts
-                        if stack[i][0] == "a":
-                            del stack[i]
-                            break
-                    stack.append(("a", _inside(stack[-1][1], name, "")))
-            elif name in ("span", "label", "small", "time") and "=" in (m["attrs"] or "") and not m["close"]:
-                inner = _inside(stack[-1][1], name, m["attrs"])
-                if inner.furniture and not stack[-1][1].furniture:
-                    flush(stack[-1][1])                          # an advert or a notice in the running text
-                    stack.append((name, inner))
-            elif m["close"] and stack[-1][0] == name:
-                flush(stack[-1][1])
-                stack.pop()
+                if m["close"] or not attrs.endswith("/"):
+                    open_.end_link()                             # a link also ends where the next one starts
+                if not m["close"] and not attrs.endswith("/"):
+                    open_.push_place("a", _inside(open_.place, "a", "", -1))
+            elif name in ("span", "label", "small", "time") and "=" in attrs and not m["close"]:
+                inner = _inside(open_.place, name, attrs, open_.boxes)
+                if (inner.firm and not open_.place.firm) or inner.box != open_.place.box:
+                    flush()                                      # an advert or a notice in the running text
+                    open_.push(name, attrs)
+            elif m["close"] and open_.stack[-1][0] == name:
+                flush()
+                open_.cut(len(open_.stack) - 1)
             continue
-        flush(stack[-1][1])
+        flush()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            i = open_.find(name)
+            if i:
+                open_.cut(i)
             continue
-        if name in VOID or (m["attrs"] or "").endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):   # implied ends
+            stack = open_.stack
             for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                 if stack[i][0] == name or (stack[i][0] == "p"):
-                    del stack[i:]
+                    open_.cut(i)
                     break
                 if stack[i][0] not in ("a", "p", "li", "dt", "dd", "td", "th", "tr", "option"):
                     break
-        place = _inside(stack[-1][1], name, m["attrs"] or "")
-        has_article = has_article or (name in ("article", "main") and not place.furniture)
-        if len(stack) < 512:
-            stack.append((name, place))
-    flush(stack[-1][1])
+        open_.push(name, attrs)
+        has_article = has_article or (name in ("article", "main") and not (open_.place.firm or open_.place.box >= 0))
+    flush()
     return out, has_article
 
 
@@ -207,13 +248,21 @@ def features(found: list[Block], has_article: bool) -> np.ndarray:
     its article or main element, else what a class or id names as content."""
     words = np.array([0, *(b.words for b in found), 0], float)
     links = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    n = len(found)
-    flag = lambda name: np.array([float(getattr(b, name)) for b in found])
-    furniture, content = flag("in_furniture"), flag("in_content")
-    has_main = has_article or bool((content * (1 - furniture)).any())
-    return np.stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:],
-                     flag("in_article") if has_article else content, np.full(n, float(has_main)), furniture,
-                     flag("heading")], axis=1)
+    flag = lambda name: np.array([float(getattr(b.place, name)) for b in found])
+    firm, content, box = flag("firm"), flag("content"), np.array([b.place.box for b in found])
+    listed = box >= 0
+    in_main = flag("article") if has_article else content
+    has_main = has_article or bool((content * (1 - firm) * ~listed).any())
+    own, linked = words[1:-1] * (1 - firm), np.array([b.linked for b in found], float) * (1 - firm)
+    of_main = own * in_main if has_main else own
+    size = np.bincount(box[listed], own[listed], minlength=1) if listed.any() else np.zeros(1)
+    held = np.bincount(box[listed], linked[listed], minlength=len(size)) if listed.any() else np.zeros(1)
+    at = np.where(listed, box, 0)
+    box_words = np.where(listed, size[at], 0)
+    return np.stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], in_main,
+                     np.full(len(found), float(has_main)), firm, listed.astype(float), flag("own") * listed, box_words,
+                     np.where(listed, held[at] / np.maximum(size[at], 1), 0), box_words / max(of_main.sum(), 1), flag("heading")],
+                    axis=1)
 
 
 # A labelled piece: html with a {t} for its text, whether it is main text, and how many words it may have.
@@ -225,13 +274,18 @@ _FURNITURE = [("<nav><ul><li><a href='/x'>{t}</a></li></ul></nav>", 1, 3), ("<he
               ("<div class='sidebar'><p>{t}</p></div>", 2, 60), ("<div class='ad'>{t}</div>", 2, 20),
               ("<div id='cookie-notice'>{t}</div>", 5, 30), ("<form><label>{t}</label></form>", 1, 6),
               ("<section class='comments'><p>{t}</p></section>", 2, 90), ("<div id='respond'>{t}</div>", 2, 40),
+              ("<p class='notice'>{t}</p>", 2, 9), ("<p class='share'><a href='/x'>{t}</a></p>", 2, 9),
               ("<ul class='related'><li><a href='/x'>{t}</a></li></ul>", 2, 9), ("<div class='menu'>{t}</div>", 1, 5)]
+# Parts of the main text whose class or id holds a listed word; each {t} is a block.
+_LISTED = [("<p class='notice-of-motion'>{t}</p>", 14, 70), ("<h2 id='legal-form'>{t}</h2><p>{t}</p>", 14, 40),
+           ("<section id='discussion'><h2>{t}</h2><p>{t}</p><p>{t}</p><p>{t}</p></section>", 22, 90),
+           ("<div class='feedback-loop'><p>{t}</p><p>{t}</p></div>", 40, 90)]
 # On pages without an article element: text with no sign around it.
 _BARE = [("<p>{t}</p>", 12, 120, 1), ("<div>{t}</div>", 15, 80, 1), ("<h1>{t}</h1>", 2, 9, 1),
          ("<div><a href='/x'>{t}</a></div>", 1, 6, 0), ("<div><a href='/x'>{t}</a> <a href='/y'>{t}</a></div>", 1, 4, 0)]
 
 
-def labelled_table(pages: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(pages: int = 2_000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows and labels of the blocks of pages laid out by rule."""
     rnd, rows, labels = random.Random(seed), [], []
 
@@ -247,16 +301,22 @@ def labelled_table(pages: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarr
             page, want = "<body>" + "".join(x for x, _ in parts) + "</body>", [v for _, y in parts for v in [min(y, 1)] * max(y, 1)]
         else:
             front, inner, back = (rnd.choices(_FURNITURE, k=n) for n in (2, rnd.randint(0, 2), 3))
-            body = [(piece(*f), 1) for f in [("<h1>{t}</h1>", 2, 10), *rnd.choices(_CONTENT, k=rnd.randint(2, 10))]]
+            body = [(piece(*f), 1) for f in [("<h1>{t}</h1>", 2, 10), *rnd.choices(_CONTENT, k=rnd.randint(1, 10))]]
             for f in inner:
                 if not f[0].startswith("<header"):
                     body.insert(rnd.randint(1, len(body)), (piece(*f), 0))
+            if k % 5 < 2:
+                f = rnd.choice(_LISTED)
+                body.insert(rnd.randint(1, len(body)), (piece(*f), f[0].count("{t}")))
+            if k % 7 == 2:                           # one element around all of the text
+                body[1:] = [("<div class='long-form'>" + body[1][0], body[1][1]), *body[2:]]
+                body.append(("</div>", None))
             open_, close = (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"))[k % 3]
             before, after = [(piece(*f), 0) for f in front], [(piece(*f), 0) for f in back]
             loose = [("<div>" + piece("{t}", 2, 30) + "</div>", 0)]
             page = "".join(x for x, _ in before) + open_ + "".join(x for x, _ in body) + close + "".join(
                 x for x, _ in loose + after)
-            want = [y for _, y in before + body + loose + after]
+            want = [v for _, y in before + body + loose + after if y is not None for v in [min(y, 1)] * max(y, 1)]
         found, has_article = blocks(page)
         if len(found) == len(want):
             rows.append(features(found, has_article))
@@ -264,7 +324,7 @@ def labelled_table(pages: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(labels)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 4):
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 4):
     """A decision tree by Gini impurity: a leaf is the share of main text, a
     node (feature, threshold, tree up to it, tree above it)."""
     share = float(y.mean())

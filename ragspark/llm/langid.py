@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import learns
+from ragspark.llm.common import lean, learns
 
 UND = "und"
 FIT_ROWS = 2_000          # expected fitting rows per language
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = sample.select("t", "l").repartition(int(parts))     # bounded rows, dealt evenly
     number = {lang: j for j, lang in enumerate(languages)}
 
+    @lean
     def count(batches):
         table = np.zeros((k, _NONE + 1), np.int64)
         for b in batches:
@@ -218,6 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     sent_counts = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
 
+    @lean
     def measure(batches):
         for b in batches:
             which = [number[x] for x in b.column(1).to_pylist()]
@@ -228,6 +230,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     seen = sample.where(F.col("t").rlike(r"\p{L}")).mapInArrow(measure, "k bigint, mean double, size bigint").toPandas()
     typical = np.stack([_typical(g["mean"].to_numpy(), g["size"].to_numpy(float)) for g in (seen[seen["k"] == j] for j in range(k))])
 
+    @lean
     def hits(batches):
         right, n = np.zeros_like(code), np.zeros(k)
         for b in batches:
@@ -257,6 +260,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
 
 
 def _map(rows: DataFrame, sent, id_col: str) -> DataFrame:
+    @lean
     def run(batches):
         m = sent.value
         for b in batches:
@@ -285,6 +289,7 @@ def accept(docs: DataFrame, model: LangModel, text_col: str = "text", least: flo
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at, schema = docs.columns.index(text_col), docs.schema
 
+    @lean
     def run(batches):
         m = sent.value
         for b in batches:

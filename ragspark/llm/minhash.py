@@ -30,9 +30,12 @@ fingerprints stay on the executors.
 Defined cases: words are lower case, cut at white space; the registered query
 weighs each distinct shingle 1; a text of fewer than five words is one shingle
 of all its words; null texts and texts without words are like nothing, each
-its own class; rows of one id are one document; rows of a null id join a class
-of equal text but never head one with ids; an empty table gives an empty table; other
-columns are ignored; very long texts are processed whole.
+its own class; rows of one id are one document; a row of a null id is searched
+like any other under a number of its text's own beyond all ids (ids lie below
+2^62), so it joins the class of its near copies, whose id is the least one there
+is (null if there is none); ``keep_one`` leaves one row of a group without ids,
+and one of the rows that repeat an id and a text; an empty table gives an empty
+table; other columns are ignored; very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -40,11 +43,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import snapshot
 from ragspark.functions.sizing import fits
+from ragspark.llm.common import lean
 
 K, BANDS = 192, 32        # 6 coordinates a band: at 0.8, all bands miss with probability 6e-5
 LEAST = 0.8
@@ -154,6 +158,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, same, sig, keys): ``same`` is 16 bytes equal for equal shingle sets
     (null without words), ``sig`` the signature in 2 bytes per coordinate.
     ``weighting``: "set" (each distinct shingle 1) or "count" (its occurrences)."""
+    @lean
     def run(batches):
         hashed = _Words()
         for b in batches:
@@ -212,6 +217,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(
         sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
+    @lean
     def run(batches):
         for t in batches:
             sa, sb = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in (2, 3))
@@ -235,6 +241,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighting
     small = fits(ids.sparkSession, ids.count(), 16, _BROADCAST)
     texts = texts.join(F.broadcast(ids) if small else ids, "i", "left_semi")
 
+    @lean
     def run(batches):
         hashed = _Words()
         for b in batches:
@@ -252,6 +259,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weight
     both = pairs.select("a", "b").join(own.toDF("a", "xa", "wa"), "a").join(own.toDF("b", "xb", "wb"), "b").select(
         "a", "b", "xa", "wa", "xb", "wb")
 
+    @lean
     def keep(batches):
         for t in batches:
             ok = []
@@ -345,10 +353,26 @@ def _cells(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: float) -
     return m.groupBy("key", "kind", "i", "j").applyInArrow(_cell_kernel(least), "a bigint, b bigint").distinct()
 
 
+_NO_ID = 1 << 62          # numbers from here on stand for texts of null ids
+
+
+def _numbered(id_col: str, text_col: str) -> Column:
+    """The row's id; for a null id a number that its text chooses."""
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID) + F.pmod(own, F.lit(1 << 61)))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST,
             weighting: str = "set") -> DataFrame:
     """(id, class_id): one row per input row; ``class_id`` is the least id of
     the row's group of near-duplicates (its own id if it has none)."""
+    rows = docs.select(_numbered(id_col, text_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    out = _classes(rows, id_col, text_col, least, weighting)
+    return out.select(*[F.when(F.col(c) < _NO_ID, F.col(c)).alias(c) for c in (id_col, "class_id")])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighting: str) -> DataFrame:
+    """``classes`` of rows that all have ids."""
     if not NEVER < least < SURE:
         raise ValueError(f"the similarity must lie between {NEVER} and {SURE}")
     sigs = snapshot(signatures(docs, id_col, text_col, weighting), "dart-sigs")
@@ -373,9 +397,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The input rows (all columns) without the near-duplicates of a lesser id."""
+    """The input rows (all columns) without the near-duplicates of a lesser id
+    and without repeated rows."""
     spark = docs.sparkSession
-    drop = snapshot(classes(docs, id_col, text_col, least).where(F.col(id_col) != F.col("class_id")).select(
+    rows = docs.select(_numbered(id_col, text_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    drop = snapshot(_classes(rows, id_col, text_col, least, "set").where(F.col(id_col) != F.col("class_id")).select(
         F.col(id_col).alias("_drop")).distinct(), "dart-drop")
     small = fits(spark, drop.count(), 16, _BROADCAST)
-    return docs.join(F.broadcast(drop) if small else drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    kept = docs.withColumn("_number", _numbered(id_col, text_col)).withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    kept = kept.join(F.broadcast(drop) if small else drop, F.col("_number") == F.col("_drop"), "left_anti")
+    worded = F.coalesce(F.col(text_col).cast("string").rlike(r"\S"), F.lit(False))
+    again = snapshot(kept.where(worded).groupBy("_number", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                     .select("_number", "_hash"), "dart-again")
+    if not again.isEmpty():                  # only the rows that repeat a row are regrouped
+        one = kept.join(again, ["_number", "_hash"], "left_semi").dropDuplicates(["_number", "_hash"])
+        kept = kept.join(again, ["_number", "_hash"], "left_anti").unionByName(one)
+    return kept.select(*docs.columns)

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import snapshot
+from ragspark.llm.common import lean
 
 FIT_ROWS = 3_000          # expected fitting rows per grade
 BITS = 18                 # hashed word features
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id
 
     rows = snapshot(rows, "ordinal-fit")         # bounded: read twice
 
+    @lean
     def count(batches):
         """(grade, feature, times) per task, and under ``_SPACE`` the texts that have a word."""
         hit = np.zeros((n_grades, _SPACE + 1), np.int64)
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id
     hit[got["g"].to_numpy(int), got["f"].to_numpy(int)] = got["n"].to_numpy(float)
     telling = docs.sparkSession.sparkContext.broadcast(_telling(hit[:, :_SPACE], hit[:, _SPACE]))
 
+    @lean
     def run(batches):
         for b in batches:
             f = [np.array(_features(t) if t.split() else [], np.int32) for t in b.column(2).to_pylist()]
@@ -229,6 +232,7 @@ def predict(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id",
     """(id, expected_grade, tail_prob, selected) of every row, from its whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         scorer = Scorer(sent.value) if sent.value is not None else None
         for b in batches:
@@ -246,6 +250,7 @@ def accept(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         scorer = Scorer(sent.value) if sent.value is not None else None
         for b in batches:

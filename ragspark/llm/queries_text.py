@@ -35,7 +35,7 @@ def op5_bpe_round_trip(spark, sf_dir):
     """Encode every whole text by the byte-level ranks, decode the ids, digest both."""
     path = public_tokenizers.path(BYTE_RANKS)
     docs = table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.digests(bpe.round_trip(docs, path))
 
 
 def op9_block_tree_text(spark, sf_dir):

@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import prefix_sum
 from ragspark.sources.scratch import new_dir
+from ragspark.llm.common import lean
 
 MAGIC = b"TIDS1"
 END_ID = 1
 SHARD_BYTES = 32 << 20        # compressed bytes after which a shard is closed
 DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 2_000           # expected documents in the dictionary's sample
-SAMPLE_IDS = 2_048            # leading ids of a sampled document
+SAMPLE_IDS = 2_048            # ids of a sampled document
 LEVEL = 3
 _MEMO_ROWS = 300_000
 _LINE = 200               # new words encoded by one call
@@ -80,21 +81,26 @@ class WordEncoder:
         for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
             ids, starts = self._pack(e.ids), np.array([a for a, _ in e.offsets], np.int64)
             ends = np.cumsum([len(w) + 1 for w in line])
-            cut = [0, *(np.searchsorted(starts, ends) * self.width).tolist()]
-            out.update((w, ids[cut[i]:cut[i + 1]]) for i, w in enumerate(line))
+            cut = (np.searchsorted(starts, ends) * self.width).tolist()
+            out.update(zip(line, [ids[a:b] for a, b in zip([0, *cut], cut)]))
         return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Serialized ids of each text, with the end id."""
+        """Serialized ids of each text, with the end id.  The batch's distinct
+        words are looked up and, where new, encoded once; a text is then one
+        lookup per word."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        memo, older, end = self.memo, self.older, self._pack([END_ID])
-        missing = {w for words in cut for w in words if w not in memo}
-        own = {w: older[w] for w in missing if w in older}
-        own.update(self._encode(sorted(missing.difference(own))))
-        out = [b"".join([memo[w] if w in memo else own[w] for w in words]) + end for words in cut]
-        if len(memo) + len(own) > _MEMO_ROWS:
-            self.older, self.memo = memo, {}
-        self.memo.update((w, x) for w, x in own.items() if len(w) <= _MEMO_CHARS)
+        new = set().union(*cut).difference(self.memo)
+        own = {w: self.older[w] for w in new if w in self.older}
+        own.update(self._encode(sorted(new.difference(own))))
+        self.memo.update(own)
+        known, end = self.memo.__getitem__, self._pack([END_ID])
+        out = [b"".join(map(known, words)) + end for words in cut]
+        for w in own:
+            if len(w) > _MEMO_CHARS:
+                del self.memo[w]
+        if len(self.memo) > _MEMO_ROWS:
+            self.older, self.memo = self.memo, {}
         return out
 
 
@@ -121,20 +127,29 @@ def _slices(texts: list, most: int = 1 << 20):
         yield start, len(texts)
 
 
+def _window(ids: bytes, width: int) -> bytes:
+    """``SAMPLE_IDS`` ids from a place chosen by the ids' checksum."""
+    room = len(ids) // width - SAMPLE_IDS
+    at = zlib.crc32(ids) % (room + 1) * width if room > 0 else 0
+    return ids[at:at + SAMPLE_IDS * width]
+
+
 def train_dictionary(docs: DataFrame, blob: str, id_col: str = "doc_id", text_col: str = "text",
                      n_docs: int | None = None) -> bytes:
-    """A zstandard dictionary from the leading ``SAMPLE_IDS`` ids of about
-    ``SAMPLE_ROWS`` documents, chosen by a hash of the id (empty if the sample
-    is too small to train on).  It only affects sizes, never contents."""
+    """A zstandard dictionary from ``SAMPLE_IDS`` ids of about ``SAMPLE_ROWS``
+    documents, chosen by a hash of the id, each from a place in the document that
+    its content chooses (empty if the sample is too small to train on).  It only
+    affects sizes, never contents."""
     n = docs.count() if n_docs is None else n_docs
     point = F.pmod(F.xxhash64(F.col(id_col), F.lit(19)), F.lit(1 << 30)) / float(1 << 30)
     sent = docs.sparkSession.sparkContext.broadcast(blob)
 
+    @lean
     def run(batches):
         enc = _encoder(sent.value)
         for b in batches:
             ids = enc.batch(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS * enc.width] for x in ids], pa.binary())], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([_window(x, enc.width) for x in ids], pa.binary())], names=["s"])
     sample = docs.where(point < min(1.0, SAMPLE_ROWS / max(1, n))).select(F.col(text_col).cast("string").alias("t"))
     got = sorted(r["s"] for r in sample.mapInArrow(run, "s binary").collect())     # bounded: SAMPLE_ROWS x SAMPLE_IDS
     try:
@@ -196,6 +211,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     bounds = np.array(sorted(set(cut or [])), np.int64)          # one number per shard
     sent = spark.sparkContext.broadcast((blob, dictionary, bounds))
 
+    @lean
     def encode(batches):
         blob, dictionary, bounds = sent.value
         enc = _encoder(blob)
@@ -212,6 +228,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
                      pa.array([len(x) // enc.width for x in raw], pa.int64()), pa.array([zstd.compress(x) for x in raw], pa.binary())],
                     names=["shard", "id", "n", "frame"])
 
+    @lean
     def pack(batches):
         blob, dictionary, _ = sent.value
         width, digest = _encoder(blob).width, hashlib.sha256(dictionary).digest()
@@ -250,6 +267,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     shards = spark.read.parquet(f"{path}/shards")
     starts = prefix_sum(shards.select("shard", "part", "n_tokens"), ["shard", "part"], "n_tokens", "_start", exclusive=True)
 
+    @lean
     def run(batches):
         for b in batches:
             for shard, part, data in zip(*(c.to_pylist() for c in b.columns)):

@@ -28,6 +28,9 @@ def _jaccard(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
+DOCS_2 = "doc_id bigint, text string"
+
+
 def _brute_classes(pairs):
     """Least id of each component of texts with similarity 0.8 or more."""
     sets = [(i, _shingles(t)) for i, t in pairs]
@@ -116,7 +119,26 @@ def test_op1_odd_rows(odd_docs, no_docs):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5, 5], 6: [5], 7: [7], 8: [8], 9: [9], 10: [10], None: [None]}
     assert minhash.classes(no_docs).count() == 0
     kept = minhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9, 10]
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
+def test_op1_rows_without_ids(llm):
+    """Near copies are found whether their rows have ids or not; one row of each group stays."""
+    texts = _near_group(12, 3, edits=3) + _near_group(8, 4, edits=2)
+    rows_ = [(i if i % 2 else None, t) for i, t in enumerate(texts[:12], 1)] + [(None, t) for t in texts[12:]]
+    rows_ += [(None, "a text of its own without an id at all"), (None, None), (None, " "), (90, "alone"), (90, "alone")]
+    d = llm.createDataFrame(rows_, DOCS_2).withColumn("class_id", F.lit("clash"))
+    number = [10 ** 6 + n if i is None else i for n, (i, _) in enumerate(rows_)]
+    least = dict(_brute_classes([(n, t) for n, (_, t) in zip(number, rows_)]))
+    want = [(i, least[n] if least[n] < 10 ** 6 else None) for n, (i, _) in zip(number, rows_)]
+    assert any(i is None and c is not None for i, c in want) and any(i is not None and c != i for i, c in want)
+    assert sorted(((r.doc_id, r["class_id"]) for r in minhash.classes(d).collect()), key=repr) == sorted(want, key=repr)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(d).collect()]
+    groups = {least[n] for n in number}
+    assert len(kept) == len(groups)
+    for g in groups:
+        mine = {t for n, (_, t) in zip(number, rows_) if least[n] == g}
+        assert sum(t in mine and (g >= 10 ** 6 or i == g) for i, t in kept) == 1
 
 
 def test_components_of_a_long_path_and_stars(llm):

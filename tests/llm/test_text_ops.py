@@ -64,9 +64,26 @@ def test_op5_whole_table(llm, queries, docs, tik):
 
 
 def test_op5_odd_rows(odd_docs, no_docs, tik):
-    run = lambda d: bpe.digests(bpe.decode(bpe.encode(d, RANKS), RANKS))
-    assert rows(run(odd_docs)) == _bpe_rows(odd_docs, tik)
-    assert run(no_docs).count() == 0
+    two = lambda d: bpe.digests(bpe.decode(bpe.encode(d, RANKS), RANKS))
+    one = lambda d: bpe.digests(bpe.round_trip(d, RANKS))                  # noqa: E731
+    for run in (one, two):
+        assert rows(run(odd_docs)) == _bpe_rows(odd_docs, tik)
+        assert run(no_docs).count() == 0
+
+
+def test_bpe_backtracks_through_long_texts_in_linear_time(tik):
+    import time
+    with open(RANKS, "rb") as f:
+        enc = bpe.TextEncoder(f.read())
+    rnd = random.Random(12)
+    for s in ("ab" * 5_000, "abcab" * 3_000, "".join(rnd.choice("abcde") for _ in range(20_000))):
+        assert np.frombuffer(enc(s), "<u4").tolist() == tik.encode_ordinary(s)
+    took = []
+    for n in (100_000, 400_000):
+        t = time.process_time()
+        enc("ab" * (n // 2))
+        took.append(time.process_time() - t)
+    assert took[1] < 12 * took[0]          # four times the text; quadratic work would be sixteen times
 
 
 def _token_rows(d):
@@ -251,6 +268,49 @@ def test_op9_page():
         "Big &amp; Title", "First para with a link in side.", "Short.", "one", "two", "x <y>", "Bold start.", "Next."]
 
 
+def _words(n, s="word"):
+    return " ".join(f"{s}{i}" for i in range(n))
+
+
+def test_op9_listed_words_inside_articles_and_deep_nesting():
+    """Words that often name furniture also name parts of a text; what they hold decides."""
+    tree = htmltext.train_tree(*htmltext.labelled_table())
+
+    def article(inner):
+        return ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><header>Site</header><article>"
+                + inner + "</article><footer>foot text here</footer></body></html>")
+
+    def p(*texts):
+        return "".join(f"<p>{t}</p>" for t in texts)
+    a, b, c = _words(50), _words(40, "b"), _words(5, "c")
+    for page, want in [
+            (article(f"<h1>T</h1>{p(a)}<section id='discussion'><h2>Discussion</h2>{p(a, b)}</section>"), ["T", a, "Discussion", a, b]),
+            (article(f"<h1>T</h1><div class='long-form'>{p(a, b, c)}</div>"), ["T", a, b, c]),
+            (f"<nav><a href='/'>Home</a></nav><div class='long-form'><article><h1>T</h1>{p(a)}</article></div>", ["T", a]),
+            (article(f"<h1>T</h1>{p(a)}<p class='notice-of-motion'>{_words(28, 'm')}</p>{p(b)}"), ["T", a, _words(28, "m"), b]),
+            (article("<div>" + "<div>" * 600 + p(a) + "</div>" * 600 + "</div>" + p(b)), [a, b]),
+            (article(f"<h1>T</h1>{p(a)}<div class='ad'>{_words(8, 'ad')}</div>{p(b)}"), ["T", a, b]),
+            (article(f"<h1>T</h1>{p(a)}<div class='sidebar'>{p(b)}</div>{p(a)}"), ["T", a, a]),
+            (article(f"<h1>T</h1>{p(a)}<section class='comments'>{p(a, b)}</section>"), ["T", a]),
+            (article(f"<h1>T</h1>{p(a)}<div class='main-nav'><a href='/x'>one</a> <a href='/y'>two</a></div>"), ["T", a])]:
+        assert htmltext.main_text(page, tree).split("\n") == want, page[:200]
+
+    def used(node):
+        return {htmltext.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+    assert {"words", "links", "words_after", "box_words", "box_share"} <= used(tree)
+
+
+def test_op9_reads_stray_and_deep_tags_in_linear_time():
+    import time
+    took = []
+    for n in (20_000, 80_000):
+        t = time.process_time()
+        found, _ = htmltext.blocks("<div>" * n + "</b></x></section>" * n + "text" + "</div>" * n)
+        took.append(time.process_time() - t)
+        assert [f.text for f in found] == ["text"]
+    assert took[1] < 12 * took[0]
+
+
 def test_op9_whole_table(llm, queries):
     """The article element's text, cut at its block tags, is the expected text."""
     import html

@@ -49,7 +49,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 2_000           # expected documents in the dictionary's sample
 SAMPLE_IDS = 2_048            # ids of a sampled document
 LEVEL = 3
-_MEMO_ROWS = 300_000
+_MEMO_ROWS = 600_000
 _LINE = 200               # new words encoded by one call
 _MEMO_CHARS = 48
 

@@ -21,6 +21,7 @@ from ragspark.plans.index_plans import State
 from ragspark.plans.model_plans import RANGE_W, _LAT_COLS, _LAT_SQL, _fit_sql
 from ragspark.plans.text_plans import SENT
 from ragspark.sources import catalog as cat
+from ragspark.sources.versions import VersionedTable
 from ragspark.sources import fbin
 from ragspark.sources import scratch
 from ragspark.sources import tables as tb
@@ -240,14 +241,17 @@ upd AS (SELECT mode AS database, slo_ms AS slo, count(*) AS mem_req FROM st WHER
 SELECT database, slo, mem_req FROM base WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.database = base.database AND upd.slo = base.slo)
 UNION ALL SELECT database, slo, mem_req FROM upd""")
 def upsert_mem_req(spark, sf):
-    """Upsert by (database, slo): the later table (days >= 10, without one
+    """Upsert by (database, slo) into a table with a commit log: the later table (days >= 10, without one
     mode) replaces matching keys of the earlier one (days < 15), new keys append."""
     req = fx.requests(spark, sf)
     base = req.where(F.col("run_day") < 15).groupBy(F.col("mode").alias("database"), F.col("slo_ms").alias("slo")) \
         .agg(F.count(F.lit(1)).alias("mem_req"))
     upd = req.where((F.col("run_day") >= 10) & (F.col("mode") != "signup")) \
         .groupBy(F.col("mode").alias("database"), F.col("slo_ms").alias("slo")).agg(F.count(F.lit(1)).alias("mem_req"))
-    return tb.upsert(base, upd, ["database", "slo"])
+    table = VersionedTable(spark, scratch.new_dir(spark, "mem-req"), ["database", "slo"], base.schema)
+    table.upsert(base)
+    table.upsert(upd)
+    return table.read()
 
 
 @_reg("sink_latency_model", f"""WITH {_ST}, {_LAT_SQL}, {_fit_sql('latg', 'gseg')}
@@ -280,9 +284,9 @@ def skip_done(spark, sf):
     (the 8-GPU sweep)."""
     req = fx.requests(spark, sf)
     runs = req.select("mode", "rate", "ngpu").distinct()
-    path = scratch.new_dir(spark, "manifest")
-    req.where(F.col("ngpu") == 8).select("mode", "rate", "ngpu").distinct().write.parquet(path)
-    return tb.todo(runs, spark.read.parquet(path), ["mode", "rate", "ngpu"])
+    done = VersionedTable(spark, scratch.new_dir(spark, "manifest"), ["mode", "rate", "ngpu"], runs.schema)
+    done.upsert(runs.where(F.col("ngpu") == 8))
+    return tb.todo(runs, done.read(), ["mode", "rate", "ngpu"])
 
 
 @_reg("src_tokens_txt", r"""SELECT tok AS token, count(*) AS n FROM (

@@ -75,6 +75,7 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> str:
     """Checkpoint folder + package on the executors; returns the folder."""
     ckpt = ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")     # row ranges of the vector file source
     ship_package(spark)
     return ckpt
 

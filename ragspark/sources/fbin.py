@@ -5,7 +5,9 @@ int32 or int64 ids for ``.ibin``, the width detected from the file size).
 
 ``spark.read.format("fbin").load(path_or_glob)``
     partitions are row ranges (``rowsPerPartition``); each task seeks to its
-    range and yields Arrow batches - no task reads a whole file.  Several
+    range and yields Arrow batches - no task reads a whole file.  Comparisons of
+    the row number with constants are pushed down: only the ranges that can hold
+    such rows are planned and read.  Several
     files are concatenated in numeric-suffix order with a running row number;
     differing dimensions fail at planning.  ``limit`` keeps the first rows and
     fails if the files hold fewer.
@@ -26,8 +28,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan,
+                                    GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
 FLOAT_SCHEMA = "vec_id bigint, embedding array<float>"
@@ -62,6 +64,28 @@ class FbinReader(DataSourceReader):
     def __init__(self, options, ids: bool):
         self.options = options
         self.ids = ids
+        self.first, self.last = 0, (1 << 63) - 1         # row numbers that the filters leave
+
+    def pushFilters(self, filters):
+        """Narrows the row range by the filters on the row number; others are Spark's."""
+        name = ("row_id",) if self.ids else ("vec_id",)
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != name:
+                yield f
+            elif isinstance(f, In) and all(isinstance(v, int) for v in value) and value:
+                self.first, self.last = max(self.first, min(value)), min(self.last, max(value))
+                yield f                                  # the rows between are Spark's to drop
+            elif not isinstance(value, int):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.first, self.last = max(self.first, value), min(self.last, value)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.first = max(self.first, value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self.last = min(self.last, value - isinstance(f, LessThan))
+            else:
+                yield f
 
     def partitions(self):
         files = _files(self.options["path"])
@@ -80,8 +104,9 @@ class FbinReader(DataSourceReader):
         parts, offset = [], 0
         for path, n, d, width in heads:
             take = n if limit is None else max(0, min(n, limit - offset))
-            for s in range(0, take, per):
-                parts.append(_Range(path, s, min(take, s + per), offset, d, width))
+            low, high = max(0, self.first - offset), min(take, self.last - offset + 1)
+            for s in range(low - low % per, high, per):
+                parts.append(_Range(path, max(low, s), min(high, s + per), offset, d, width))
             offset += n
         return parts or [_Range(files[0], 0, 0, 0, heads[0][2], heads[0][3])]
 

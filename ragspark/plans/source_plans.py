@@ -154,33 +154,46 @@ def src_requests(spark, sf):
     return rnd(out.select("rid", "mode", "rate", "ngpu", "input_len", "output_len", "ttft"), 6, "ttft")
 
 
-_SUMMARY_SQL_BODY = """SELECT mode, rate, metric,
-  round(coalesce(avg(value), 0), 6) AS avg, round(coalesce(quantile_cont(value, 0.5), 0), 6) AS p50,
-  round(coalesce(quantile_cont(value, 0.9), 0), 6) AS p90, round(coalesce(quantile_cont(value, 0.95), 0), 6) AS p95
-FROM lg GROUP BY mode, rate, metric"""
+# search mode of each event type (README): hybrid, host, device-only, no search
+_MODES = {"view": "vlite", "click": "cpu", "purchase": "all-gpu", "error": "ded-gpu"}
+_HAS = {"ann": "mode <> 'signup'", "host": "mode IN ('view', 'click')", "slo": "mode <> 'signup'"}
 
 
 def _summary_sql():
+    rows = {m: _HAS["ann"] for m in tb._SEARCH_ROWS} | {m: _HAS["host"] for m in tb._HOST_ROWS} | {"hit_rate": _HAS["slo"]}
+    rows |= {m: "true" for m in tb._LAST_ROWS}
     unp = " UNION ALL ".join(
-        f"SELECT mode, rate, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM st" for m in tel.METRICS)
-    return f"WITH {_ST}, lg AS ({unp}) {_SUMMARY_SQL_BODY}"
+        f"SELECT mode, rate, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM st WHERE {cond}" for m, cond in rows.items())
+    return f"""WITH {_ST}, lg AS ({unp}),
+g AS (SELECT mode, rate, count(*) AS n, max_by(done, rid) - min_by(arrival, rid) AS total_time FROM st GROUP BY mode, rate),
+bs AS (SELECT mode, rate, avg(batch_size) AS b FROM (SELECT DISTINCT mode, rate, batch_id, batch_size FROM st) d GROUP BY mode, rate)
+SELECT mode, rate, metric, round(coalesce(avg(value), 0), 6) AS avg, round(coalesce(quantile_cont(value, 0.5), 0), 6) AS p50,
+  round(coalesce(quantile_cont(value, 0.9), 0), 6) AS p90, round(coalesce(quantile_cont(value, 0.95), 0), 6) AS p95
+FROM lg GROUP BY mode, rate, metric
+UNION ALL SELECT mode, rate, 'avg_batch_size', round(b, 6), NULL, NULL, NULL FROM bs WHERE {_HAS['ann']}
+UNION ALL SELECT mode, rate, 'total_time', round(total_time, 6), NULL, NULL, NULL FROM g
+UNION ALL SELECT mode, rate, 'rps', round(CASE WHEN total_time > 0 THEN n / total_time ELSE 0.0 END, 6), NULL, NULL, NULL FROM g"""
 
 
 def _write_summary(spark, sf):
     req = fx.requests(spark, sf)
     summ = rnd(tel.summarize(req, ["mode", "rate"]), 6, "avg", "p50", "p90", "p95")
     extra = tel.avg_batch(req, ["mode", "rate"]).join(tel.throughput(req, ["mode", "rate"]), ["mode", "rate"])
+    slo = req.groupBy("mode", "rate").agg(F.min("slo_ms").alias("search_slo"))
+    mode = F.create_map(*[F.lit(x) for kv in _MODES.items() for x in kv])[F.col("mode")]
+    extra = rnd(extra.join(slo, ["mode", "rate"]).withColumn("search_mode", mode), 6, "avg_batch_size", "total_time", "rps")
     path = scratch.new_dir(spark, "summary")
     tb.write_summary(summ, extra, path, ["mode", "rate"])
     return path
 
 
 @_reg("sink_summary", f"""WITH {_ST}, runs AS (SELECT DISTINCT mode, rate FROM st)
-SELECT mode, rate, CAST(2 AS BIGINT) AS header_lines, CAST({len(tel.METRICS)} AS BIGINT) AS metric_rows,
-  CAST(3 AS BIGINT) AS short_rows FROM runs""")
+SELECT mode, rate, CAST(3 AS BIGINT) AS header_lines,
+  CAST(CASE WHEN {_HAS['host']} THEN 14 WHEN {_HAS['ann']} THEN 11 ELSE 4 END AS BIGINT) AS metric_rows,
+  CAST(CASE WHEN {_HAS['ann']} THEN 3 ELSE 2 END AS BIGINT) AS short_rows FROM runs""")
 def sink_summary(spark, sf):
-    """Summary CSV per run: '# k=v' header lines, the metric table, then the
-    short rows (batch size, total time, mean rps); counted back by kind."""
+    """Summary CSV per run: '# k=v' header lines, the metric rows that the run's mode
+    has, the short rows (batch size, total time, mean rps); counted back by kind."""
     path = _write_summary(spark, sf)
     lines = spark.read.text(path)
     kind = (F.when(F.col("value").startswith("#"), "header")
@@ -195,7 +208,7 @@ def sink_summary(spark, sf):
 
 @_reg("src_summary", _summary_sql())
 def src_summary(spark, sf):
-    """Summary CSV parsed back: comments split from the body, metric rows typed."""
+    """Summary CSV parsed back: comments split from the body, every metric and short row typed."""
     path = _write_summary(spark, sf)
     return tb.read_summary(spark, path).select("mode", "rate", "metric", "avg", "p50", "p90", "p95")
 
@@ -299,11 +312,9 @@ def src_tokens_txt(spark, sf):
     return toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_catalog_json(path: str) -> None:
-    """Model catalog files in the reference's JSON layout (one per model)."""
+def write_catalog_json(spark, path: str) -> None:
+    """Catalog files in the reference's JSON layout: one per model, one for the devices."""
     import json
-    import os
-    os.makedirs(path, exist_ok=True)
     models = {}
     for m, kind, dev, i, o, g, v in cat.MODEL_PERF:
         mod = models.setdefault(m, {"tput_ceiling": {}, "slo": {}})
@@ -315,24 +326,28 @@ def write_catalog_json(path: str) -> None:
         ent["values"][f"ngpu={g}"] = v
     for m, name, mem, tp in cat.MODELS:
         models[m].update({"name": name, "memory_gb": mem, "tp_size": tp})
-        with open(os.path.join(path, f"{m}.json"), "w") as f:
-            json.dump(models[m], f, indent=2)
+    rows = [(m, json.dumps(v, indent=2)) for m, v in models.items()]
+    spark.createDataFrame(rows, "model string, value string").repartition("model").write.partitionBy("model").text(f"{path}/models")
+    spark.createDataFrame([(json.dumps(dict(cat.GPUS), indent=4),)], "value string").coalesce(1).write.text(f"{path}/devices")
 
 
 _CAT_PERF = cat.values_sql(cat.MODEL_PERF, "model, kind, device, input, output, ngpu, value")
 
 
 @_reg("src_catalog", f"""WITH {_ST}, runs AS (SELECT DISTINCT ngpu, input_len, output_len FROM st)
-SELECT p.model, p.kind, p.device, r.ngpu, r.input_len, r.output_len, p.value FROM runs r
-JOIN {_CAT_PERF.replace(" AS t(", " AS p(")} ON p.input = r.input_len AND p.output = r.output_len AND p.ngpu = r.ngpu""")
+SELECT p.model, p.kind, p.device, r.ngpu, r.input_len, r.output_len, p.value, round(r.ngpu * d.mem_gb, 6) AS total_mem_gb FROM runs r
+JOIN {_CAT_PERF.replace(" AS t(", " AS p(")} ON p.input = r.input_len AND p.output = r.output_len AND p.ngpu = r.ngpu
+JOIN {cat.values_sql(cat.GPUS, "device, mem_gb").replace(" AS t(", " AS d(")} ON d.device = p.device""")
 def src_catalog(spark, sf):
-    """Catalog JSON files (device -> [{input, output, values: {ngpu=N: x}}])
-    read and flattened with explode + regexp, then looked up for every run
-    configuration seen in the request log."""
-    path = scratch.local_path(scratch.new_dir(spark, "catalog"))
-    write_catalog_json(path)
-    _, perf = cat.load_json(spark, path + "/*.json")
+    """Catalog JSON files (models: device -> [{input, output, values: {ngpu=N: x}}];
+    devices: name -> GB) read and flattened with explode + regexp, then looked up
+    for every run configuration seen in the request log."""
+    path = scratch.new_dir(spark, "catalog")
+    write_catalog_json(spark, path)
+    _, perf = cat.load_json(spark, f"{path}/models")
+    devices = cat.load_device_json(spark, f"{path}/devices")
     runs = fx.requests(spark, sf).select("ngpu", "input_len", "output_len").distinct()
     j = runs.join(F.broadcast(perf), (runs.input_len == perf.input) & (runs.output_len == perf.output)
-                  & (runs.ngpu == perf.ngpu))
-    return j.select("model", "kind", "device", runs.ngpu, "input_len", "output_len", "value")
+                  & (runs.ngpu == perf.ngpu)).join(F.broadcast(devices), "device")
+    return rnd(j.select("model", "kind", "device", runs.ngpu, "input_len", "output_len", "value",
+                        (runs.ngpu * F.col("mem_gb")).alias("total_mem_gb")), 6, "total_mem_gb")

@@ -115,9 +115,11 @@ MODEL_FILE_SCHEMA = T.StructType([
 
 
 def load_json(spark: SparkSession, models_glob: str) -> tuple[DataFrame, DataFrame]:
-    """Model files -> (models, model_perf).  Model key = file stem."""
-    raw = (spark.read.schema(MODEL_FILE_SCHEMA).option("multiLine", True).json(models_glob)
-           .withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)))
+    """Model files -> (models, model_perf).  The model is the file's stem, or the
+    folder's ``model=`` where the files lie in such folders."""
+    raw = spark.read.text(models_glob, wholetext=True)
+    own = F.col("model") if "model" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    raw = raw.select(F.from_json("value", MODEL_FILE_SCHEMA).alias("j"), own.alias("model")).select("model", "j.*")
     mods = raw.select("model", "name", "memory_gb", "tp_size")
     parts = []
     for kind, col in (("tput", "tput_ceiling"), ("slo", "slo")):
@@ -141,3 +143,9 @@ def load_index_json(spark: SparkSession, path: str) -> DataFrame:
                     F.col("c.d").cast("int").alias("d"), F.col("c.M").cast("int").alias("m"),
                     F.col("c.msub").cast("int").alias("msub"), F.col("c.ksub").cast("int").alias("ksub"),
                     F.col("c.slo").cast("int").alias("slo_ms")))
+
+
+def load_device_json(spark: SparkSession, path: str) -> DataFrame:
+    """Device file ``{name: GB}`` -> (device, mem_gb)."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json("value", "map<string,double>")).alias("device", "mem_gb"))

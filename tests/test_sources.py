@@ -8,7 +8,10 @@ import pytest
 
 from ragspark.sources import catalog as cat
 from ragspark.sources import fbin
+from pyspark.sql import functions as F
+
 from ragspark.sources import scratch
+from ragspark.sources import tables as tb
 
 
 def test_fbin_round_trip_and_limit(spark):
@@ -102,3 +105,53 @@ def test_a_failed_fbin_write_leaves_the_files_alone(spark):
     open(os.path.join(path, "_staging", "x", "base0.fbin"), "wb").close()
     w.abort([_Written(os.path.join(path, "_staging", "x"), ["base0.fbin"])])
     assert os.listdir(path) == ["base0.fbin"]
+
+
+def test_summary_files_have_the_rows_of_their_mode_and_read_back_whole(spark):
+    metrics = [m for m, _ in tb.CSV_NAMES]
+    runs = [("a", 1, "vlite", 100), ("b", 1, "cpu", 0), ("c", 2, "all-gpu", 150), ("d", 2, None, 150)]
+    extra = spark.createDataFrame([(m, r, s, o, 2.5, 10.0 + r, 0.25) for m, r, s, o in runs],
+                                  "mode string, rate int, search_mode string, search_slo int, avg_batch_size double, total_time double, rps double")
+    summ = spark.createDataFrame([(m, r, x, i + 0.5, i + 0.1, i + 0.2, i + 1e-7) for m, r, _, _ in runs for i, x in enumerate(metrics)],
+                                 "mode string, rate int, metric string, avg double, p50 double, p90 double, p95 double")
+    path = scratch.new_dir(spark, "t-summary")
+    tb.write_summary(summ, extra, path, ["mode", "rate"])
+    text = [r.value for r in spark.read.text(path + "/mode=a/rate=1").collect()]
+    assert text[:4] == ["# mode=a", "# rate=1", "#", "Metric,Avg,P50,P90,P95"]
+    assert [t.split(",")[0] for t in text[4:]] == [
+        "Idle", "Batching", "Pending", "Queuing", "Search", "ANNS E2E", "Quantize", "LUT Computed", "LUT Scan", "Hit Rate",
+        "Batch Size", "LLM Queuing", "Prefill", "TPOT", "End2End", "Total Time", "Avg RPS"]
+    got = {}
+    for r in tb.read_summary(spark, path).collect():
+        got.setdefault(r["mode"], {})[r["metric"]] = (r["avg"], r["p50"], r["p90"], r["p95"])
+    assert {m: len(v) for m, v in got.items()} == {"a": 17, "b": 16, "c": 14, "d": 6}
+    assert "hit_rate" not in got["b"] and "quantize" not in got["c"] and "avg_batch_size" not in got["d"]
+    for m, r, *_ in runs:
+        assert got[m]["total_time"] == (10.0 + r, None, None, None) and got[m]["rps"] == (0.25, None, None, None)
+        i = metrics.index("tpot")
+        assert got[m]["tpot"] == (i + 0.5, i + 0.1, i + 0.2, float(i))
+    head = {r["k"]: r["v_str"] for r in tb.read_summary_header(spark, path).where("mode = 'a'").collect()}
+    assert set(head) == {"mode", "rate"}
+
+
+def test_device_and_model_files(spark):
+    from ragspark.plans.source_plans import write_catalog_json
+    path = scratch.new_dir(spark, "t-catalog")
+    write_catalog_json(spark, path)
+    assert sorted(map(tuple, cat.load_device_json(spark, path + "/devices").collect())) == sorted(cat.GPUS)
+    mods, perf = cat.load_json(spark, path + "/models")
+    assert sorted(r.model for r in mods.collect()) == sorted(m[0] for m in cat.MODELS) and perf.count() == len(cat.MODEL_PERF)
+
+
+def test_a_run_is_written_in_files_of_its_size(spark, monkeypatch):
+    import glob
+    monkeypatch.setattr(tb, "FILE_ROWS", 100)
+    req = spark.range(1500).select("id", F.when(F.col("id") < 1200, "big").otherwise("small").alias("mode"), F.lit(1).alias("rate"))
+    path = scratch.new_dir(spark, "t-requests")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tb.write_requests(req, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = {m: len(glob.glob(f"{scratch.local_path(path)}/mode={m}/rate=1/*.parquet")) for m in ("big", "small")}
+    assert spark.read.parquet(path).count() == 1500 and files["small"] <= 3 < files["big"] <= 12

@@ -28,6 +28,7 @@ so one document may make a shard of its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -67,6 +68,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenizer.encode_special_tokens = False
         self.width = 2 if max(self.tokenizer.get_vocab(True).values()) < 1 << 16 else 4
+        suffix = (json.loads(blob).get("model") or {}).get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocab = self.tokenizer.get_vocab(True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -74,10 +81,24 @@ class WordEncoder:
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Serialized ids of distinct words: many words to a line, each token
-        given to the word that its place in the line belongs to."""
-        lines = [words[i:i + _LINE] for i in range(0, len(words), _LINE)]
-        out = {}
+        """Serialized ids of distinct words: many words to a line.  Where the
+        vocabulary marks tokens that end a word, a line of letters-only words is
+        cut at these marks if there are as many as words; any other line is cut by
+        the places of its tokens."""
+        out, rest = {}, words
+        if self.ends is not None:
+            plain = [w for w in words if w.isalpha()]
+            rest = [w for w in words if not w.isalpha()]
+            lines = [plain[i:i + _LINE] for i in range(0, len(plain), _LINE)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, f"<u{self.width}")
+                cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+                if len(cut) == len(line):          # every word has one at least, so each has one
+                    raw = ids.tobytes()
+                    out.update(zip(line, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+                else:
+                    rest += line
+        lines = [rest[i:i + _LINE] for i in range(0, len(rest), _LINE)]
         for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
             ids, starts = self._pack(e.ids), np.array([a for a, _ in e.offsets], np.int64)
             ends = np.cumsum([len(w) + 1 for w in line])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.ranks import global_rank, prefix_sum
+from ragspark.functions.ranks import global_rank, prefix_sum, snapshot
 
 # Whitespace class and sentence rule shared with the oracle SQL.
 WS = "[ \\t\\n\\r\\f]+"
@@ -64,7 +64,7 @@ def chunk(docs: DataFrame, min_tok: int = 4, key: str = "doc_id") -> DataFrame:
     themselves are ranked."""
     again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) | F.col(key).isNull())
     if again.isEmpty():
-        kept = docs.select(key, kept_sentences(min_tok).alias("_s"))
+        kept = snapshot(docs.select(key, kept_sentences(min_tok).alias("_s")), "sentences")     # cut once
         first = prefix_sum(kept.select(key, F.coalesce(F.size("_s"), F.lit(0)).cast("bigint").alias("_n")).where("_n > 0"),
                            [key], "_n", "_first", exclusive=True).select(key, "_first")
         r = kept.join(first, key).select(key, "_first", F.posexplode("_s").alias("_i", "_c")).select(

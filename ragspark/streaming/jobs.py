@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ragspark.functions.ranks import snapshot
 from ragspark.sources import scratch
 
 
@@ -29,7 +30,9 @@ def stage_files(df: DataFrame, path: str, order: str, files: int | None = None)
     about ``SLICE_ROWS`` rows), one after the other, so file modification times
     follow event order the way an arriving stream's files do (the file source
     reads oldest first)."""
-    files = files or max(4, -(-df.count() // SLICE_ROWS))
+    if files is None:
+        df = snapshot(df, "stage")           # computed once, then counted and cut
+        files = max(4, -(-df.count() // SLICE_ROWS))
     ranged = (df.repartitionByRange(files, order).sortWithinPartitions(order)
               .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
     for k in range(files):

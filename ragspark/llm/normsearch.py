@@ -13,14 +13,17 @@ queries into blocks; each (block, slab) pair that can still hold a result is
 one group.  A first round over the slab of longest vectors gives each query a
 starting bound, and the bounds decide which later slabs its block needs.  A
 group sends on at most k rows per query; nothing of unbounded size is in one
-task or on the driver (one norm per slab and one number per block).
+task or on the driver: a slab's largest length and the least length a block
+needs are rows of a table, whose running count tells how many slabs each block
+reaches.
 
 Defined cases: a vector that is null or holds a null or non-finite component
 takes no part; of rows with one id, the vector with the smallest bytes counts,
 so repeated rows count once and a row is never its own candidate; a null id
-takes no part; shorter vectors are padded with zeros; components are held to
-+-(2^31 - 1) after scaling; ties go to the smaller id; an empty table gives an
-empty table.
+takes no part; shorter vectors are padded with zeros; scaled components are
+whole numbers of any size (one that overflows a double counts as non-finite)
+and products are exact, but a score beyond 64 bits is held to +-(2^63 - 1);
+ties go to the smaller id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,17 +33,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.functions.ranks import global_rank, snapshot
+from ragspark.functions.ranks import global_rank, prefix_sum, snapshot
 
 BUCKET = 1024             # vectors of about one length
 SLAB = 8 * BUCKET         # vectors of one group
 BLOCK = 20 * BUCKET       # ranks whose queries share a block
 COORDINATE_FROM = 0.5     # least cosine from which coordinates prune
-_MOST = 2 ** 31 - 1
+_MOST = 2 ** 63 - 1
+_LARGEST = np.finfo(float).max
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as little-endian int32 if all fit, else as doubles; the last byte tells the width."""
+    if len(x) and np.abs(x).max() >= 2 ** 31:
+        return x.astype("<f8").tobytes() + b"\x08"
+    return x.astype("<i4").tobytes() + b"\x04"
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<f8" if b[-1] == 8 else "<i4", count=len(b) // b[-1])
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Length of each row, without overflow."""
+    top = np.abs(x).max(1, initial=1.0)
+    with np.errstate(over="ignore"):
+        return np.minimum(np.sqrt(np.square(x / top[:, None]).sum(1)) * top, _LARGEST)
 
 
 def integers(table: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
-    """(id, v, norm): floor(scale * x) as little-endian int32 bytes; one row per id."""
+    """(id, v, norm): floor(scale * x) as packed bytes; one row per id."""
     def run(batches):
         for b in batches:
             ids, out, norms = [], [], []
@@ -48,13 +70,13 @@ def integers(table: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> Da
                 if i is None or v is None or any(x is None for x in v):
                     continue
                 x = np.asarray(v, np.float64)
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
                 if not np.isfinite(x).all():
                     continue
-                with np.errstate(over="ignore"):
-                    x = np.clip(np.floor(scale * x), -_MOST, _MOST).astype("<i4")
                 ids.append(i)
-                out.append(x.tobytes())
-                norms.append(float(np.sqrt((x.astype(float) ** 2).sum())))
+                out.append(_packed(x))
+                norms.append(float(_norms(x[None, :])[0]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.float64())],
                 names=["vec_id", "v", "norm"])
@@ -67,17 +89,29 @@ def integers(table: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> Da
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     out = np.zeros((len(column), dim))
     for i, x in enumerate(column.to_pylist()):
-        x = np.frombuffer(x, "<i4")
+        x = _unpacked(x)
         out[i, :len(x)] = x
     return out
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: doubles while every sum stays below 2^53, else int64."""
-    top = np.sqrt((a * a).sum(1)).max(initial=0.0) * np.sqrt((b * b).sum(1)).max(initial=0.0)
-    if top < 2.0 ** 52:
-        return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    """Exact integer products: doubles for pairs whose sums stay below 2^53, int64
+    while they stay below 2^62, else integers of any size held to 64 bits."""
+    long_a, long_b = _norms(a), _norms(b)
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = long_a.max(initial=0.0) * long_b.max(initial=0.0)
+        if top < 2.0 ** 52:
+            return (a @ b.T).astype(np.int64)
+        if max(top, long_a.max(), long_b.max()) < 2.0 ** 62:
+            return a.astype(np.int64) @ b.astype(np.int64).T
+        wide = np.multiply.outer(long_a, long_b) >= 2.0 ** 52
+        out = np.where(wide, 0, a @ b.T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    for i in np.nonzero(wide.any(1))[0]:
+        at = np.nonzero(wide[i])[0]
+        exact = whole(b[at]) @ whole(a[i])
+        out[i, at] = [max(-_MOST, min(_MOST, x)) for x in exact]
+    return out
 
 
 def _best(row: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int):
@@ -94,7 +128,7 @@ class _Search:
 
     def __init__(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int):
         self.q, self.ids, self.k = q, q_ids, k
-        self.norm = np.sqrt((q * q).sum(1))
+        self.norm = _norms(q)
         self.unit = q / np.maximum(self.norm, 1e-300)[:, None]
         self.focus = np.abs(self.unit).argmax(1) if q.shape[1] else np.zeros(len(q), int)
         self.bound = bound.astype(float)                 # at least the k-th best score, -inf if unknown
@@ -102,7 +136,7 @@ class _Search:
         self.verified = 0
 
     def bucket(self, v: np.ndarray, v_ids: np.ndarray) -> None:
-        norm = np.sqrt((v * v).sum(1))                   # descending
+        norm = _norms(v)                                 # descending
         longest = norm[0]
         with np.errstate(divide="ignore", invalid="ignore"):
             need = np.where(self.norm > 0, self.bound / self.norm, np.where(self.bound > 0, np.inf, -np.inf))
@@ -157,7 +191,7 @@ def _kernel(k: int):
         group = group.combine_chunks()
         is_q = group.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
         queries, vectors = group.filter(pa.array(is_q)), group.filter(pa.array(~is_q)).sort_by("rank")
-        dim = max((len(x) // 4 for x in group.column("v").to_pylist()), default=0)
+        dim = max((len(x) // x[-1] for x in group.column("v").to_pylist()), default=0)
         ids = queries.column("vec_id").to_numpy()
         found = _Search(_matrix(queries.column("v"), dim), ids,
                         queries.column("bound").to_numpy(zero_copy_only=False).astype(float), k)
@@ -185,6 +219,17 @@ def _pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return both.groupBy("block", "slab").applyInArrow(_kernel(k), _OUT)
 
 
+def _reach(slabs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, last): the last slab, from 1 on, whose longest vector (slab, m; falling)
+    is as long as a block's queries need (block, m)."""
+    none = F.lit(None).cast("int")
+    need = F.when(F.col("m") > 0, F.col("m") * (1 - 1e-9)).otherwise(F.lit(-1.0))
+    both = slabs.select(none.alias("block"), "m", F.lit(1).cast("bigint").alias("one")).unionByName(
+        blocks.select("block", need.alias("m"), F.lit(0).cast("bigint").alias("one")))
+    counted = prefix_sum(both, [F.col("m").desc(), F.col("one").desc(), "block"], "one", "reached")
+    return counted.where("block is not null and reached > 1").select("block", (F.col("reached") - 1).cast("int").alias("last"))
+
+
 def top_k(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
           scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows.
@@ -193,15 +238,15 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     rows = global_rank(integers(table, id_col, vec_col, scale), [F.col("norm").desc(), "vec_id"], out="rank")
     rows = snapshot(rows.withColumn("slab", F.floor(F.col("rank") / SLAB).cast("int"))
                     .withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")), "norm-buckets")
-    longest = [r["m"] for r in rows.groupBy("slab").agg(F.max("norm").alias("m")).orderBy("slab").collect()]
-    n_blocks = (len(longest) * SLAB + BLOCK - 1) // BLOCK
+    n = rows.count()
+    n_blocks = (n + BLOCK - 1) // BLOCK
     queries = rows.where(is_query)
     blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1))))
     unknown = F.lit(float("-inf"))
     first = _pairs(queries.withColumn("bound", unknown).withColumn("slab", F.lit(0)),
                    rows.where("slab = 0").withColumn("block", blocks), k)
     first = snapshot(first, "norm-first")
-    if len(longest) <= 1:
+    if n <= SLAB:
         return _out(_ranked(first, k))
     bounds = first.groupBy("query_id").agg(F.min("score").alias("b"), F.count(F.lit(1)).alias("n"))
     queries = queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").withColumn(
@@ -210,15 +255,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     # the shortest vector that may still matter to some query of a block
     need = F.when(F.col("norm") > 0, F.col("bound") / F.col("norm")).otherwise(
         F.when(F.col("bound") > 0, F.lit(float("inf"))).otherwise(unknown))
-    least = {r["block"]: r["m"] for r in queries.groupBy("block").agg(F.min(need).alias("m")).collect()}
-    last = {b: max([0, *(s for s, m in enumerate(longest) if m >= least[b] * (1 - 1e-9) or least[b] <= 0)]) for b in least}
-    steps = sorted(last.items())
-    # blocks that reach a slab, as one array literal of block numbers and last slabs
-    reach = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, s in steps])
-    later_q = queries.withColumn("_last", F.element_at(F.filter(reach, lambda x: x["b"] == F.col("block")), 1)["s"])
-    later_q = later_q.where("_last >= 1").withColumn("slab", F.explode(F.sequence(F.lit(1), F.col("_last"))))
-    later_v = rows.where("slab >= 1").withColumn(
-        "block", F.explode(F.transform(F.filter(reach, lambda x: x["s"] >= F.col("slab")), lambda x: x["b"])))
+    reach = _reach(rows.groupBy("slab").agg(F.max("norm").alias("m")), queries.groupBy("block").agg(F.min(need).alias("m")))
+    pairs = snapshot(reach.select("block", F.explode(F.sequence(F.lit(1), "last")).alias("slab")), "norm-reach")
+    later_q = queries.drop("slab").join(pairs, "block")
+    later_v = rows.drop("block").join(pairs, "slab")
     return _out(_ranked(first.unionByName(_pairs(later_q, later_v, k)), k))
 
 

@@ -417,6 +417,22 @@ def test_op8_odd_rows(llm):
     assert [r["vec_id"] for r in normsearch.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [2, 1]
 
 
+def test_op8_extreme_components_are_exact(llm):
+    rng = np.random.default_rng(8)
+    size = rng.choice([1.0, 1e3, 1e9, 1e12, 1e30, 1e300], (160, 1))
+    pairs = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((160, 4)) * size)]
+    pairs += [(500, [2.0 ** 31 / 64, 1.0, 0.0, 0.0]), (501, [-(2.0 ** 31) / 64, 3.0, 0.0, 0.0]), (502, [1.7e308, 1.0, 1.0, 1.0])]
+    d = llm.createDataFrame(pairs, "vec_id bigint, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in pairs if i != 502}       # 64 * 1.7e308 overflows
+    held = lambda x: max(-(2 ** 63 - 1), min(2 ** 63 - 1, x))                        # noqa: E731
+    want = []
+    for q in whole:
+        if q % 20 == 0:
+            best = sorted((-held(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:20]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(rows(normsearch.top_k(d, F.col("vec_id") % 20 == 0))) == sorted(want)
+
+
 # ---- fingerprints ---------------------------------------------------------------
 
 def _brute_edits(pairs):

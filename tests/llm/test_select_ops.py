@@ -317,6 +317,18 @@ def test_op7_learns_from_every_text_of_a_large_corpus(llm):
     assert (moved[2:] > 0).all()
 
 
+def test_op7_scores_do_not_depend_on_the_partitions(docs, monkeypatch):
+    monkeypatch.setattr(grulm, "REPLICA", 40_000)          # several replicas, some in several sittings
+    a, b = ({r["doc_id"]: r["score"] for r in grulm.score(docs.repartition(n)).collect()} for n in (4, 32))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+
+
+def test_op7_vocabulary_grows_with_the_corpus():
+    counts = (10_000_000 / np.arange(1, 200_001)).astype(np.int64)
+    sizes = [grulm.Vocabulary([b""] * len(counts), c, int(c.sum()), len(c), 1, 0).lm_size for c in (counts, counts * 4, counts * 16)]
+    assert sizes[0] > 2_048 and sizes[0] < sizes[1] < sizes[2] <= grulm.LM_WORDS
+
+
 def test_op7_odd_rows(llm, odd_docs, no_docs):
     got = grulm.score(odd_docs).collect()
     assert len(got) == 12 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)

@@ -40,7 +40,10 @@ from ragspark.llm.common import lean
 FIT_ROWS = 3_000          # expected fitting rows per grade
 BITS = 18                 # hashed word features
 STEPS = 300
-LEAST_PHI = 0.2           # of a word feature that gets a weight
+LEAST_PHI = 0.2           # of a common word feature that gets a weight
+LEAST_HITS = 6            # of a rare one within its grade,
+PURITY = 6                # and how much more often it must stand there than elsewhere
+PENALTY = 3e-4            # on squared weights: few fitting rows, small weights
 LEVELS = 10
 _MEMO = 300_000
 
@@ -90,15 +93,19 @@ def _sigmoid(x):
 
 def _telling(hit: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Which features get a weight, from their counts per grade (grades x
-    ``_SPACE``) and the fitting rows per grade: all levels, and a word feature only
-    if it tells one grade from the others: the phi coefficient of its presence is
-    LEAST_PHI or more, and 4 standard errors."""
+    ``_SPACE``) and the fitting rows per grade: all levels, and a word feature that
+    tells one grade from the others by at least 4 standard errors, if either the phi
+    coefficient of its presence is LEAST_PHI or more, or it is typical of a grade:
+    LEAST_HITS fitting rows, and PURITY times its share elsewhere.  So a lexicon
+    of rare words counts like a few common ones, whatever the sample's size."""
     per = np.maximum(per, 1e-9)[:, None].astype(float)
     other, n_other = hit.sum(0) - hit, per.sum() - per
     pool = np.clip(hit.sum(0) / per.sum(), 1e-9, 1 - 1e-9)
-    gap = np.abs(np.minimum(hit / per, 1) - np.minimum(other / n_other, 1))
-    z = (gap / np.sqrt(pool * (1 - pool) * (1 / per + 1 / n_other))).max(0)
-    return ((z >= max(4.0, LEAST_PHI * np.sqrt(round(per.sum())))) | (np.arange(_SPACE) >= _HASHED)) & (hit.sum(0) > 0)
+    gap = np.minimum(hit / per, 1) - np.minimum(other / n_other, 1)
+    z = gap / np.sqrt(pool * (1 - pool) * (1 / per + 1 / n_other))
+    broad = np.abs(z).max(0) >= max(4.0, LEAST_PHI * np.sqrt(round(per.sum())))
+    typical = ((z >= 4) & (hit >= LEAST_HITS) & (hit / per >= PURITY * (other + 0.5) / n_other)).any(0)
+    return (broad | typical | (np.arange(_SPACE) >= _HASHED)) & (hit.sum(0) > 0)
 
 
 def _train(feats: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS) -> OrdinalModel:
@@ -124,7 +131,7 @@ def _train(feats: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: in
         for j in range(n_grades - 1):
             d_cuts[j] = (-(d_hi[grades == j]).sum() + d_lo[grades == j + 1].sum()) / n
         tail = np.cumsum(d_cuts[::-1])[::-1]
-        grads = (np.bincount(col, d_score[row], minlength=len(used)) + 1e-5 * w,
+        grads = (np.bincount(col, d_score[row], minlength=len(used)) + PENALTY * w,
                  np.array([d_cuts.sum()]), tail[1:] * np.exp(gaps))
         for p_, g, s, lr in zip((w, first, gaps), grads, state, (0.1, 0.1, 0.1)):
             s[0] = 0.9 * s[0] + 0.1 * g

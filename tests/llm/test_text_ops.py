@@ -239,6 +239,24 @@ def test_op3_learns_from_the_last_words_of_long_texts(llm):
     assert all(got[i] == (i % 2 == 0) for i in got)
 
 
+def test_op3_learns_a_lexicon_of_rare_words(llm):
+    """50 words, one in each toxic text, so about 2 % of the toxic texts hold each."""
+    from pyspark.sql import functions as F
+    sf = "/root/testdata/sf0.1"
+    labels = llm.read.parquet(f"{sf}/labels.parquet").where(ordinal.grade_of() == 2).select("doc_id").distinct()
+    words = F.array(*[F.lit(f"zq{i}x") for i in range(50)])
+    draw = lambda seed, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n))       # noqa: E731
+    d = llm.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    d = d.withColumn("g", F.when(draw(5, 3) == 0, 1).otherwise(2)).withColumn("text", F.when(F.col("g") == 1, F.concat_ws(
+        " ", "text", F.element_at(words, (draw(1, 50) + 1).cast("int")))).otherwise(F.col("text")))
+    half = draw(77, 2) == 0
+    m = ordinal.fit(d, d.where(half).select("doc_id", F.col("g").alias("grade")), F.col("grade"))
+    got = ordinal.predict(d.where(~half), m).join(d.select("doc_id", "g"), "doc_id").groupBy("g").agg(
+        F.avg(F.col("selected").cast("double")).alias("s")).collect()
+    share = {r["g"]: r["s"] for r in got}
+    assert share[1] < 0.3 and share[2] > 0.95
+
+
 def test_op3_odd_rows(llm, docs, odd_docs, no_docs):
     labels = llm.read.parquet(f"{SF}/labels.parquet")
     m = ordinal.fit(docs, labels, ordinal.grade_of())

@@ -2,13 +2,19 @@
 chunks, a built-in feature-hash embedder, context assembly.
 
 Everything is a JVM expression over whole texts (split/regexp/transform), so
-a long document is just a long row - no Python per row.  The sentence rule
-is a regular expression (end mark followed by whitespace); it differs from a
-trained sentence tokenizer on abbreviations.
+a long document is just a long row - no Python per row; hashed token counts are
+an Arrow pass over whole batches.  The sentence rule is a regular expression
+(end mark followed by whitespace); it differs from a trained sentence tokenizer
+on abbreviations.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +82,24 @@ def chunk(docs: DataFrame, min_tok: int = 4, key: str = "doc_id") -> DataFrame:
                     key, "pos", F.col("sentence").alias("text"), "tokens")
 
 
-def hash_bucket(token: Column, dim: int, seed: str = "42") -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), token)), 1, 8), 16, 10).cast("bigint"),
-                  F.lit(dim))
+def hash_bucket(token: bytes, dim: int, seed: str = "42") -> int:
+    """The first 32 bits of md5("seed:token") modulo dim."""
+    return int.from_bytes(hashlib.md5(seed.encode() + b":" + token, usedforsecurity=False).digest()[:4], "big") % dim
 
 
 def hashed_counts(col: str | Column, dim: int = 64, seed: str = "42") -> Column:
-    """Bag of hashed tokens as an array of dim counts (JVM-side)."""
-    buckets = F.transform(tokens(col), lambda t: hash_bucket(t, dim, seed))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(buckets, lambda b: b == i)))
+    """Bag of hashed tokens as an array of dim counts (dim NULLs for NULL): one
+    hash per distinct token of an Arrow batch, one count over all its tokens."""
+    def count(words: pa.Array) -> pa.Array:
+        flat = words.flatten().cast(pa.large_binary()).dictionary_encode()
+        bucket = np.array([hash_bucket(w, dim, seed) for w in flat.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False))
+        at = row * dim + bucket[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else row
+        counts = np.bincount(at, minlength=len(words) * dim).astype(np.int32)
+        missing = np.repeat(words.is_null().to_numpy(zero_copy_only=False), dim) if words.null_count else None
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim, pa.int32()),
+                                        pa.array(counts, pa.int32(), mask=missing))
+    return F.arrow_udf(count, "array<int>")(tokens(col))
 
 
 def embed(chunks: DataFrame, text: str = "text", dim: int = 64, make_predict_fn=None,
@@ -93,7 +107,7 @@ def embed(chunks: DataFrame, text: str = "text", dim: int = 64, make_predict_fn=
     """TXT6: text -> embedding.  With ``make_predict_fn`` (a model loader in
     the ``predict_batch_udf`` convention) batches of ``batch_size`` texts go
     through the model on the executors; without one, a seeded feature-hash
-    embedding (L2-normalised hashed token counts) is computed JVM-side."""
+    embedding (L2-normalised hashed token counts) is computed."""
     if make_predict_fn is not None:
         from pyspark.ml.functions import predict_batch_udf
         from pyspark.sql import types as T

@@ -1,5 +1,6 @@
 """Interval lookups, k least hashes, chunk numbers and model embeddings against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -108,3 +109,17 @@ def test_a_model_is_loaded_by_the_workers_and_keeps_the_order(spark):
         return run
     sizes = {r.embedding[0] for r in tx.embed(d, make_predict_fn=sized, batch_size=16).collect()}
     assert max(sizes) <= 16.0
+
+
+def test_hashed_counts_hash_a_token_once(spark):
+    """Equal to hashing word by word; the plan has no hash inside a loop over the buckets."""
+    texts = ["a b  a\tc", "", None, "x " * 5000, "é ü é", " lead and trail\n"] + [f"w{i} w{i % 7} end" for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    out = d.select("id", tx.hashed_counts("text", 16).alias("c"))
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.c for r in out.collect()}
+    for i, t in enumerate(texts):
+        want = [0] * 16
+        for w in (t or "").split():
+            want[int(hashlib.md5(f"42:{w}".encode()).hexdigest()[:8], 16) % 16] += 1
+        assert got[i] == ([None] * 16 if t is None else want)

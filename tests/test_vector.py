@@ -1,11 +1,15 @@
 """Vector kernels against numpy brute force; blocked and salted plans equal
 the single-block ones."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ragspark.functions import sizing
+from ragspark.functions import sizing, vecmath
 from ragspark.operators import quantize as QZ
 from ragspark.operators import search as S
 from ragspark.operators import vector as V
@@ -138,3 +142,38 @@ def test_codebook_training_lowers_the_error(spark, data):
         return ((sub - book[None]) ** 2).sum(axis=3).min(axis=2).sum()
     errors = [error(QZ.pq_train(res, iters=i)) for i in (0, 1, 4)]
     assert errors[0] >= errors[1] >= errors[2] and errors[2] < errors[0]
+
+
+def _peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_exact_distances_of_many_pairs_take_bounded_memory():
+    """400,000 chosen pairs of 64 dimensions (205 MB a side if gathered at once)."""
+    rng = np.random.default_rng(3)
+    x, r, ids = rng.normal(size=(20_000, 64)), rng.normal(size=(25, 64)), np.arange(25)
+    got = []
+    assert _peak_mb(lambda: got.append(vecmath.nearest_rows(x, r, ids, 20))) < 150
+    rows, cols, dist = got[0]
+    assert len(rows) == 400_000
+    assert np.array_equal(dist[:2000], vecmath.exact_l2sq(x[rows[:2000]], r[cols[:2000]]))
+
+
+def test_code_scan_of_a_short_list_takes_bounded_memory():
+    """20,000 queries of a list with one member: 32 sub-spaces of 16 words each."""
+    rng = np.random.default_rng(4)
+    words = rng.normal(size=(32, 16, 2))
+    q, code = rng.normal(size=(20_000, 64)), rng.integers(0, 16, (1, 32))
+    as_list = lambda a: pa.array(list(a), pa.list_(pa.float64()))                     # noqa: E731
+    qt = pa.table({"list_id": pa.array(np.zeros(20_000, np.int64)), "qid": pa.array(np.arange(20_000)), "qvec": as_list(q)})
+    vt = pa.table({"vec_id": pa.array([7]), "payload": as_list(code.astype(float))})
+    got = []
+    kernel = S._scan_kernel(10, "pq", SimpleNamespace(value=words))
+    assert _peak_mb(lambda: got.append(kernel(qt, vt))) < 200
+    want = ((q.reshape(-1, 32, 2) - words[np.arange(32), code[0]]) ** 2).sum(axis=(1, 2))
+    assert np.allclose(got[0].column("dist").to_numpy(), want)

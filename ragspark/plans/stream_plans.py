@@ -53,10 +53,16 @@ def _requests(spark, sf) -> DataFrame:
                       "start", "callback", "done", "ann_search")
 
 
-def _stage(spark, df: DataFrame, name: str) -> tuple[DataFrame, T.StructType]:
+def _stage(spark, df: DataFrame, name: str, batch_files: int | None = None) -> tuple[DataFrame, T.StructType]:
+    """``df`` as a file stream.  A micro-batch reads at most ``batch_files`` files;
+    by default one per shuffle partition, so a shuffle task meets about a file's rows."""
     path = scratch.new_dir(spark, f"stream-in-{name}")
-    jobs.stage_files(df, path, "rid")
-    return jobs.file_stream(spark, path, df.schema), df.schema
+    each = jobs.stage_files(df, path, "rid", batch_files=batch_files or _partitions(spark))
+    return jobs.file_stream(spark, path, df.schema, each), df.schema
+
+
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 _REQ_SQL = "rq AS (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS rid FROM events)"

@@ -18,25 +18,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ragspark.functions.ranks import snapshot
+from ragspark.functions.ranks import global_rank, snapshot
 from ragspark.sources import scratch
 
 
-SLICE_ROWS = 250_000
-
-
-def stage_files(df: DataFrame, path: str, order: str, files: int | None = None) -> None:
-    """Write a derived table as slices split by ``order`` ranges (at least 4, of
-    about ``SLICE_ROWS`` rows), one after the other, so file modification times
-    follow event order the way an arriving stream's files do (the file source
-    reads oldest first)."""
-    if files is None:
-        df = snapshot(df, "stage")           # computed once, then counted and cut
-        files = max(4, -(-df.count() // SLICE_ROWS))
-    ranged = (df.repartitionByRange(files, order).sortWithinPartitions(order)
-              .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
-    for k in range(files):
-        ranged.where(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
+SLICE_ROWS = 250_000         # rows of a file
+
+
+def stage_files(df: DataFrame, path: str, order: str, files: int | None = None, batch_files: int = 1) -> int:
+    """Write a derived table as ``files`` (slices; by default at least 4) equal ranges of
+    ``order``, one after the other, so file modification times follow event order
+    the way an arriving stream's files do (the file source reads oldest first).
+
+    A slice is one micro-batch: up to ``batch_files`` files of about ``SLICE_ROWS``
+    rows, so larger input fills the micro-batches before it makes more of them.
+    Rows are cut into a folder per slice in one pass and each slice reads its own
+    folder only.  Returns the files of a slice (one if ``files`` is given)."""
+    spark = df.sparkSession
+    df = snapshot(df, "stage")               # computed once, then counted and ranked
+    n = df.count()
+    slices, each = files, 1
+    if slices is None:
+        slices = max(4, -(-n // (SLICE_ROWS * batch_files)))
+        each = max(1, -(-n // (SLICE_ROWS * slices)))
+    if n == 0:
+        df.coalesce(1).write.mode("append").parquet(path)
+        return each
+    cut = scratch.new_dir(spark, "slices")
+    (global_rank(df, [order], out="_at").withColumn("_slice", F.expr(f"_at * {slices} div {n}")).drop("_at")
+     .write.partitionBy("_slice").parquet(cut))
+    for k in range(slices) if n >= slices else sorted({at * slices // n for at in range(n)}):
+        (spark.read.schema(df.schema).parquet(f"{cut}/_slice={k}").repartition(each).sortWithinPartitions(order)
+         .write.mode("append").parquet(path))
+    return each
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 1) -> DataFrame:

@@ -1,5 +1,8 @@
 """Streaming replays equal their batch counterparts."""
 
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +132,52 @@ def test_log_join_counts_timed_out(spark, reqs):
     assert missing.where(F.col("rid") % 10 != 3).count() == 0
     assert missing.count() > 0
     assert back.where(F.col("done").isNotNull()).count() == g.count()
+
+
+def test_staged_slices_fill_micro_batches_in_order_without_empty_files(spark, monkeypatch):
+    """3500 rows, files of 100, five files in a micro-batch: seven slices of five files."""
+    monkeypatch.setattr(jobs, "SLICE_ROWS", 100)
+    df = spark.range(3500).select(F.pmod(F.col("id") * 1237, F.lit(3500)).alias("rid"))
+    path = scratch.new_dir(spark, "t-slices")
+    each = jobs.stage_files(df, path, "rid", batch_files=5)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("_metadata.file_modification_time").alias("t"))
+    got = sorted(files.collect(), key=lambda r: r.t)
+    on_disk = [f for f in os.listdir(scratch.local_path(path)) if f.endswith(".parquet")]
+    assert each == 5 and len(got) == len(on_disk) == 35 and sum(r.n for r in got) == 3500
+    for k in range(7):
+        part = got[5 * k:5 * k + 5]
+        assert min(r.lo for r in part) == 500 * k and max(r.hi for r in part) == 500 * k + 499
+
+
+def test_staging_few_or_no_rows(spark):
+    for n, files in ((0, None), (2, None), (2, 5), (3, 1)):
+        path = scratch.new_dir(spark, "t-few")
+        jobs.stage_files(spark.range(n).toDF("rid"), path, "rid", files)
+        assert sorted(r.rid for r in spark.read.schema("rid bigint").parquet(path).collect()) == list(range(n))
+
+
+def _unsteady(name: str):
+    """Another value at each computation."""
+    return F.udf(lambda _: uuid.uuid4().hex, "string").asNondeterministic()(name)
+
+
+def test_chunk_store_is_computed_once_for_all_micro_batches(spark):
+    chunks = spark.range(5).select(F.col("id").alias("chunk_id"), _unsteady("id").alias("text"))
+    hits = spark.range(400).select(F.col("id").alias("rid"), (F.col("id") % 5).alias("vec_id"))
+    path, out = scratch.new_dir(spark, "t-hits"), scratch.new_dir(spark, "t-docs")
+    jobs.stage_files(hits, path, "rid", files=4)
+    jobs.docs_stream(jobs.file_stream(spark, path, hits.schema), chunks, out, 4, spark)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 400 and len({(r.vec_id, r.text) for r in rows}) == 5
+
+
+def test_early_emit_deals_both_tiers_by_one_set(spark):
+    """A set of cold queries that differs when it is computed again still gives every request once."""
+    cold = spark.range(200).select(F.col("id").alias("qid")).where(_unsteady("qid") < "8")
+    reqs = spark.range(400).select(F.col("id").alias("rid"), (F.col("id") % 200).alias("qid"))
+    path, out = scratch.new_dir(spark, "t-early"), scratch.new_dir(spark, "t-early-out")
+    jobs.stage_files(reqs, path, "rid", files=2)
+    jobs.early_emit_stream(jobs.file_stream(spark, path, reqs.schema), cold, out, spark)
+    rids = [r.rid for t in ("hot", "cold") for r in spark.read.parquet(f"{out}/{t}").collect()]
+    assert sorted(rids) == list(range(400))

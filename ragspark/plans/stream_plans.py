@@ -126,10 +126,12 @@ def str_log_join(spark, sf):
     """Search and generation logs as two streams joined on rid with
     watermarks and an event-time bound."""
     req = _requests(spark, sf)
-    s_stream, _ = _stage(spark, req.select("rid", "arrival_ts", "start"), "slog")
+    # both sides of a micro-batch lie in the join's state: their size follows the cores, not the input
+    cores = spark.sparkContext.defaultParallelism
+    s_stream, _ = _stage(spark, req.select("rid", "arrival_ts", "start"), "slog", cores)
     g_rows = req.select("rid", F.timestamp_seconds(F.col("done") + F.lit(fx.EPOCH0_US / 1e6)).alias("done_ts"),
                         "callback", "done")
-    g_stream, _ = _stage(spark, g_rows, "glog")
+    g_stream, _ = _stage(spark, g_rows, "glog", cores)
     out = scratch.new_dir(spark, "stream-join")
     jobs.join_logs_stream(s_stream, g_stream, out, spark)
     return rnd(spark.read.parquet(out), 6, "start", "callback", "done")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.ranks import snapshot
 from ragspark.functions.rounding import round_to
 from pyspark.sql import types as T
 
@@ -73,7 +74,7 @@ _SEARCH_SQL = f"""WITH {sp.CENT}, {sp.ASG}, {sp.PROBES}, {sp.FLAT_CAND}, top AS
 def _search_results(spark, sf) -> str:
     """Run STR1 and return the folder holding its results."""
     vecs, cent, asg, blocks = assignment(spark, sf, with_blocks=True)   # centroids collected once
-    members = asg.select("vec_id", "list_id").join(vecs, "vec_id")
+    members = snapshot(asg.select("vec_id", "list_id").join(vecs, "vec_id"), "members")     # not joined again by every batch
     sizes = asg.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     qvecs = fx.queries(spark, sf)
     stream, _ = _stage(spark, _requests(spark, sf).select("rid", "qid", "arrival_ts"), "search")
@@ -82,10 +83,10 @@ def _search_results(spark, sf) -> str:
 
     def search_batch(bdf: DataFrame) -> DataFrame:
         qs = bdf.select("qid").distinct().join(qvecs, "qid")
-        probes = V.nearest(qs, cent, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
-                           ref_vec="centroid", out_base="qid", out_ref="list_id", out_rank="probe_rank",
-                           out_dist="cdist", matrix=blocks)
-        res = S.ivf_search(probes, qs, members, fx.TOPK, mode="flat", sizes=sizes, dim=dim)
+        probes = snapshot(V.nearest(qs, cent, fx.NPROBE, base_id="qid", base_vec="embedding", ref_id="list_id",
+                                    ref_vec="centroid", out_base="qid", out_ref="list_id", out_rank="probe_rank",
+                                    out_dist="cdist", matrix=blocks), "batch-probes")
+        res = S.ivf_search(probes, qvecs, members, fx.TOPK, mode="flat", sizes=sizes, dim=dim)
         return bdf.select("rid", "qid").join(res, "qid")
     jobs.search_stream(stream, search_batch, out, spark)
     return out

@@ -110,8 +110,11 @@ def str_docs(spark, sf):
     store into per-worker folders; contexts assembled from the read-back."""
     res_path = _search_results(spark, sf)
     schema = spark.read.parquet(res_path).schema
-    results = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(res_path)
-    chunks = tx.chunk(fx.table(spark, sf, "documents"))
+    # an epoch wrote a file per shuffle partition: as many make a micro-batch again
+    results = jobs.file_stream(spark, res_path, schema, _partitions(spark))
+    # chunks are numbered over all documents; the store keeps those that the index can return
+    ids = fx.vectors(spark, sf).select(F.col("vec_id").alias("chunk_id"))
+    chunks = tx.chunk(fx.table(spark, sf, "documents")).join(ids, "chunk_id", "left_semi")
     out = scratch.new_dir(spark, "stream-docs")
     jobs.docs_stream(results.select("rid", "rank", "vec_id"), chunks, out, WORKERS, spark)
     back = spark.read.parquet(out)

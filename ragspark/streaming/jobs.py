@@ -83,8 +83,10 @@ def search_stream(requests: DataFrame, search_batch: Callable[[DataFrame], DataF
 # ------------------------------------------------------------------- STR2
 def docs_stream(results: DataFrame, chunks: DataFrame, out_path: str, workers: int, spark: SparkSession) -> None:
     """STR2: stream-static join of results with the chunk store; rows land in
-    per-worker folders (worker = rid mod workers)."""
-    j = (results.join(chunks.select(F.col("chunk_id").alias("vec_id"), "text"), "vec_id")
+    per-worker folders (worker = rid mod workers).  The store is written once, not
+    computed again by every micro-batch."""
+    store = snapshot(chunks.select(F.col("chunk_id").alias("vec_id"), "text"), "store")
+    j = (results.join(store, "vec_id")
          .withColumn("worker", F.pmod("rid", F.lit(workers)).cast("int")))
     run_to_end(j.writeStream.format("parquet").option("path", out_path).partitionBy("worker").outputMode("append"),
                "docs", spark)

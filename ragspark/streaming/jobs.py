@@ -246,7 +246,9 @@ def slo_monitor_stream(requests: DataFrame, latency: str, slo: float, out_path:
 def early_emit_stream(requests: DataFrame, cold_qids: DataFrame, out_path: str, spark: SparkSession) -> None:
     """STR6: two append queries into one sink - requests whose query has no
     cold probe are emitted by the first (answerable from the device tier),
-    the others by the second; every rid lands exactly once."""
+    the others by the second; every rid lands exactly once, both queries being
+    dealt by the same stored set."""
+    cold_qids = snapshot(cold_qids, "cold")
     hot = requests.join(cold_qids, "qid", "left_anti").withColumn("tier", F.lit("hot"))
     cold = requests.join(cold_qids, "qid", "left_semi").withColumn("tier", F.lit("cold"))
     for name, df in (("hot", hot), ("cold", cold)):

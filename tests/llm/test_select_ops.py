@@ -257,6 +257,21 @@ def test_op7_counts_and_base(llm, queries, docs):
     assert score > base                                # better than the counts on texts it has not seen
 
 
+def test_op7_each_distinct_word_of_a_batch_is_looked_up_once():
+    import pyarrow as pa
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(" \n\t\x0b\x0c\r abcDEÉé.日\x1c\x85\x00🙂") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    texts += [None, "", " ", "\n\n", "x" * 100_000]
+    column = pa.array(["sliced off", *texts])[1:]
+    got = []
+    for start, words, place, first in grulm.tokens(column):
+        assert start == len(got) and len(set(words)) == len(words)
+        got += [[words[k] for k in place[a:b]] for a, b in zip(first, first[1:])]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+    assert [len(x[1]) for x in grulm.tokens(pa.array(["A a b"] * 1000))] == [2]
+    assert list(grulm.tokens(pa.array([], pa.string()))) == []
+
+
 def _tiny(lm_words=6):
     words = [b"a", b"b", b"c", b"d", b"e", b"f"][:lm_words]
     return grulm.Vocabulary(words, np.array([9, 7, 5, 4, 3, 2][:lm_words]), 33, 7, 3, 0)

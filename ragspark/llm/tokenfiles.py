@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import prefix_sum
 from ragspark.sources.scratch import new_dir
-from ragspark.llm.common import lean
+from ragspark.llm.common import cut_words, lean, slices
 
 MAGIC = b"TIDS1"
 END_ID = 1
@@ -52,7 +52,8 @@ SAMPLE_IDS = 2_048            # ids of a sampled document
 LEVEL = 3
 _MEMO_ROWS = 600_000
 _LINE = 200               # new words encoded by one call
-_MEMO_CHARS = 48
+_MEMO_BYTES = 48
+_SPACES = bytes.maketrans(b"\n", b" ")
 
 
 class WordEncoder:
@@ -74,55 +75,71 @@ class WordEncoder:
             vocab = self.tokenizer.get_vocab(True)
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         """Serialized ids of distinct words: many words to a line.  Where the
         vocabulary marks tokens that end a word, a line of letters-only words is
         cut at these marks if there are as many as words; any other line is cut by
         the places of its tokens."""
-        out, rest = {}, words
+        out, rest = [b""] * len(words), list(range(len(words)))
         if self.ends is not None:
-            plain = [w for w in words if w.isalpha()]
-            rest = [w for w in words if not w.isalpha()]
+            plain, rest = [], []
+            for k, w in enumerate(words):
+                (plain if w.isalpha() else rest).append(k)
             lines = [plain[i:i + _LINE] for i in range(0, len(plain), _LINE)]
-            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([words[k] for k in x]) for x in lines],
+                                                                       add_special_tokens=False)):
                 ids = np.array(e.ids, f"<u{self.width}")
                 cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
                 if len(cut) == len(line):          # every word has one at least, so each has one
                     raw = ids.tobytes()
-                    out.update(zip(line, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+                    for k, a, b in zip(line, [0, *cut], cut):
+                        out[k] = raw[a:b]
                 else:
                     rest += line
         lines = [rest[i:i + _LINE] for i in range(0, len(rest), _LINE)]
-        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join([words[k] for k in x]) for x in lines],
+                                                              add_special_tokens=False)):
             ids, starts = self._pack(e.ids), np.array([a for a, _ in e.offsets], np.int64)
-            ends = np.cumsum([len(w) + 1 for w in line])
+            ends = np.cumsum([len(words[k]) + 1 for k in line])
             cut = (np.searchsorted(starts, ends) * self.width).tolist()
-            out.update(zip(line, [ids[a:b] for a, b in zip([0, *cut], cut)]))
+            for k, a, b in zip(line, [0, *cut], cut):
+                out[k] = ids[a:b]
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
+    def batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Serialized ids of each text, with the end id.  The batch's distinct
-        words are looked up and, where new, encoded once; a text is then one
-        lookup per word."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*cut).difference(self.memo)
-        own = {w: self.older[w] for w in new if w in self.older}
-        own.update(self._encode(sorted(new.difference(own))))
-        self.memo.update(own)
-        known, end = self.memo.__getitem__, self._pack([END_ID])
-        out = [b"".join(map(known, words)) + end for words in cut]
-        for w in own:
-            if len(w) > _MEMO_CHARS:
-                del self.memo[w]
+        words are looked up and, where new, encoded once; the ids are then
+        gathered for all texts together."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words, place, first = cut_words(texts, _SPACES)
+        ids = list(map(self.memo.get, words))
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            ids[k] = self.older.get(words[k])
+            if ids[k] is not None:
+                self.memo[words[k]] = ids[k]
+        new = [k for k, x in enumerate(ids) if x is None]
+        fresh = b" ".join([words[k] for k in new]).decode().split(" ") if new else []
+        for k, x in zip(new, self._encode(fresh)):
+            ids[k] = x
+            if len(words[k]) <= _MEMO_BYTES:
+                self.memo[words[k]] = x
+        ids.append(self._pack([END_ID]))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        begin, table = np.cumsum(size) - size, np.frombuffer(b"".join(ids), f"<u{self.width}")
+        said = np.insert(place, first[1:], len(words))               # an end after each text
+        n = size[said]
+        upto = np.cumsum(n)
+        raw = table[np.repeat(begin[said] - (upto - n), n) + np.arange(n.sum())].tobytes()
+        cut = np.concatenate(([0], upto[first[1:] + np.arange(len(texts))] * self.width)).tolist()
         if len(self.memo) > _MEMO_ROWS:
             self.older, self.memo = self.memo, {}
-        return out
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
 
 _BY_KEY: dict[str, WordEncoder] = {}
@@ -135,19 +152,6 @@ def _encoder(blob: str) -> WordEncoder:
     return _BY_KEY[key]
 
 
-def _slices(texts: list, most: int = 1 << 20):
-    """Slices of a batch of about ``most`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size > most:
-            yield start, i
-            start = i
-            size = 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _window(ids: bytes, width: int) -> bytes:
     """``SAMPLE_IDS`` ids from a place chosen by the ids' checksum."""
     room = len(ids) // width - SAMPLE_IDS
@@ -169,8 +173,9 @@ def train_dictionary(docs: DataFrame, blob: str, id_col: str = "doc_id", text_co
     def run(batches):
         enc = _encoder(sent.value)
         for b in batches:
-            ids = enc.batch(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([_window(x, enc.width) for x in ids], pa.binary())], names=["s"])
+            for i, j in slices(b.column(0)):
+                ids = enc.batch(b.column(0).slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([_window(x, enc.width) for x in ids], pa.binary())], names=["s"])
     sample = docs.where(point < min(1.0, SAMPLE_ROWS / max(1, n))).select(F.col(text_col).cast("string").alias("t"))
     got = sorted(r["s"] for r in sample.mapInArrow(run, "s binary").collect())     # bounded: SAMPLE_ROWS x SAMPLE_IDS
     try:
@@ -239,11 +244,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)
                                         if dictionary else None, write_checksum=False)
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in _slices(texts):
+            keys, texts = b.column(0), b.column(1)
+            for i, j in slices(texts):
                 ids = keys.slice(i, j - i)
                 known = np.array([bounds[0] if x is None else x for x in ids.to_pylist()] if len(bounds) else [0] * (j - i))
-                raw = enc.batch(texts[i:j])
+                raw = enc.batch(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.searchsorted(bounds, known), pa.int64()), ids,
                      pa.array([len(x) // enc.width for x in raw], pa.int64()), pa.array([zstd.compress(x) for x in raw], pa.binary())],

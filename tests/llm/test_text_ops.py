@@ -135,6 +135,30 @@ def test_op4_words_as_the_library(odd_docs):
         assert np.frombuffer(got, "<u2").tolist() == t.encode(x or "", add_special_tokens=False).ids + [1], repr(x)
 
 
+def test_op4_each_distinct_word_of_a_batch_is_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+    w = tokenfiles.WordEncoder(open(WORDS, encoding="utf-8").read())
+    texts = ["The cat,\nthe dog  the cat,", None, " ", "dog" * 40] * 200
+    alone = [w.batch([t])[0] for t in texts[:4]]
+    w.memo, w.older = Counted(), w.memo
+    assert w.batch(pa.array(["sliced off", *texts])[1:]) == alone * 200
+    assert w.memo.asked == 5                            # The, cat + comma, the, dog, the long word
+    monkeypatch.setattr(tokenfiles, "_MEMO_ROWS", 2)    # forgotten words are encoded again
+    assert [w.batch([t])[0] for t in texts[:8]] == alone * 2
+    assert w.batch(pa.array([], pa.string())) == []
+
+
 def test_op2_held_out_accuracy(llm, queries, docs):
     got = {r["doc_id"]: r for r in queries["op2_ecoc_language"](llm, SF).collect()}
     held = [(i, x) for i, x in docs.select("doc_id", "lang").collect() if got[i]["held_out"]]

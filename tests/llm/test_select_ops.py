@@ -324,6 +324,69 @@ def test_op7_state_is_carried_and_lanes_do_not_matter():
     assert abs(split - together[2]) > 1e-3             # a cut document is another one
 
 
+def _window(words=1500):
+    """A network of many classes and the ids of one full training window."""
+    counts = (100_000 / np.arange(1, words + 1)).astype(np.int64)
+    v = grulm.Vocabulary([b"%d" % i for i in range(words)], counts, int(counts.sum()) + 128, words + 1, 128, 0)
+    rng = np.random.default_rng(3)
+    share = np.concatenate(([20_000, 0], counts)) / (20_000 + counts.sum())
+    return grulm.new_net(v), [rng.choice(words + 2, 23, p=share).astype(np.int32) for _ in range(128)]
+
+
+def test_op7_a_window_takes_few_calls_per_class():
+    """Arithmetic on whole windows: the softmax of a class is three products (47 calls per class before)."""
+    import sys
+    net, ids = _window()
+    grown, calls = np.full(net.flat().size, 1e-8, np.float32), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+    once = lambda n: grulm.train_ids(net, grown, [np.tile(x, n) for x in ids])
+    once(1)
+    by_windows = []
+    for n in (2, 12):                                      # windows
+        calls[0] = 0
+        sys.setprofile(count)
+        once(n)
+        sys.setprofile(None)
+        by_windows.append(calls[0])
+    classes = len(net.first) - 1
+    assert classes > 30 and (by_windows[1] - by_windows[0]) / 10 < 25 * classes
+
+
+def test_op7_rows_of_a_key_are_added_up():
+    rng = np.random.default_rng(5)
+    keys = np.concatenate((rng.integers(3, 400, 900), np.full(70, 2), np.arange(500, 520), np.repeat([600, 601], [8, 9])))
+    rng.shuffle(keys)
+    rows = rng.standard_normal((len(keys), 6)).astype(np.float32)
+    got, sums = grulm._sum_by(rows, keys, grulm.Space())
+    want = np.zeros((602, 6))
+    np.add.at(want, keys, rows)
+    assert got.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, want[got], atol=1e-4)
+
+
+def test_op7_buffers_are_used_again():
+    space = grulm.Space()
+    a = space("a", 10, 4)
+    assert space("a", 3, 5).base is a.base and space("b", 10, 4).base is not a.base
+    assert space("a", 100, 4).shape == (100, 4)
+
+
+def test_op7_odd_lanes_make_whole_windows():
+    """Lanes longer than the blocks that windows are cut from, and lanes that end early."""
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(2, 8, n).astype(np.int32) for n in (5000, 3, 0, 1700)]
+    seen = [[] for _ in ids]
+    for x, y, d in grulm.Lanes.deal(ids, 3).windows(24):
+        assert x.shape == y.shape == d.shape and len(x) <= 24
+        for lane in range(x.shape[1]):
+            for doc, target in zip(d[:, lane].tolist(), y[:, lane].tolist()):
+                assert (doc < 0) == (target < 0)
+                if doc >= 0:
+                    seen[doc].append(target)
+    assert seen == [[*x.tolist(), grulm.END] for x in ids]
+
+
 def test_op7_learns_from_every_text_of_a_large_corpus(llm):
     """20 million learning tokens by the counts: the words of all three texts move."""
     v = grulm.Vocabulary([b"a", b"b", b"c", b"d", b"e", b"f"], np.array([9, 7, 5, 4, 3, 2]), 20_000_000, 7, 3, 0)

@@ -102,6 +102,21 @@ def test_kmeans_inertia_non_increasing(spark, data):
     assert all(b <= a + 1e-9 for a, b in zip(inertia, inertia[1:]))
 
 
+@pytest.mark.parametrize("cap", (None, "1"))
+def test_a_list_without_members_keeps_its_centroid(spark, cap):
+    """Of two equal centroids the smaller list takes all members; the other stays as it is."""
+    vecs = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(6)], "vec_id bigint, embedding array<float>")
+    cent = spark.createDataFrame([(0, [0.0, 3.0]), (1, [0.0, 3.0]), (2, [9.0, 9.0])], "list_id bigint, centroid array<float>")
+    if cap:
+        spark.conf.set("ragspark.broadcast.capBytes", cap)
+    try:
+        _, got = QZ.kmeans(vecs, cent, iters=3)
+        rows = {r.list_id: (list(r.centroid), r.n_members) for r in got.collect()}
+    finally:
+        spark.conf.unset("ragspark.broadcast.capBytes")
+    assert rows == {0: ([0.5, 1.0], 6), 1: ([0.0, 3.0], 0), 2: ([9.0, 9.0], 0)}
+
+
 def test_ties_go_to_the_smaller_id_for_any_layout(spark):
     """200 equal vectors and a few others: the k best are the least ids."""
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(i, [float(i), 0.0, 1.0]) for i in range(200, 210)]

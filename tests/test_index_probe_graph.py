@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragspark.functions import sizing
+from ragspark.functions import sizing, vecmath
 from ragspark.functions.stats import order_statistic
 from ragspark.operators import graph as G
 from ragspark.operators import index_table as IX
@@ -85,6 +85,53 @@ def test_large_lists_and_hot_lists_give_the_same_rows(spark, data):
     assert got == want
 
 
+def test_queries_of_many_lists_go_to_blocks_of_lists(spark, data, monkeypatch):
+    """The same rows as lists scanned one by one, with repeated queries, vectors and probes, lists of
+    many cells, probed lists without members; candidates follow the cells, not the probes."""
+    _, vecs, cent, qs = data
+    more = vecs.unionByName(vecs.where("vec_id % 5 = 0"))
+    qs = qs.unionByName(qs.where("qid % 9 = 0"))
+    probes = V.nearest(qs, cent, 10, **NEAR).where("(qid + list_id) % 7 > 0").select("qid", "list_id")
+    probes = probes.unionByName(spark.createDataFrame([(0, 77), (3, 77), (9999, 1)], "qid bigint, list_id bigint"))
+    members = V.assign_carrying(more, cent)
+
+    def scan():
+        index = IX.build(members, "embedding", 8)
+        cand = IX.scan(index, probes, qs, 5)
+        rows = (cand.count(), sorted(map(tuple, cand.where("list_id < 0 or list_id > 11").collect())), index.salts,
+                _rows(V.merge_topk(cand.drop("list_id"), 5), "qid", "rank", "vec_id", "dist"))
+        home = {(r.vec_id, r.list_id) for r in members.select("vec_id", "list_id").collect()}
+        assert {(r.vec_id, r.list_id) for r in cand.select("vec_id", "list_id").distinct().collect()} <= home
+        index.drop()
+        return rows
+    n, strange, salts, want = scan()
+    assert salts == 1 and not strange
+    monkeypatch.setattr(IX, "MANY", 2)
+    for vectors in (400, 40):                    # of a block: lists of one cell, of several
+        spark.conf.set(sizing.BLOCK_KEY, str(8 * 16 * vectors))
+        try:
+            blocks, strange, salts, got = scan()
+        finally:
+            spark.conf.unset(sizing.BLOCK_KEY)
+        assert got == want and not strange and (salts > 1) == (vectors == 40)
+        if vectors == 400:
+            assert blocks < 0.8 * n
+
+
+def test_best_rows_of_several_sets_equal_those_of_one():
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(0, 3, (400, 4)).astype(float), rng.integers(0, 3, (30, 4)).astype(float)     # many ties
+    ids = rng.permutation(400)
+    want = vecmath.nearest_rows(q, x, ids, 7)
+    for held in (1, 100, 10_000):
+        best = vecmath.Best(q, 7, held)
+        for s in range(0, 400, 3 if held == 1 else 90):
+            best.add(np.arange(30), x[s:s + (3 if held == 1 else 90)], ids[s:s + (3 if held == 1 else 90)], s)
+        got = best.rows()
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert len(vecmath.Best(q, 7).rows()[0]) == 0
+
+
 def test_clustered_codes_score_as_numpy(spark, data):
     x, vecs, cent, qs = data
     res = V.assign_carrying(vecs, cent)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranks import global_rank, prefix_sum, snapshot
+from ragspark.operators.placement import maybe_broadcast
 
 # Whitespace class and sentence rule shared with the oracle SQL.
 WS = "[ \\t\\n\\r\\f]+"
@@ -60,26 +61,60 @@ def kept_sentences(min_tok: int = 4, text: str = "text") -> Column:
     return F.filter(full, lambda s: s["tokens"] >= min_tok)
 
 
-def chunk(docs: DataFrame, min_tok: int = 4, key: str = "doc_id") -> DataFrame:
+def chunk(docs: DataFrame, min_tok: int = 4, key: str = "doc_id", ids: DataFrame | None = None) -> DataFrame:
     """TXT5: sentences with >= min_tok tokens numbered densely in (doc, position)
     order -> (chunk_id, chunk_key (12 digits), doc_id, pos, text).
 
     Only each document's number of sentences is ranked; a document then adds its
     first number to the positions in its own array, so no text is sorted.  Keys
     that are repeated or null have no place of their own: then the sentences
-    themselves are ranked."""
+    themselves are ranked.
+
+    With ``ids`` (chunk_id) only these chunks are returned.  All documents are counted
+    and numbered still, but only those that hold one of them are cut once more,
+    so neither the text of the others nor their sentences are stored or shuffled."""
     again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) | F.col(key).isNull())
-    if again.isEmpty():
+    if not again.isEmpty():
+        r = global_rank(min_tokens(split_sentences(docs, key=key), min_tok), [key, "pos"], out="chunk_id")
+    elif ids is None:
         kept = snapshot(docs.select(key, kept_sentences(min_tok).alias("_s")), "sentences")     # cut once
-        first = prefix_sum(kept.select(key, F.coalesce(F.size("_s"), F.lit(0)).cast("bigint").alias("_n")).where("_n > 0"),
-                           [key], "_n", "_first", exclusive=True).select(key, "_first")
-        r = kept.join(first, key).select(key, "_first", F.posexplode("_s").alias("_i", "_c")).select(
-            (F.col("_first") + F.col("_i")).alias("chunk_id"), key, F.col("_c.pos").alias("pos"),
-            F.col("_c.sentence").alias("sentence"), F.col("_c.tokens").alias("tokens"))
+        r = _numbered(kept.join(_firsts(kept, key).select(key, "_first"), key), key)
     else:
-        r = global_rank(min_tokens(split_sentences(docs, key=key), min_tok), [key, "pos"], out="chunk_id")
-    return r.select("chunk_id", F.lpad(F.col("chunk_id").cast("string"), 12, "0").alias("chunk_key"),
-                    key, "pos", F.col("sentence").alias("text"), "tokens")
+        counts = snapshot(docs.select(key, F.size(kept_sentences(min_tok)).alias("_n")), "sentence-counts")
+        held = snapshot(_holders(_firsts(counts, key), ids, key), "holders")
+        # at most a document per id
+        held = maybe_broadcast(held, held.count(), 64)
+        r = _numbered(docs.join(held, key).select(key, "_first", kept_sentences(min_tok).alias("_s")), key)
+    out = r.select("chunk_id", F.lpad(F.col("chunk_id").cast("string"), 12, "0").alias("chunk_key"),
+                   key, "pos", F.col("sentence").alias("text"), "tokens")
+    return out if ids is None else out.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+
+
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _first, _n): the number of a document's first sentence and how many it has (one at
+    least), from its sentences ``_s`` or their number ``_n``."""
+    n = F.col("_n") if "_n" in rows.columns else F.size("_s")
+    return prefix_sum(rows.select(key, F.coalesce(n, F.lit(0)).cast("bigint").alias("_n")).where("_n > 0"),
+                      [key], "_n", "_first", exclusive=True).select(key, "_first", "_n")
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(chunk_id, key, pos, sentence, tokens) of documents with their sentences and first number."""
+    # each has a sentence; posexplode would filter on that, and so cut texts below the join that leaves most out
+    return rows.select(key, "_first", F.posexplode_outer("_s").alias("_i", "_c")).select(
+        (F.col("_first") + F.col("_i")).alias("chunk_id"), key, F.col("_c.pos").alias("pos"),
+        F.col("_c.sentence").alias("sentence"), F.col("_c.tokens").alias("tokens"))
+
+
+_SPAN = 1024        # chunk numbers of a span, by which numbers meet the documents
+
+
+def _holders(firsts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(key, _first) of the documents that hold one of the chunks ``ids``."""
+    span = lambda c: F.floor(c / _SPAN).cast("bigint")                             # noqa: E731
+    docs = firsts.withColumn("_span", F.explode(F.sequence(span(F.col("_first")), span(F.col("_first") + F.col("_n") - 1))))
+    wanted = ids.select("chunk_id", span(F.col("chunk_id")).alias("_span"))
+    return docs.join(wanted, "_span").where("chunk_id >= _first and chunk_id < _first + _n").select(key, "_first").distinct()
 
 
 def hash_bucket(token: bytes, dim: int, seed: str = "42") -> int:

@@ -87,7 +87,7 @@ def _search_results(spark, sf) -> str:
                                     ref_vec="centroid", out_base="qid", out_ref="list_id", out_rank="probe_rank",
                                     out_dist="cdist", matrix=blocks), "batch-probes")
         res = S.ivf_search(probes, qvecs, members, fx.TOPK, mode="flat", sizes=sizes, dim=dim)
-        return bdf.select("rid", "qid").join(res, "qid")
+        return jobs.per_request(bdf.select("rid", "qid"), res)
     jobs.search_stream(stream, search_batch, out, spark)
     return out
 
@@ -114,14 +114,12 @@ def str_docs(spark, sf):
     results = jobs.file_stream(spark, res_path, schema, _partitions(spark))
     # chunks are numbered over all documents; the store keeps those that the index can return
     ids = fx.vectors(spark, sf).select(F.col("vec_id").alias("chunk_id"))
-    chunks = tx.chunk(fx.table(spark, sf, "documents")).join(ids, "chunk_id", "left_semi")
+    chunks = tx.chunk(fx.table(spark, sf, "documents"), ids=ids)
     out = scratch.new_dir(spark, "stream-docs")
-    jobs.docs_stream(results.select("rid", "rank", "vec_id"), chunks, out, WORKERS, spark)
-    back = spark.read.parquet(out)
-    g = back.groupBy("rid", "worker").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_s"),
-                                           F.count(F.lit(1)).alias("n_docs"))
-    return g.select("rid", F.col("worker").cast("int").alias("worker"), "n_docs",
-                    F.md5(F.trim(F.array_join(F.col("_s.text"), " "))).alias("ctx_md5"))
+    jobs.docs_stream(results.select("rid", "qid", "rank", "vec_id"), chunks, out, WORKERS, spark)
+    back = spark.read.schema(jobs.DOCS_OUT).parquet(out)
+    return back.select("rid", "worker", F.size("docs").cast("bigint").alias("n_docs"),
+                       F.md5(F.trim(F.array_join(F.col("docs.text"), " "))).alias("ctx_md5"))
 
 
 @_reg("str_log_join", f"""WITH {sp.requests_cte()}

@@ -76,20 +76,51 @@ def search_stream(requests: DataFrame, search_batch: Callable[[DataFrame], DataF
     with overwrite, so a retried epoch replaces, never duplicates."""
     def handle(bdf: DataFrame, epoch: int) -> None:
         res = search_batch(bdf)
-        res.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        res.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(f"{out_path}/epoch={epoch}")
     run_to_end(requests.writeStream.foreachBatch(handle), "search", spark)
 
 
+def per_request(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """The result rows of every request's query.  A query's rows travel as one and are
+    taken apart after the join, so a request's rows lie in one file."""
+    rest = [c for c in results.columns if c != "qid"]
+    lists = results.groupBy("qid").agg(F.collect_list(F.struct(*rest)).alias("_r"))
+    return requests.join(lists, "qid").select(*requests.columns, F.inline("_r"))
+
+
 # ------------------------------------------------------------------- STR2
+DOCS_OUT = "rid bigint, docs array<struct<rank: bigint, text: string>>, worker int"
+
+
 def docs_stream(results: DataFrame, chunks: DataFrame, out_path: str, workers: int, spark: SparkSession) -> None:
     """STR2: stream-static join of results with the chunk store; rows land in
     per-worker folders (worker = rid mod workers).  The store is written once, not
-    computed again by every micro-batch."""
+    computed again by every micro-batch.
+
+    Results (rid, rank, vec_id) give a row per result.  With their query ``qid`` they give
+    a row per request (``DOCS_OUT``): a request's results lie in one file (``per_request``),
+    so in one micro-batch, whose texts meet per query, not per request; a query's
+    requests are written side by side, where their equal texts compress.  An
+    epoch then has its own folder, written with overwrite, so a retried epoch replaces,
+    never duplicates."""
     store = snapshot(chunks.select(F.col("chunk_id").alias("vec_id"), "text"), "store")
-    j = (results.join(store, "vec_id")
-         .withColumn("worker", F.pmod("rid", F.lit(workers)).cast("int")))
-    run_to_end(j.writeStream.format("parquet").option("path", out_path).partitionBy("worker").outputMode("append"),
-               "docs", spark)
+    worker = F.pmod("rid", F.lit(workers)).cast("int")
+    if "qid" not in results.columns:
+        j = results.join(store, "vec_id").withColumn("worker", worker)
+        run_to_end(j.writeStream.format("parquet").option("path", out_path).partitionBy("worker").outputMode("append"),
+                   "docs", spark)
+        return
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def handle(bdf: DataFrame, epoch: int) -> None:
+        top = bdf.select("qid", "rank", "vec_id").distinct()
+        docs = top.join(store, "vec_id").repartition(parts, "qid").groupBy("qid").agg(
+            F.array_sort(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), "text"))).alias("docs"))
+        asked = bdf.select("rid", "qid").distinct().repartition(parts, "qid")
+        (asked.join(docs, "qid").withColumn("worker", worker)
+         .sortWithinPartitions("worker", "qid", "rid").select("rid", "docs", "worker")
+         .write.mode("overwrite").option("compression", "zstd").partitionBy("worker").parquet(f"{out_path}/epoch={epoch}"))
+    run_to_end(results.writeStream.foreachBatch(handle), "docs", spark)
 
 
 # ------------------------------------------------------------------- STR3

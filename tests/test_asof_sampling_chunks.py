@@ -123,3 +123,21 @@ def test_hashed_counts_hash_a_token_once(spark):
         for w in (t or "").split():
             want[int(hashlib.md5(f"42:{w}".encode()).hexdigest()[:8], 16) % 16] += 1
         assert got[i] == ([None] * 16 if t is None else want)
+
+
+def test_wanted_chunks_are_cut_alone(spark, monkeypatch):
+    """Chunks asked for by number equal those of the whole numbering; no sentence is stored for it."""
+    rows = [(d * 3 % 50, " ".join(f"Word{i} of document {d} stands here." for i in range(d * d * 40 % 90 + (1500 if d == 4 else 0))))
+            for d in range(50) if d != 7] + [(500, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    every = {r.chunk_id: tuple(r) for r in tx.chunk(docs).collect()}
+    n, stored, keep = len(every), [], tx.snapshot
+    ids = [0, 1, n // 3, n // 3, n // 2, n - 1, n, n + 5000, -4, None]
+    monkeypatch.setattr(tx, "snapshot", lambda df, name: stored.append(dict(df.dtypes)) or keep(df, name))
+    wanted = spark.createDataFrame([(i,) for i in ids], "chunk_id bigint")
+    got = tx.chunk(docs, ids=wanted).collect()
+    assert sorted(map(tuple, got)) == sorted(every[i] for i in {i for i in ids if i is not None and 0 <= i < n})
+    assert n > 2500 and stored and not any(t.startswith(("array", "string")) for s in stored for t in s.values())
+    again = docs.unionByName(docs.where("doc_id = 3"))                       # a repeated key: sentences are ranked
+    assert {r.chunk_id for r in tx.chunk(again, ids=wanted).collect()} == {0, 1, n // 3, n // 2, n - 1, n} - {
+        i for i in (n,) if i >= tx.chunk(again).count()}

@@ -181,3 +181,27 @@ def test_early_emit_deals_both_tiers_by_one_set(spark):
     jobs.early_emit_stream(jobs.file_stream(spark, path, reqs.schema), cold, out, spark)
     rids = [r.rid for t in ("hot", "cold") for r in spark.read.parquet(f"{out}/{t}").collect()]
     assert sorted(rids) == list(range(400))
+
+
+def test_documents_of_a_request_are_stored_as_one_row(spark):
+    """Results written by the search sink, a chunk that the store lacks, a query without any; a row
+    per request in its worker's folder, so the contexts need no shuffle."""
+    req = spark.createDataFrame([(r, r % 7) for r in range(90)], "rid bigint, qid bigint").repartition(5, "rid")
+    hits = [(q, k, 10 * q + k, float(k)) for q in range(6) for k in range(3)] + [(6, 0, 999, 0.0)]
+    res = spark.createDataFrame(hits, "qid bigint, rank bigint, vec_id bigint, dist double").repartition(6, "rank")
+    src = scratch.new_dir(spark, "t-docs-in")
+    rows = jobs.per_request(req, res)
+    jobs.search_stream(_stream(spark, req, "docs"), lambda b: jobs.per_request(b, res), src, spark)
+    assert sorted(map(tuple, rows.select("rid", "rank", "vec_id").collect())) == sorted(
+        (r, k, v) for r in range(90) for q, k, v, _ in hits if q == r % 7)
+    files = spark.read.parquet(src).groupBy("rid").agg(F.countDistinct(F.col("_metadata.file_path")).alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1
+    store = spark.createDataFrame([(v, f"text {v}") for _, _, v, _ in hits if v not in (11, 999)], "chunk_id bigint, text string")
+    out = scratch.new_dir(spark, "t-docs-out")
+    schema = spark.read.parquet(src).schema
+    jobs.docs_stream(jobs.file_stream(spark, src, schema, 3).select("rid", "qid", "rank", "vec_id"), store, out, 4, spark)
+    back = spark.read.schema(jobs.DOCS_OUT).parquet(out)
+    got = {r.rid: (r.worker, [(d["rank"], d.text) for d in r.docs]) for r in back.collect()}
+    assert back.count() == len(got)
+    assert got == {r: (r % 4, [(k, f"text {v}") for q, k, v, _ in hits if q == r % 7 and v not in (11, 999)])
+                   for r in range(90) if r % 7 < 6}
